@@ -5,9 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 
+#: The rules that ``op1_url_filter`` judges by: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import match_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return match_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.sharding import shard_of, shuffle_into_shards
+
+    dealt = shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
+        shard_of(F.col("doc_id"), 9, 7).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.matroska import digests, store
+
+    return digests(store(table(spark, sf_dir, "documents")))
+
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash_dedup import near_duplicates
@@ -16,7 +50,30 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
+    "op4_license_scan": op4_license_scan,
+    "op7_matroska": op7_matroska,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH r(rule_host, rule_path, verdict) AS (VALUES {rules}),
+s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+m AS (SELECT u.n, arg_max(struct_pack(rule := r.rule_host || r.rule_path, verdict := r.verdict), length(r.rule_host || r.rule_path) * 1000 + length(r.rule_host)) AS best
+      FROM u JOIN r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path) GROUP BY u.n)
+SELECT u.page_id, u.host, u.path, m.best.rule AS rule, coalesce(m.best.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (n)
+"""
+
+
+def _oracles() -> dict[str, str]:
+    from quarry.llm import licenses
+
+    return {"op1_url_filter": _url_sql(), "op4_license_scan": licenses.oracle()}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()

@@ -31,6 +31,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.licenses import scan_licenses
 
@@ -43,6 +49,12 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(store(table(spark, sf_dir, "documents")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mix_counts, plan_mix
+
+    return mix_counts(plan_mix(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash_dedup import near_duplicates
 
@@ -52,8 +64,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op7_matroska": op7_matroska,
+    "op8_mixing": op8_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 

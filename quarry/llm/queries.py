@@ -55,6 +55,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash_dedup import near_duplicates
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op7_matroska": op7_matroska,
     "op8_mixing": op8_mixing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 

@@ -43,6 +43,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import held_out, learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.matroska import digests, store
 
@@ -72,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_personal_data": op6_personal_data,
     "op7_matroska": op7_matroska,
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,

@@ -1,0 +1,72 @@
+"""A runner for steps over DataFrames: topological order, skips that propagate, activation last."""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+
+@dataclass
+class Step:
+    """``run`` gets the context and returns what later steps find under the step's name. A step whose ``needs`` name an empty or absent value is skipped."""
+
+    name: str
+    run: Callable[[dict[str, Any]], Any]
+    after: list[str] = field(default_factory=list)
+    needs: list[str] = field(default_factory=list)
+
+
+class CycleError(ValueError):
+    pass
+
+
+def order(steps: list[Step]) -> list[Step]:
+    """Kahn's order; steps that are free at once keep the order in which they were given."""
+    by = {s.name: s for s in steps}
+    if len(by) != len(steps):
+        raise ValueError("two steps share a name")
+    if lost := {a for s in steps for a in s.after} - by.keys():
+        raise ValueError(f"no such steps: {sorted(lost)}")
+    open_ = {s.name: set(s.after) for s in steps}
+    ready, out = deque(s.name for s in steps if not s.after), []
+    while ready:
+        name = ready.popleft()
+        out.append(by[name])
+        for s in steps:
+            if name in open_[s.name]:
+                open_[s.name].discard(name)
+                if not open_[s.name]:
+                    ready.append(s.name)
+    if len(out) < len(steps):
+        raise CycleError("the steps depend on each other in a circle")
+    return out
+
+
+def _empty(value: Any) -> bool:
+    from pyspark.sql import DataFrame
+
+    return value.isEmpty() if isinstance(value, DataFrame) else not value
+
+
+def run(steps: list[Step], context: dict[str, Any] | None = None) -> tuple[dict[str, Any], dict[str, str]]:
+    """The context after all steps, and each step's state: done, skipped or failed. What depends on a skipped or failed step is skipped."""
+    context = dict(context or {})
+    states: dict[str, str] = {}
+    for s in order(steps):
+        if any(states[a] != "done" for a in s.after) or any(_empty(context.get(n)) for n in s.needs):
+            states[s.name] = "skipped"
+            continue
+        try:
+            context[s.name] = s.run(context)
+            states[s.name] = "done"
+        except Exception as error:
+            context[s.name] = error
+            states[s.name] = "failed"
+    return context, states
+
+
+def activation(write: Callable, index: Callable, verify: Callable, retire: Callable) -> list[Step]:
+    """New rows are written, indexed and verified; only then are old ones retired."""
+    return [Step("write", write), Step("index", index, ["write"]), Step("verify", verify, ["index"]), Step("retire", retire, ["verify"], needs=["verify"])]

@@ -267,9 +267,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host, _ = host_and_path(F.col(url_col).cast("string"))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))
     read = materialise(source.mapInArrow(_observe, _SEEN), "blocks")
-    low = _low_leaves(read)
-    # One row per host with its low leaves: small next to the pages; beyond the broadcast threshold Spark sorts and splits hot hosts.
-    by_host = low.groupBy("host").agg(F.collect_set("node").alias("low"))
+    # One row per host with its low leaves. Written, its size is known when the join is planned: under the broadcast
+    # threshold the pages stay where they are; beyond it Spark shuffles both sides and splits hot hosts.
+    by_host = materialise(_low_leaves(read).groupBy("host").agg(F.collect_set("node").alias("low")), "low_leaves")
     parts = F.arrays_zip("texts", "leaves", "keep")
     kept = F.filter(parts, lambda x: x["keep"] & ~F.coalesce(F.array_contains(F.col("low"), x["leaves"]), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda x: x["texts"]), "\n\n")

@@ -70,7 +70,7 @@ def bootstrap_ci(df: DataFrame, x: str, rounds: int = 2000, seed: int = 7, alpha
 
     if rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows; aggregate by cluster first")
-    return rows.groupBy(F.lit(0)).applyInPandas(draw, "n long, mean double, low double, high double")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(draw, "n long, mean double, low double, high double")
 
 
 def clustered_bootstrap(df: DataFrame, x: str, cluster: str, rounds: int = 10_000, seed: int = 7) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -102,13 +101,13 @@ def html_text(page: str | None) -> str:
     return "\n".join(out).strip() or (page or "")
 
 
-def _html(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(html_text)
+def _html(pages: pd.Series) -> pd.Series:
+    return pages.map(html_text)
 
 
-#: Column function over HTML, in Arrow batches.
-html_to_text = F.pandas_udf(_html, "string")
+def html_to_text(page: Column) -> Column:
+    """Text of HTML, in Arrow batches."""
+    return F.pandas_udf(_html, "string")(page)
 
 
 def csv_text(raw: Column) -> Column:

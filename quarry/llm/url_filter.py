@@ -73,7 +73,8 @@ def match_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     seen = urls.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
     seen = seen.select("id", host.alias("host"), path.alias("path")).select("*", host_key(F.col("host")).alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
     n = partitions(spark)
-    sample = seen.select("key", "salt").orderBy("salt").limit(_SAMPLE * n).collect()
+    # Drawn by another hash than the salt itself: else a hot key's sample would hold its lowest salts only.
+    sample = seen.select("key", "salt").orderBy(F.xxhash64(F.lit(1), "salt")).limit(_SAMPLE * n).collect()
     ordered = sorted((r["key"][:_BOUND], r["salt"]) for r in sample)
     bounds = [ordered[len(ordered) * k // n] for k in range(1, n)] if ordered else []
 

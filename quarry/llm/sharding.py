@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialise
+from quarry.llm.common import materialise, partitions
 
-#: Bytes of text that a bucket aims at.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text that a bucket aims at, and the most partitions that buckets are dealt to.
+BUCKET_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
 
 
 def key_hash(key: Column, seed: int) -> Column:
@@ -78,8 +78,10 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_i
         dealt = rows.take(pa.array(place)).drop_columns(["__order"])
         return dealt.append_column("slot", pa.array(np.arange(first, first + len(place)), pa.int64()))
 
-    scattered = labelled.select(*docs.columns, "shard", "bucket", order)
-    return scattered.groupBy("bucket").cogroup(offsets.groupBy("bucket")).applyInArrow(deal, schema)
+    # As many partitions as buckets, up to a bound: then a task sorts few buckets, and loads them one at a time.
+    n = max(partitions(docs.sparkSession), min(each * n_shards, MOST_PARTITIONS))
+    scattered = labelled.select(*docs.columns, "shard", "bucket", order).repartition(n, "bucket")
+    return scattered.groupBy("bucket").cogroup(offsets.repartition(n, "bucket").groupBy("bucket")).applyInArrow(deal, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

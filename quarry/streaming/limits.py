@@ -37,8 +37,12 @@ def sliding_limit(requests: DataFrame, limit: int, seconds: float = 60.0) -> Dat
     return requests.select(F.col("actor").cast("string"), F.col("ts").cast("double")).groupBy("actor").applyInPandas(run, OUT)
 
 
-def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
-    """Streaming form: an actor's state is the times in its window, dropped after the window's length without requests."""
+def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float = 60.0, expire: bool = True) -> DataFrame:
+    """Streaming form: an actor's state is the times in its window, dropped after the window's length without requests.
+
+    With ``expire`` the stream runs on as long as there is state to drop, so a run that shall end when its input does
+    (an available-now trigger) needs ``expire=False``.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,10 +53,11 @@ def sliding_limit_stream(requests: DataFrame, limit: int, seconds: float = 60.0)
             pdf = pdf.sort_values("ts")
             yield pd.DataFrame({"actor": pdf["actor"], "ts": pdf["ts"], "admitted": admit(pdf["ts"], held, limit, seconds)})
         state.update((held,))
-        state.setTimeoutDuration(int(seconds * 1000))
+        if expire:
+            state.setTimeoutDuration(int(seconds * 1000))
 
     rows = requests.select(F.col("actor").cast("string"), F.col("ts").cast("double"))
-    return rows.groupBy("actor").applyInPandasWithState(run, OUT, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("actor").applyInPandasWithState(run, OUT, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def daily_quota(requests: DataFrame, day: Column, weight: Column, quota: float) -> DataFrame:

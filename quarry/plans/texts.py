@@ -190,7 +190,7 @@ def self_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", (F.col("vec_id") == F.col("query_id")).alias("found"))
 
 
-_BM25 = """qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 10 = 0),
+_BM25 = """qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
 dt AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS terms FROM documents), st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM dt),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2)"""
@@ -198,17 +198,17 @@ bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 
 @query("bm25_topk", f"WITH {_BM25}, r AS (SELECT query_id, doc_id, round(score, 4) AS score FROM bm) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    out = retrieval.bm25(docs(spark, d), read(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")).withColumn("score", F.round("score", 4))
+    out = retrieval.bm25(docs(spark, d), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")).withColumn("score", F.round("score", 4))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return out.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
-_ARMS = "arm AS (SELECT l_orderkey % 50 AS query_id, CASE l_linenumber % 3 WHEN 0 THEN 'dense' WHEN 1 THEN 'bm25' ELSE 'sparse' END AS arm, l_partkey AS pk, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem WHERE l_orderkey % 50 < 20 GROUP BY ALL)"
+_ARMS = "arm AS (SELECT l_orderkey % 50 AS query_id, CASE l_linenumber % 3 WHEN 0 THEN 'dense' WHEN 1 THEN 'bm25' ELSE 'sparse' END AS arm, l_partkey AS pk, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem GROUP BY ALL)"
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
     arm = F.when(F.col("l_linenumber") % 3 == 0, "dense").when(F.col("l_linenumber") % 3 == 1, "bm25").otherwise("sparse")
-    li = read(spark, d, "lineitem").where("l_orderkey % 50 < 20")
+    li = read(spark, d, "lineitem")
     return li.groupBy((F.col("l_orderkey") % 50).alias("query_id"), arm.alias("arm"), F.col("l_partkey").alias("pk")).agg(F.max("l_quantity").alias("score"))
 
 
@@ -254,12 +254,12 @@ def context_packing(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.pack_context(hits, 1000).select("query_id", "pk", "used")
 
 
-_PAR = """st AS (SELECT l_orderkey * 10 + l_linenumber AS pk, l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS is_active, CASE WHEN l_linestatus = 'F' THEN 'INDEXED' ELSE 'NOT_INDEXED' END AS index_status FROM lineitem WHERE l_linenumber <= 6), st1 AS (SELECT pk, any_value(doc_id) AS doc_id, min(is_active) AS is_active, min(index_status) AS index_status FROM st GROUP BY pk),
+_PAR = """st AS (SELECT l_orderkey * 10 + l_linenumber AS pk, l_orderkey AS doc_id, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS is_active, CASE WHEN l_linestatus = 'F' THEN 'INDEXED' ELSE 'NOT_INDEXED' END AS index_status FROM lineitem), st1 AS (SELECT pk, any_value(doc_id) AS doc_id, min(is_active) AS is_active, min(index_status) AS index_status FROM st GROUP BY pk),
 ix AS (SELECT pk, doc_id FROM st1 WHERE pk % 11 <> 0 UNION ALL SELECT pk, doc_id FROM st1 WHERE pk % 29 = 1 UNION ALL SELECT -pk, -doc_id FROM st1 WHERE pk % 31 = 0)"""
 
 
 def _stores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    li = read(spark, d, "lineitem").where("l_linenumber <= 6")
+    li = read(spark, d, "lineitem")
     store = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk")).agg(F.max("l_orderkey").alias("doc_id"), F.min(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).alias("is_active"), F.min(F.when(F.col("l_linestatus") == "F", "INDEXED").otherwise("NOT_INDEXED")).alias("index_status"))
     ix = store.select("pk", "doc_id")
     return store, ix.where("pk % 11 <> 0").union(ix.where("pk % 29 = 1")).union(ix.where("pk % 31 = 0").select(-F.col("pk"), -F.col("doc_id")))

@@ -23,6 +23,8 @@ from quarry.llm.url_filter import host_and_path
 #: Pages on which a tree must show a node to judge it, the importance below which a branch goes, and the share of
 #: an inner node's importance that comes from its content.
 LEAST_PAGES, THRESHOLD, CONTENT_SHARE = 4, 0.5, 0.9
+#: Levels of nesting that paths tell apart.
+DEPTH = 64
 #: What a name that tells a node's purpose adds to its importance, or takes from it.
 NAMED = 0.6
 
@@ -47,7 +49,8 @@ _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table t
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("ul ol dl table body html article section div main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
+# An attempt never runs beyond the next ``<`` outside quotes, so broken tags cost linear time.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?][^<>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -104,6 +107,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
     root = Node("", "", 0, False)
     stack, blocks, nodes, words = [root], [], {}, []
     at, n = 0, len(page)
+    open_: dict[str, int] = {}
 
     def flush() -> None:
         if words:
@@ -111,11 +115,12 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
             words.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(text, tuple(x.path for x in stack[1:]), top.fixed, top.inside))
+                blocks.append(Block(text, tuple(x.path for x in stack[1 : DEPTH + 1]), top.fixed, top.inside))
 
     def close(count: int) -> None:
         while len(stack) > count:
             top = stack.pop()
+            open_[top.tag] -= 1
             nodes[top.path] = (tuple(top.children), top.fixed)
 
     def opened(tag: str, attributes: str, inline: bool = False) -> None:
@@ -126,7 +131,10 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
         else:
             fixed = int(tag in ("html", "body") or style.content or style.plain and top.inside and top.fixed > 0)
         top.children.append(style.label)
-        stack.append(Node(tag, f"{top.path}/{style.label}", fixed, inside, inline))
+        # Below the deepest level that tells styles apart, nodes share their ancestor's path.
+        path = f"{top.path}/{style.label}" if len(stack) <= DEPTH else top.path
+        stack.append(Node(tag, path, fixed, inside, inline))
+        open_[tag] = open_.get(tag, 0) + 1
 
     for m in _TAG.finditer(page):
         start = m.start()
@@ -150,7 +158,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
         elif tag in _BLOCK:
             flush()
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                     if stack[k].tag == tag:
                         close(k)
                         break

@@ -161,9 +161,10 @@ def mix_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: s
     out = joined(keyed, False)
     if parts.where("__many").limit(1).count():
         out = out.unionByName(joined(keyed.dropDuplicates(["__src", "__id", "__hash"]), True))
-    words = _words(F.col(text_col))
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == word_count(F.col(text_col))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    # The words are bound once as a lambda's variable; within the inner lambda alone they would be cut anew for every part.
+    held = F.array(F.struct(_words(F.col(text_col)).alias("words"), F.col("parts")))
+    some = F.transform(held, lambda h: F.array_join(F.flatten(F.transform(h["parts"], lambda p: F.slice(h["words"], (p["at"] + 1).cast("int"), p["n"].cast("int")))), " "))[0]
     return out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some)).select(*docs.columns)
 
 

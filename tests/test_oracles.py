@@ -22,7 +22,7 @@ def duck(data):
 
 
 def value(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()

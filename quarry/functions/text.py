@@ -20,6 +20,8 @@ SMALLTALK = (
     "hi", "hello", "hey", "你好", "您好", "在吗", "在么", "在不在", "哈喽", "嗨", "谢谢", "谢谢你", "thanks", "thankyou", "ok", "好的", "test", "测试", "ping", "早上好", "下午好",
     "晚上好", "辛苦了", "再见", "拜拜",
 )
+# What hints at several questions in one.
+MULTI_INTENT = ("[和与跟]|以及|还有|或者|及其?", "区别|对比|比较|不同|分别|各自", "从.+到", "、", "[？?].*[？?]")
 IMAGE_MARKER = "(?i)(?:<{1,2}|【|《)\\s*IMG\\s*[:：]\\s*\\d+(?:\\.\\d+)?\\s*(?:>{1,2}|】|》)"
 
 
@@ -71,6 +73,17 @@ def has_reference(text: Column) -> Column:
     return norm.rlike(ORDINAL) | norm.rlike("|".join(REFERENTIAL))
 
 
+def looks_multi_intent(text: Column, least: int = 8) -> Column:
+    """Whether a question of at least ``least`` characters may ask for several things."""
+    return F.coalesce((F.char_length(text) >= least) & text.rlike("|".join(MULTI_INTENT)), F.lit(False))
+
+
+def looks_followup(text: Column, has_history: Column, longest: int = 12) -> Column:
+    """Whether a question with turns before it leans on them: it lacks a subject, or refers back and has at most twice ``longest`` characters."""
+    leans = is_incomplete_question(text, longest) | (has_reference(text) & (F.char_length(normalize_question(text)) <= 2 * longest))
+    return F.coalesce(has_history & ~is_junk_question(text) & leans, F.lit(False))
+
+
 def strip_image_markers(text: Column) -> Column:
     return F.regexp_replace(text, IMAGE_MARKER, "")
 
@@ -172,15 +185,19 @@ def native_text_ok(text: Column) -> Column:
     return F.when(F.trim(raw) == "", True).when(marked > 0.15 * n, False).when(m == 0, True).when(odd > 0.10 * m, False).otherwise(plain >= 0.70 * m)
 
 
+def _compared(text: Column) -> Column:
+    return without_space(F.translate(F.coalesce(text, F.lit("")), _FULL, _HALF))
+
+
 def character_error_rate(ref: Column, hyp: Column, longest: int = 20_000) -> Column:
-    """Edit distance over the reference's length, white space aside; with an empty reference 0 or 1."""
-    a, b = F.substring(without_space(F.coalesce(ref, F.lit(""))), 1, longest), F.substring(without_space(F.coalesce(hyp, F.lit(""))), 1, longest)
+    """Edit distance over the reference's length, white space and full-width forms aside; with an empty reference 0 or 1."""
+    a, b = F.substring(_compared(ref), 1, longest), F.substring(_compared(hyp), 1, longest)
     return F.when(F.char_length(a) == 0, F.when(F.char_length(b) == 0, 0.0).otherwise(1.0)).otherwise(F.round(F.levenshtein(a, b) / F.char_length(a), 4))
 
 
 def char_f1(ref: Column, hyp: Column) -> Column:
-    """F1 of the two texts' character multisets, white space aside."""
-    a, b = without_space(F.coalesce(ref, F.lit(""))), without_space(F.coalesce(hyp, F.lit("")))
+    """F1 of the two texts' character multisets, white space and full-width forms aside."""
+    a, b = _compared(ref), _compared(hyp)
     seen = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
     count = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))
     common = F.aggregate(seen, F.lit(0), lambda acc, c: acc + F.least(count(a, c), count(b, c)))
@@ -191,3 +208,23 @@ def char_f1(ref: Column, hyp: Column) -> Column:
 def docset_hash(ids: Column) -> Column:
     """Twelve hex digits over the sorted distinct ids."""
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(ids)), ","), 256), 1, 12)
+
+
+def markdown_grid(text: Column) -> Column:
+    """Cells of the lines that begin with a bar, trimmed, empty ones kept; lines of dashes are left out."""
+    strip = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\r|\\n"), strip), lambda x: x.startswith("|"))
+    grid = F.transform(lines, lambda x: F.transform(F.slice(F.split(x, "\\|"), F.lit(2), F.greatest(F.size(F.split(x, "\\|")) - 2, F.lit(0))), strip))
+    filled = lambda row: F.filter(row, lambda c: c != "")
+    return F.filter(grid, lambda row: (F.size(filled(row)) == 0) | ~F.forall(filled(row), lambda c: c.rlike("^:?-{2,}:?$")))
+
+
+def table_scores(ref: Column, hyp: Column) -> Column:
+    """``cell_f1, grid_exact``: F1 of the multisets of filled cells of two grids, and whether they agree cell by cell."""
+    plain = lambda grid: F.transform(grid, lambda row: F.transform(row, _compared))
+    a, b = plain(ref), plain(hyp)
+    x, y = (F.filter(F.flatten(g), lambda c: c != "") for g in (a, b))
+    count = lambda cells, c: F.size(F.filter(cells, lambda v: v == c))
+    shared = F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, c: acc + F.least(count(x, c), count(y, c)))
+    total = F.size(x) + F.size(y)
+    return F.struct(F.when(total == 0, 1.0).otherwise(F.round(2 * shared / total, 4)).alias("cell_f1"), (a == b).alias("grid_exact"))

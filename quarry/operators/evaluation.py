@@ -136,3 +136,68 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
 def pooled_rate(part: Column, whole: Column) -> Column:
     """Sum over sum; null without a denominator."""
     return F.round(F.try_divide(F.sum(part), F.sum(whole)), 6)
+
+
+def severity_pairs(pairs: DataFrame) -> DataFrame:
+    """New against former fabrications of paired answers ``(off, on, off_severity, on_severity)``, and whether they block; one row."""
+    counts = []
+    for name, here, there, severity in (("on", "on", "off", "on_severity"), ("off", "off", "on", "off_severity")):
+        only, level = F.col(here) & ~F.col(there), F.upper(severity)
+        counts += [F.count_if(only & (level == "HIGH")).alias(f"{name}_only_high"), F.count_if(only & level.isin("HIGH", "MEDIUM")).alias(f"{name}_only_medium_plus")]
+    out = pairs.na.fill(False, ["off", "on"]).agg(*counts)
+    return out.withColumns({"high_severity_block": F.col("on_only_high") > 0, "asymmetric_violation": F.col("on_only_medium_plus") > F.col("off_only_medium_plus")})
+
+
+def visibility_check(docs: DataFrame, public_reads: Column, owner_reads: Column) -> DataFrame:
+    """Of gated documents that have an owner: how many the public path hides and the owner's path shows, and whether none leaks; one row."""
+    gated = docs.where(F.col("permission").isin("dept_internal", "restricted") & (F.coalesce("owner", F.lit("")) != ""))
+    out = gated.agg(F.count("*").alias("tested"), F.count_if(~public_reads).alias("hidden"), F.count_if(owner_reads).alias("shown"))
+    return out.withColumns({"applicable": F.col("tested") > 0, "no_leak": F.col("tested") == F.col("hidden")})
+
+
+def match_chunks(truth: DataFrame, chunks: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``gt_id, status, chunk_no, jaccard``: each expected chunk with the produced one of its document that fits best.
+
+    ``truth(gt_id, doc_id, keywords, chunk_type, section_no, step_no, refs)``, ``chunks(doc_id, chunk_no, text,
+    chunk_type, section_no, step_no, refs)``. Only chunks that hold at least ``threshold`` of the keywords count. Those
+    of the wanted type go first, among them those of the section, else of the step; then the most keywords, then, where
+    images are expected, a chunk with images, then the most keywords per root of the length, then the lower number.
+    Without the wanted type density alone decides. No match has a Jaccard index of 0.
+    """
+    c = chunks.where(F.coalesce("text", F.lit("")) != "").select("doc_id", "chunk_no", F.lower("text").alias("text"), *[F.col(x).alias(f"c_{x}") for x in ("chunk_type", "section_no", "step_no", "refs")])
+    joined = truth.join(c, "doc_id", "left")
+    hits = F.size(F.filter("keywords", lambda k: F.contains(F.col("text"), F.lower(k))))
+    scored = joined.withColumns({"recall": F.try_divide(hits, F.size("keywords")), "density": hits / F.sqrt(F.char_length("text"))})
+    per = Window.partitionBy("gt_id")
+    fit = F.coalesce(F.col("recall") >= threshold, F.lit(False))
+    typed = fit & F.coalesce(F.col("c_chunk_type") == F.col("chunk_type"), F.lit(False))
+    same = lambda x: F.coalesce(F.col(f"c_{x}") == F.col(x), F.lit(False)).cast("int")
+    has_images = F.coalesce((F.size("refs") > 0) & (F.size("c_refs") > 0), F.lit(False)).cast("int")
+    scored = scored.withColumns({"fit": fit, "typed": typed}).withColumn("any_typed", F.max(F.col("typed").cast("int")).over(per) == 1)
+    section = F.when(F.col("step_no").isNotNull(), same("section_no")).otherwise(0)
+    step = F.when(section == 0, same("step_no")).otherwise(0)
+    parts = [F.when(F.col("any_typed"), x.cast("double")).otherwise(0.0) for x in (section, step, F.col("recall"), has_images)]
+    rule = F.struct(*parts, F.col("density"))
+    order = F.when(F.col("fit") & (F.col("typed") | ~F.col("any_typed")), F.struct(rule.alias("rule"), (-F.col("chunk_no")).alias("n")))
+    best = scored.groupBy("gt_id").agg(F.max_by(F.struct("chunk_no", "refs", "c_refs"), order).alias("m"), F.bool_or("fit").alias("matched"), F.count("text").alias("n"), F.max(F.size("keywords")).alias("k"))
+    union = F.size(F.array_union("m.refs", "m.c_refs"))
+    score = F.when(union == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("m.refs", "m.c_refs")) / union, 4))
+    status = F.when(F.coalesce("k", F.lit(0)) <= 0, "no_keywords").when(F.col("n") == 0, "no_scorable").when(~F.col("matched"), "below_threshold").otherwise("matched")
+    return best.select("gt_id", status.alias("status"), F.when(status == "matched", F.col("m.chunk_no")).alias("chunk_no"), F.when(status == "matched", score).otherwise(0.0).alias("jaccard"))
+
+
+def anchor_hits(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``anchor_id, key_hit, image_hit`` over ``anchors(anchor_id, doc_id, keys, signals)`` and ``chunks(doc_id, key, image_refs)``.
+
+    The key is hit if a chunk of the document has one of the anchor's keys; the images, if every signal is the index of
+    an image of these chunks (digits) or stands in their summaries or recognised texts; no signals are a hit.
+    """
+    wanted = anchors.select("anchor_id", "doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(chunks, ["doc_id", "key"])
+    found = wanted.groupBy("anchor_id").agg(F.flatten(F.collect_list(F.coalesce("image_refs", F.array().cast(chunks.schema["image_refs"].dataType)))).alias("refs"))
+    rows = anchors.select("anchor_id", "signals").join(found, "anchor_id", "left")
+    indices = F.transform("refs", lambda r: r["image_index"].cast("string"))
+    blob = F.lower(F.array_join(F.transform("refs", lambda r: F.concat_ws(" ", F.coalesce(r["visual_summary"], F.lit("")), F.coalesce(r["ocr_text"], F.lit("")))), " "))
+    signals = F.filter(F.transform(F.coalesce("signals", F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
+    numeric = lambda s: F.regexp_replace(s, "^0+(?=\\d)", "")
+    all_ = F.forall(signals, lambda s: F.when(s.rlike("^\\d+$"), F.array_contains(indices, numeric(s))).otherwise(F.contains(blob, F.lower(s))))
+    return rows.select("anchor_id", F.col("refs").isNotNull().alias("key_hit"), (F.col("refs").isNotNull() & F.coalesce(all_, F.lit(False))).alias("image_hit"))

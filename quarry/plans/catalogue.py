@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import relational, texts  # noqa: F401  registers their queries
+from quarry.plans import lineage, relational, texts  # noqa: F401  registers their queries
 from quarry.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

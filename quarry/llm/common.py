@@ -36,5 +36,14 @@ def materialise(df: DataFrame, step: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with, for columns of an operator's own beside theirs."""
+    taken = [c.lower() for f in frames for c in f.columns]
+    prefix = "__"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import apart
+
 #: Edits allowed per character of an item, the shortest item that is looked for, and characters of items in a block.
 EDITS, SHORTEST, BLOCK_CHARS = 0.05, 32, 4 << 20
 
@@ -183,8 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs; nothing is shuffled."""
-    shape = T.StructType([*docs.schema.fields, T.StructField("__normal", T.StringType())])
-    rows = docs.withColumn("__normal", normalised(F.col(text_col)))
+    normal = apart(docs) + "normal"
+    shape = T.StructType([*docs.schema.fields, T.StructField(normal, T.StringType())])
+    rows = docs.withColumn(normal, normalised(F.col(text_col)))
     for items in _blocks(benchmark, item_id_col, item_text_col, shortest, block_chars):
         index = _indexed(docs.sparkSession, items, edits)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import apart, materialise
 
 #: Weights by rank of the source (code point order, null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -145,25 +145,27 @@ def mix_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: s
 
     A document taken whole in a pass keeps its text as it is; else its words are joined by spaces.
     """
-    key = [F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("__src"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col), F.lit(0)).alias("__hash")]
+    own = apart(docs)
+    src, id_, hash_, many, cut = (own + n for n in ("src", "id", "hash", "many", "parts"))
+    key = [F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias(src), F.col(id_col).cast("long").alias(id_), F.xxhash64(F.col(text_col), F.lit(0)).alias(hash_)]
     at = F.struct((F.col("low") + F.col("block") * mix.block_words - F.col("start")).alias("at"), (F.col("high") - F.col("low")).alias("n"))
     parts = mix.taken_segments().groupBy("src", "doc_id", "text_hash", "start", "pass").agg(F.sort_array(F.collect_list(at)).alias("parts"))
     rows = mix.docs.groupBy("src", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     parts = parts.join(rows, [parts.src == rows.src, parts.doc_id.eqNullSafe(rows.doc_id), parts.text_hash == rows.text_hash]).select(
-        parts.src.alias("__src"), parts.doc_id.alias("__id"), parts.text_hash.alias("__hash"), "parts", (F.col("n") > 1).alias("__many"))
+        parts.src.alias(src + "_"), parts.doc_id.alias(id_ + "_"), parts.text_hash.alias(hash_ + "_"), F.col("parts").alias(cut), (F.col("n") > 1).alias(many))
     parts = materialise(parts, "parts")
     keyed = docs.select("*", *key)
 
-    def joined(left: DataFrame, many: bool) -> DataFrame:
-        right = parts.where(F.col("__many") == many).select(*[F.col(c).alias(c + "r") for c in ("__src", "__id", "__hash")], "parts")
-        return left.join(right, (left["__src"] == right["__srcr"]) & left["__id"].eqNullSafe(right["__idr"]) & (left["__hash"] == right["__hashr"]))
+    def joined(left: DataFrame, repeated: bool) -> DataFrame:
+        right = parts.where(F.col(many) == repeated)
+        return left.join(right, (F.col(src) == F.col(src + "_")) & F.col(id_).eqNullSafe(F.col(id_ + "_")) & (F.col(hash_) == F.col(hash_ + "_")))
 
     out = joined(keyed, False)
-    if parts.where("__many").limit(1).count():
-        out = out.unionByName(joined(keyed.dropDuplicates(["__src", "__id", "__hash"]), True))
-    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == word_count(F.col(text_col))
+    if parts.where(F.col(many)).limit(1).count():
+        out = out.unionByName(joined(keyed.dropDuplicates([src, id_, hash_]), True))
+    whole = F.aggregate(F.col(cut), F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == word_count(F.col(text_col))
     # The words are bound once as a lambda's variable; within the inner lambda alone they would be cut anew for every part.
-    held = F.array(F.struct(_words(F.col(text_col)).alias("words"), F.col("parts")))
+    held = F.array(F.struct(_words(F.col(text_col)).alias("words"), F.col(cut).alias("parts")))
     some = F.transform(held, lambda h: F.array_join(F.flatten(F.transform(h["parts"], lambda p: F.slice(h["words"], (p["at"] + 1).cast("int"), p["n"].cast("int")))), " "))[0]
     return out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some)).select(*docs.columns)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import apart, materialise
 
 #: Kinds in the order in which spans with one start stand. The first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
@@ -253,8 +253,9 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     def cut(texts, found):
         return texts.combine(found, lambda t, s: t if t is None or not s else _replaced(t, s))
 
-    named = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    return docs.join(named, docs[id_col] == named["__id"], "left").withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)
+    id_, found = (apart(docs) + n for n in ("id", "spans"))
+    named = spans.select(F.col("doc_id").alias(id_), F.col("spans").alias(found)).dropDuplicates([id_])
+    return docs.join(named, docs[id_col].eqNullSafe(named[id_]), "left").withColumn(text_col, cut(F.col(text_col), F.col(found))).select(*docs.columns)
 
 
 def _replaced(text: str, spans: str) -> str:

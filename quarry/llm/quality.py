@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import apart
+
 #: Labelled rows that a model is fitted on at most, words that get a vector of their own, length of the vectors.
 SAMPLE_ROWS, VOCABULARY, WIDTH = 4000, 20_000, 64
 _NONZERO, _HIDDEN, _EPOCHS, _BATCH, _CHUNK = 8, 32, 80, 64, 1 << 15
@@ -250,7 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample_rows)
     ids = docs.sparkSession.createDataFrame(chosen.collect() or [], "__id long, __label int")
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).groupBy("__id").agg(F.max("__label").alias("label"), F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("__id")).groupBy("__id").agg(F.max("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
     found = sorted((r["__id"], r["text"], r["label"]) for r in rows.toLocalIterator())
     return fit([(t, y) for _, t, y in found], vocabulary, seed)
 
@@ -273,5 +276,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     from pyspark.sql import types as T
 
     shape_ = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, shape_)
+    scored = kept.withColumn(apart(kept) + "text", F.col(text_col).cast("string")).mapInArrow(run, shape_)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialise, partitions
+from quarry.llm.common import apart, materialise, partitions
 
 #: Bytes of text that a bucket aims at, and the most partitions that buckets are dealt to.
 BUCKET_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
@@ -65,17 +65,18 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_i
         counts = materialise(labelled.groupBy("shard", "bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")), "buckets")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    order = F.xxhash64(F.lit(seed + 3), F.col(id_col), F.col(text_col)).alias("__order")
+    own = apart(docs) + "order"
+    order = F.xxhash64(F.lit(seed + 3), F.col(id_col), F.col(text_col)).alias(own)
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def deal(key, rows: pa.Table, start: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.Table.from_pylist([], schema=pa.schema([f for f in rows.schema if f.name != "__order"] + [pa.field("slot", pa.int64())]))
+            return pa.Table.from_pylist([], schema=pa.schema([f for f in rows.schema if f.name != own] + [pa.field("slot", pa.int64())]))
         # A fixed order first, so that a repeated task deals alike whatever order its rows came in.
-        place = np.argsort(rows.column("__order").to_numpy(), kind="stable")
+        place = np.argsort(rows.column(own).to_numpy(), kind="stable")
         place = place[fisher_yates(len(place), seed * 1_000_003 + key[0].as_py())]
         first = start.column("first_slot")[0].as_py()
-        dealt = rows.take(pa.array(place)).drop_columns(["__order"])
+        dealt = rows.take(pa.array(place)).drop_columns([own])
         return dealt.append_column("slot", pa.array(np.arange(first, first + len(place)), pa.int64()))
 
     # As many partitions as buckets, up to a bound: then a task sorts few buckets, and loads them one at a time.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialise
+from quarry.llm.common import apart, materialise
 from quarry.llm.components import connected_components
 
 #: Bits of every byte value, lowest first.
@@ -106,17 +106,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Among rows of the same id the smallest text hash stays, among rows equal in both one of them.
     """
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("row")
-    keyed = docs.withColumn("__row", row)
-    prints = materialise(fingerprints(keyed, "__row", text_col, width).withColumnRenamed("doc_id", "row"), "fingerprints")
-    ids = keyed.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    row, many = (apart(docs) + n for n in ("row", "many"))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    prints = materialise(fingerprints(keyed, row, text_col, width).withColumnRenamed("doc_id", "row"), "fingerprints")
+    ids = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     counted = ids.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
     seen = materialise(prints.distinct().join(counted, "row"), "rows")
     whole = _with_components(seen.select("doc_id", "row", "n", "fp"), radius)
     best = whole.groupBy("component_id", F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("best"))
-    kept = materialise(best.select(F.col("best.row").alias("__row"), (F.col("best.n") > 1).alias("__many")), "kept")
-    joined = keyed.join(kept, "__row")
-    single = joined.where(~F.col("__many")).select(*docs.columns)
-    if kept.where("__many").limit(1).count() == 0:
+    kept = materialise(best.select(F.col("best.row").alias(row), (F.col("best.n") > 1).alias(many)), "kept")
+    joined = keyed.join(kept, row)
+    single = joined.where(~F.col(many)).select(*docs.columns)
+    if kept.where(F.col(many)).limit(1).count() == 0:
         return single
-    return single.union(joined.where("__many").dropDuplicates(["__row"]).select(*docs.columns))
+    return single.union(joined.where(F.col(many)).dropDuplicates([row]).select(*docs.columns))

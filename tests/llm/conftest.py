@@ -15,7 +15,7 @@ def odd(spark: SparkSession) -> DataFrame:
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: F.lit("clash") for c in ("shard", "slot", "bucket", "score", "predicted", "host", "path", "taken", "size", "fp", "component_id", "key", "value", "start")}
+    clash = {c: F.lit("clash") for c in ("shard", "slot", "bucket", "score", "predicted", "host", "path", "taken", "size", "fp", "component_id", "key", "value", "start", "parts", "row", "__id", "__row", "__text", "__normal", "__order", "__many", "__src", "__hash", "___id")}
     return rows.withColumns(clash)
 
 

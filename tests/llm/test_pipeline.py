@@ -35,3 +35,12 @@ def test_stages_take_effect(spark, data):
 def test_run(spark, data):
     out = corpus_pipeline.run(spark, data).collect()
     assert out and len({(r["shard"], r["slot"]) for r in out}) == len(out)
+
+
+def test_odd_rows_and_clashing_names(spark, data, odd, none):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialise(stage(spark, docs, data), "t")
+            assert set(docs.columns) <= set(out.columns) and out.count() <= 2 * docs.count(), name
+            if name != "sharding":
+                assert out.columns == docs.columns

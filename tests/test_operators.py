@@ -145,10 +145,15 @@ def test_near_duplicates_against_all_pairs(spark):
         t = list(texts[rng.randrange(k)] if k and rng.random() < 0.6 else "".join(rng.choices("abcdef", k=200)))
         t[rng.randrange(len(t))] = "z"
         texts[k] = "".join(t)
+    texts |= {40: texts[3], 41: texts[3], 42: "short", 43: ""}
     grams = {k: {t[i : i + 8] for i in range(len(t) - 7)} for k, t in texts.items()}
-    want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.9}
+    want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.9 * max(1, len(grams[a] | grams[b]))}
     df = spark.createDataFrame(list(texts.items()), "chunk_id long, chunk_text string")
-    assert want and {(r["a"], r["b"]) for r in audits.near_duplicate_chunks(df).collect()} == want
+    heads = {k: min(j for j in grams if j == k or grams[j] and grams[j] == grams[k]) for k in grams}
+    pairs = {(a, b) for a, b in want if heads[a] == a and heads[b] == b}
+    assert want and {(r["a"], r["b"]) for r in audits.near_duplicate_classes(audits.gram_classes(df)).collect()} == pairs
+    got = {r["chunk_id"]: (r["class_id"], r["links"]) for r in audits.near_duplicate_chunks(df).collect()}
+    assert got == {k: (h, sum(h in p for p in pairs)) for k, h in heads.items()}
 
 
 def test_budget_and_limiter(spark):

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialise, table
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.mixing import mix_documents, plan_mix
+from quarry.llm.near_copies import deduplicate
 from quarry.llm.quality import learn, score
 from quarry.llm.sharding import shuffle_into_shards
-from quarry.llm.simhash_dedup import deduplicate
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8."""
     return deduplicate(docs)
 
 

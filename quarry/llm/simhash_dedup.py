@@ -106,13 +106,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Among rows of the same id the smallest text hash stays, among rows equal in both one of them.
     """
-    row, many = (apart(docs) + n for n in ("row", "many"))
+    row = apart(docs) + "row"
     keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
     prints = materialise(fingerprints(keyed, row, text_col, width).withColumnRenamed("doc_id", "row"), "fingerprints")
     ids = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     counted = ids.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
     seen = materialise(prints.distinct().join(counted, "row"), "rows")
     whole = _with_components(seen.select("doc_id", "row", "n", "fp"), radius)
+    return keep_first(docs, keyed, whole, row)
+
+
+def keep_first(docs: DataFrame, keyed: DataFrame, whole: DataFrame, row: str) -> DataFrame:
+    """The rows of ``docs`` that are first in their component. ``keyed`` is ``docs`` with ``row``, a hash of id and text; ``whole``: ``doc_id, row, n`` (rows of that hash), ``component_id``."""
+    many = apart(keyed) + "many"
     best = whole.groupBy("component_id", F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("best"))
     kept = materialise(best.select(F.col("best.row").alias(row), (F.col("best.n") > 1).alias(many)), "kept")
     joined = keyed.join(kept, row)

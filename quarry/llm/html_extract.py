@@ -56,18 +56,20 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Style:
-    """What a tag with its attributes is: its label, and whether it is boilerplate or content by name."""
+    """What a tag with its attributes is: its label, and whether it is boilerplate or content by name. ``hidden`` is no part of the label: it holds for one element only."""
 
-    __slots__ = ("label", "noise", "content", "plain")
+    __slots__ = ("label", "noise", "content", "plain", "hidden")
 
     def __init__(self, tag: str, attributes: str):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip().lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         names = " ".join(filter(None, (found.get("class"), found.get("id"))))
         role = found.get("role", "")
         self.label = f"{tag}.{' '.join(sorted(names.split()))}" if names else tag
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        if role in _NOISE_ROLES or role in _CONTENT_ROLES:
+            self.label = f"{self.label}@{role}"
+        self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         self.content = tag in _CONTENT_TAGS or role in _CONTENT_ROLES
-        self.noise = not self.content and (tag in _NOISE_TAGS or role in _NOISE_ROLES or hidden or tag not in ("body", "html", "p") and not _NOISE_NAMES.isdisjoint(_NAME.findall(names)))
+        self.noise = not self.content and (tag in _NOISE_TAGS or role in _NOISE_ROLES or tag not in ("body", "html", "p") and not _NOISE_NAMES.isdisjoint(_NAME.findall(names)))
         if tag == "p" and names:
             self.noise = self.noise or not _NOISE_NAMES.isdisjoint(names.split())
         self.plain = tag in _PLAIN and not names
@@ -89,10 +91,10 @@ def _style(tag: str, attributes: str) -> Style:
 class Node:
     """An open element. ``path``: its labels from the root; ``fixed``: kept (1) or dropped (-1) by name, else 0."""
 
-    __slots__ = ("tag", "path", "fixed", "inside", "children", "inline")
+    __slots__ = ("tag", "path", "fixed", "inside", "children", "inline", "hidden")
 
-    def __init__(self, tag: str, path: str, fixed: int, inside: bool, inline: bool = False):
-        self.tag, self.path, self.fixed, self.inside, self.inline, self.children = tag, path, fixed, inside, inline, []
+    def __init__(self, tag: str, path: str, fixed: int, inside: bool, inline: bool = False, hidden: bool = False):
+        self.tag, self.path, self.fixed, self.inside, self.inline, self.hidden, self.children = tag, path, fixed, inside, inline, hidden, []
 
 
 class Block:
@@ -103,7 +105,7 @@ class Block:
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]]]:
-    """Text blocks in page order, and by path the labels of a node's children and what its names say of it."""
+    """Text blocks in page order without what is hidden, and by path the labels of a node's children and what its names say of it."""
     root = Node("", "", 0, False)
     stack, blocks, nodes, words = [root], [], {}, []
     at, n = 0, len(page)
@@ -121,7 +123,8 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
         while len(stack) > count:
             top = stack.pop()
             open_[top.tag] -= 1
-            nodes[top.path] = (tuple(top.children), top.fixed)
+            if not top.hidden:
+                nodes[top.path] = (tuple(top.children), top.fixed)
 
     def opened(tag: str, attributes: str, inline: bool = False) -> None:
         top, style = stack[-1], _style(tag, attributes)
@@ -133,14 +136,14 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
         top.children.append(style.label)
         # Below the deepest level that tells styles apart, nodes share their ancestor's path.
         path = f"{top.path}/{style.label}" if len(stack) <= DEPTH else top.path
-        stack.append(Node(tag, path, fixed, inside, inline))
+        stack.append(Node(tag, path, fixed, inside, inline, top.hidden or style.hidden))
         open_[tag] = open_.get(tag, 0) + 1
 
     for m in _TAG.finditer(page):
         start = m.start()
         if start < at:
             continue
-        if start > at and stack[-1].tag != "head" and stack[-1].tag != "title":
+        if start > at and not stack[-1].hidden and stack[-1].tag != "head" and stack[-1].tag != "title":
             part = page[at:start]
             words.append(unescape(part) if "&" in part else part)
         at = m.end()
@@ -169,9 +172,11 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
             if m[1] or m[4]:
                 if stack[-1].inline and stack[-1].tag == tag:
                     close(len(stack) - 1)
-            elif _style(tag, m[3] or m[6] or "").noise:
-                opened(tag, m[3] or m[6] or "", inline=True)
-    if at < n:
+            else:
+                style = _style(tag, m[3] or m[6] or "")
+                if style.noise or style.hidden or stack[-1].inline and stack[-1].tag == tag:
+                    opened(tag, m[3] or m[6] or "", inline=True)
+    if at < n and not stack[-1].hidden:
         words.append(unescape(page[at:]) if "&" in page[at:] else page[at:])
     flush()
     close(1)

@@ -40,6 +40,15 @@ def test_statistics_tell_boilerplate(spark):
     assert all(got[k] == f"Story {k} of many\n\nIt goes on {k * 7}" for k in [*range(12), 90])
 
 
+def test_hidden_elements_go_on_their_own_page_only(spark):
+    page = lambda k, last: f"<body><div class=top>Top</div><article><p>Story {k}</p><p>More {k * 7}<span hidden>no <span>never</span> no</span></p>{last}</article></body>"
+    lasts = ["<p hidden>Secret</p>", "<p aria-hidden=true>Secret</p>", "<p style='display: none'>Secret</p>", "<div role=search>Find</div>", "<div hidden><p>Secret</div>"]
+    lasts += [f"<div>Box {k}</div><p>End {k}</p>" for k in range(7)]
+    got = texts(spark, [(k, f"http://one.com/{k}", page(k, x)) for k, x in enumerate(lasts)])
+    for k in range(12):
+        assert got[k] == f"Story {k}\n\nMore {k * 7}" + (f"\n\nBox {k - 5}\n\nEnd {k - 5}" if k > 4 else "")
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://a", ""), (3, "x", "plain text only"), (4, "http://a", "<p>unclosed <b>bold"), (4, "http://a", "<p>unclosed <b>bold"), (None, "http://a", "<<>< p><p>a</p"), (5, "http://b", "<p>" * 3000 + "deep"), (6, "http://b", "<script>never closed")]
     out = h.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -2,7 +2,7 @@
 
 The pages of one host are merged into one tree of styles (tag, class and id along the way from the body). A
 presentation node is important if its pages lay it out in many ways; a content node if what it holds differs from
-page to page, measured by the entropy of its blocks over the host's pages; an inner node takes both, its content's
+page to page, measured by the entropy of its blocks over the host's distinct pages; an inner node takes both, its content's
 share from all leaves below it. Branches of low importance are removed from each page. Where a host shows a node on
 too few pages, the tree of all hosts decides. Where a tag, class or role names an element's purpose (menus, footers, adverts, comments;
 articles), the name counts as further evidence: it adds to the importance or takes from it.
@@ -252,7 +252,7 @@ def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
 
 
 def _spread(rows: DataFrame, keys: list[str], feature: str) -> DataFrame:
-    """``keys.., n, s``: rows under a key, and the sum of k ln k over its features' counts k."""
+    """``keys.., n, s``: what ``k`` counts under a key, and the sum of k ln k over its features' counts k."""
     return rows.groupBy(*keys, feature).agg(F.sum("k").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"))
 
 
@@ -289,15 +289,22 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     return read.join(by_host, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _pages(seen: DataFrame, *keys: str) -> DataFrame:
+    """``keys.., k``: distinct pages that show it."""
+    return seen.groupBy(*keys).agg(F.count_distinct("page").alias("k"))
+
+
 def _low_leaves(read: DataFrame) -> DataFrame:
     """``host, node``: leaves that lie in a branch of low importance, on the host's own tree or else on that of all hosts."""
     blocks = F.arrays_zip(F.col("leaves").alias("node"), F.transform("texts", lambda t: F.xxhash64(t)).alias("feature"))
-    content = read.select("host", F.explode(F.array_distinct(blocks)).alias("x")).groupBy("host", "x.node", "x.feature").agg(F.count("*").alias("k"))
-    layout = read.select("host", F.explode("nodes").alias("x")).groupBy("host", "x.node", "x.layout", "x.prior").agg(F.count("*").alias("k"))
+    # Copies of a page, told by its blocks, are one page: else what they hold would look like a template.
+    read = read.withColumn("page", F.xxhash64("texts", "leaves"))
+    content = read.select("host", "page", F.explode(F.array_distinct(blocks)).alias("x")).select("host", "page", "x.node", "x.feature").distinct()
+    layout = read.select("host", "page", F.explode("nodes").alias("x")).select("host", "page", "x.node", "x.layout", "x.prior").distinct()
     above = materialise(read.select(F.explode("above").alias("x")).select(F.col("x.leaf").alias("leaf_node"), "x.up").distinct(), "above")
     content, layout = materialise(content, "content"), materialise(layout, "layout")
-    by_host = _importance(content, layout, above, "host").select("host", "node", F.col("pages").alias("own_pages"), F.col("importance").alias("own"))
-    by_all = _importance(content, layout, above).select("node", F.col("pages").alias("all_pages"), F.col("importance").alias("all"))
+    by_host = _importance(_pages(content, "host", "node", "feature"), _pages(layout, "host", "node", "layout"), above, "host").select("host", "node", F.col("pages").alias("own_pages"), F.col("importance").alias("own"))
+    by_all = _importance(_pages(content, "node", "feature"), _pages(layout, "node", "layout"), above).select("node", F.col("pages").alias("all_pages"), F.col("importance").alias("all"))
     prior = layout.groupBy("host", "node").agg(F.min("prior").alias("prior"))
     value = F.when(F.col("own_pages") >= LEAST_PAGES, F.col("own")).when(F.col("all_pages") >= LEAST_PAGES, F.col("all")).otherwise(1.0)
     judged = prior.join(by_host, ["host", "node"]).join(by_all, "node").withColumn("low", value + NAMED * F.col("prior") < THRESHOLD)

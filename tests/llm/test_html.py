@@ -49,6 +49,17 @@ def test_hidden_elements_go_on_their_own_page_only(spark):
         assert got[k] == f"Story {k}\n\nMore {k * 7}" + (f"\n\nBox {k - 5}\n\nEnd {k - 5}" if k > 4 else "")
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    """Neither equal rows of a page, on one host or on many, nor copies among other pages make a text a template."""
+    page = lambda k: f"<body><div class=bar><p>Same words everywhere</p></div><div class=body><p>Story {k}</p><p>More {k * 7}</p></div></body>"
+    alone = "<body><div class=only><p>One text</p><p>and its end</p></div></body>"
+    rows = [(k, "http://four.com/x", alone) for k in range(4)] + [(10 + k, f"http://many{k}.com/x", alone.replace("only", "each")) for k in range(6)]
+    rows += [(100 + k, f"http://hot.com/{k}", page(k if k < 20 else 20)) for k in range(60)]
+    got = texts(spark, rows)
+    assert {got[k] for k in [*range(4), *range(10, 16)]} == {"One text\n\nand its end"}
+    assert all(got[100 + k] == f"Story {min(k, 20)}\n\nMore {min(k, 20) * 7}" for k in range(60))
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "http://a", ""), (3, "x", "plain text only"), (4, "http://a", "<p>unclosed <b>bold"), (4, "http://a", "<p>unclosed <b>bold"), (None, "http://a", "<<>< p><p>a</p"), (5, "http://b", "<p>" * 3000 + "deep"), (6, "http://b", "<script>never closed")]
     out = h.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))

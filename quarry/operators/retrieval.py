@@ -47,6 +47,24 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, allowed: Column
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def dense_top_k_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, allowed: Column | None = None, max_queries: int = 4096) -> DataFrame:
+    """``dense_top_k`` for any number of queries: blocks of at most ``max_queries`` by a hash of ``query_id``, one scan of the vectors each."""
+    total = queries.count()
+    blocks = 1 if total <= max_queries else -(-2 * total // max_queries)
+    while True:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        sizes = {r["block"]: r["count"] for r in queries.groupBy(block.alias("block")).count().collect()}
+        # Rows of one id can't be parted; dense_top_k says so.
+        if max(sizes.values(), default=0) <= max_queries or blocks > 64 * total:
+            break
+        blocks *= 2
+    parts = [dense_top_k(queries.where(block == n), vectors, k, allowed, max_queries) for n in sorted(sizes)] or [dense_top_k(queries, vectors, k, allowed, max_queries)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 

@@ -179,14 +179,14 @@ _EMB = "e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT vec
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 100."""
     e = read(spark, d, "embeddings")
-    out = retrieval.dense_top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 10)
+    out = retrieval.dense_top_k_in_blocks(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 10)
     return out.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("self_retrieval", f"WITH {_EMB}, s AS (SELECT query_id, vec_id, list_inner_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, e) SELECT query_id, arg_max(vec_id, struct_pack(s := score, v := -vec_id)) = query_id AS found FROM s GROUP BY 1")
 def self_retrieval(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    out = retrieval.dense_top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 1)
+    out = retrieval.dense_top_k_in_blocks(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, 1)
     return out.select("query_id", (F.col("vec_id") == F.col("query_id")).alias("found"))
 
 

@@ -226,3 +226,18 @@ def test_streams(spark, tmp_path):
     seen = []
     assert rollups.drain(stream, str(tmp_path / "drain"), lambda df, n: seen.append(df.count())) >= 1 and sum(seen) == 4
     assert rollups.drain(stream, str(tmp_path / "drain"), lambda df, n: seen.append(df.count())) == 0
+
+
+def test_dense_top_k_takes_any_number_of_queries(spark, monkeypatch):
+    from functools import partial
+
+    from quarry.plans import catalogue, texts
+
+    v = spark.createDataFrame([(100 * n, [float(n), 30.0 - n]) for n in range(30)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(texts, "read", lambda *_: v)
+    want = {tuple(r) for r in catalogue.QUERIES["dense_topk"](spark, "").collect()}
+    whole = {n: getattr(retrieval, n) for n in ("dense_top_k", "dense_top_k_in_blocks") if hasattr(retrieval, n)}
+    for name, f in whole.items():
+        monkeypatch.setattr(retrieval, name, partial(f, max_queries=8) if name == "dense_top_k_in_blocks" or len(whole) == 1 else f)
+    got = [tuple(r) for r in catalogue.QUERIES["dense_topk"](spark, "").collect()]
+    assert len(got) == 300 and set(got) == want

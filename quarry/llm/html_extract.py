@@ -3,9 +3,11 @@
 The pages of one host are merged into one tree of styles (tag, class and id along the way from the body). A
 presentation node is important if its pages lay it out in many ways; a content node if what it holds differs from
 page to page, measured by the entropy of its blocks over the host's distinct pages; an inner node takes both, its content's
-share from all leaves below it. Branches of low importance are removed from each page. Where a host shows a node on
-too few pages, the tree of all hosts decides. Where a tag, class or role names an element's purpose (menus, footers, adverts, comments;
-articles), the name counts as further evidence: it adds to the importance or takes from it.
+share from all leaves below it. What a host shows on few pages leans on the tree of all hosts. The branch that holds
+most of a host's important text is its main branch, and what lies outside it loses importance by that branch's share.
+Names are further evidence: a class or id that tells a purpose can be outvoted by the statistics, while an element or
+role that states one, and comments and adverts, which differ from page to page by nature, weigh more. Branches of low
+importance are removed from each page.
 """
 
 from __future__ import annotations
@@ -20,27 +22,35 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialise
 from quarry.llm.url_filter import host_and_path
 
-#: Pages on which a tree must show a node to judge it, the importance below which a branch goes, and the share of
-#: an inner node's importance that comes from its content.
-LEAST_PAGES, THRESHOLD, CONTENT_SHARE = 4, 0.5, 0.9
-#: Levels of nesting that paths tell apart.
-DEPTH = 64
-#: What a name that tells a node's purpose adds to its importance, or takes from it.
-NAMED = 0.6
+#: The importance below which a branch goes, and the share of an inner node's importance that comes from its content.
+THRESHOLD, CONTENT_SHARE = 0.5, 0.9
+#: What is held of a node that no page shows, and the number of pages that this (or the tree of all hosts) weighs.
+UNKNOWN, WEIGHT = 0.75, 8
+#: The share of a host's important text beyond which a branch is its main branch; what its share takes from all outside.
+MAIN, OUTSIDE = 0.6, 0.6
+#: What a purpose that is stated (elements, roles, comments, adverts), named or hinted at takes, and an article gives.
+STATED, NAMED, HINTED, ARTICLE = -0.6, -0.45, -0.3, 0.5
+#: Levels of nesting with nodes of their own. A node below hangs under the deepest of them, by its own label and the
+#: least of what the names on its way say.
+DEPTH = 128
 
 # Names of HTML elements and of common purposes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg textarea select object canvas math video audio".split())
+_RAW = frozenset("script style noscript template iframe textarea select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre "
     "section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 _NOISE_TAGS = frozenset("nav footer aside form head title menu dialog button fieldset".split())
 _NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription nav "
-    "navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead comments comment disqus respond reply replies share sharing social related recommended recommendations widget "
+    "banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription nav "
+    "navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead share sharing social widget "
     "login signup search pagination pager toolbar skip copyright legal disclaimer".split()
 )
+#: Purposes whose text differs from page to page by nature, so that no entropy tells them.
+_VARIED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond reply replies related recommended recommendations".split())
+#: Words that say nothing of a purpose.
+_NEUTRAL_NAMES = frozenset("a all area bar block bottom box button buttons container form inner item items left link links list main nav outer page right row section site thread top wrap wrapper".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CONTENT_TAGS, _CONTENT_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 #: Plain text containers: under an article they are its text, whatever their statistics.
@@ -52,26 +62,37 @@ _SCOPE = frozenset("ul ol dl table body html article section div main".split())
 # An attempt never runs beyond the next ``<`` outside quotes, so broken tags cost linear time.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?][^<>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME, _DIGITS = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
+
+
+def _named(names: str) -> float:
+    """What a class or an id says: a purpose if nothing in it says anything else, a hint if something does."""
+    least = 0.0
+    for name in names.split():
+        words = _NAME.findall(name)
+        known = [w for w in words if w in _NOISE_NAMES or w in _VARIED_NAMES]
+        if known:
+            whole = all(w in known or w in _NEUTRAL_NAMES for w in words)
+            least = min(least, (STATED if any(w in _VARIED_NAMES for w in known) else NAMED) if whole else HINTED)
+    return least
 
 
 class Style:
-    """What a tag with its attributes is: its label, and whether it is boilerplate or content by name. ``hidden`` is no part of the label: it holds for one element only."""
+    """What a tag with its attributes is: its label, and what its names say of it. ``hidden`` is no part of the label: it holds for one element only."""
 
-    __slots__ = ("label", "noise", "content", "plain", "hidden")
+    __slots__ = ("label", "evidence", "content", "plain", "hidden")
 
     def __init__(self, tag: str, attributes: str):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").strip().lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         names = " ".join(filter(None, (found.get("class"), found.get("id"))))
         role = found.get("role", "")
-        self.label = f"{tag}.{' '.join(sorted(names.split()))}" if names else tag
+        # Numbers in names mostly count pages or places; with them every page would have styles of its own.
+        self.label = f"{tag}.{' '.join(sorted(_DIGITS.sub('0', names).split()))}" if names else tag
         if role in _NOISE_ROLES or role in _CONTENT_ROLES:
             self.label = f"{self.label}@{role}"
         self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        self.content = tag in _CONTENT_TAGS or role in _CONTENT_ROLES
-        self.noise = not self.content and (tag in _NOISE_TAGS or role in _NOISE_ROLES or tag not in ("body", "html", "p") and not _NOISE_NAMES.isdisjoint(_NAME.findall(names)))
-        if tag == "p" and names:
-            self.noise = self.noise or not _NOISE_NAMES.isdisjoint(names.split())
+        self.evidence = STATED if tag in _NOISE_TAGS or role in _NOISE_ROLES else 0.0 if tag in ("body", "html") else _named(names)
+        self.content = self.evidence == 0 and (tag in _CONTENT_TAGS or role in _CONTENT_ROLES)
         self.plain = tag in _PLAIN and not names
 
 
@@ -89,24 +110,28 @@ def _style(tag: str, attributes: str) -> Style:
 
 
 class Node:
-    """An open element. ``path``: its labels from the root; ``fixed``: kept (1) or dropped (-1) by name, else 0."""
+    """An open element. ``chain``: the nodes of its style from the root; ``evidence``: what its names say of it, with what they say on the way."""
 
-    __slots__ = ("tag", "path", "fixed", "inside", "children", "inline", "hidden")
+    __slots__ = ("tag", "chain", "evidence", "inside", "inline", "hidden")
 
-    def __init__(self, tag: str, path: str, fixed: int, inside: bool, inline: bool = False, hidden: bool = False):
-        self.tag, self.path, self.fixed, self.inside, self.inline, self.hidden, self.children = tag, path, fixed, inside, inline, hidden, []
+    def __init__(self, tag: str, chain: tuple[int, ...], evidence: float, inside: bool, inline: bool, hidden: bool):
+        self.tag, self.chain, self.evidence, self.inside, self.inline, self.hidden = tag, chain, evidence, inside, inline, hidden
 
 
 class Block:
-    __slots__ = ("text", "chain", "fixed", "inside")
+    __slots__ = ("text", "chain")
+
+    def __init__(self, text: str, chain: tuple[int, ...]):
+        self.text, self.chain = text, chain
+
 
-    def __init__(self, text: str, chain: tuple[str, ...], fixed: int, inside: bool):
-        self.text, self.chain, self.fixed, self.inside = text, chain, fixed, inside
+#: Of a node on a page: the labels of its children, what its names say, whether it may hold a page's text, its depth.
+Seen = tuple[dict[str, None], float, bool, int]
 
 
-def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]]]:
-    """Text blocks in page order without what is hidden, and by path the labels of a node's children and what its names say of it."""
-    root = Node("", "", 0, False)
+def parse(page: str) -> tuple[list[Block], dict[int, Seen]]:
+    """Text blocks in page order without what is hidden, each with the nodes that it lies in, and all nodes of the page."""
+    root = Node("", (), 0.0, False, False, False)
     stack, blocks, nodes, words = [root], [], {}, []
     at, n = 0, len(page)
     open_: dict[str, int] = {}
@@ -116,27 +141,27 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
             text = " ".join("".join(words).split())
             words.clear()
             if text:
-                top = stack[-1]
-                blocks.append(Block(text, tuple(x.path for x in stack[1 : DEPTH + 1]), top.fixed, top.inside))
+                blocks.append(Block(text, stack[-1].chain))
 
     def close(count: int) -> None:
         while len(stack) > count:
-            top = stack.pop()
-            open_[top.tag] -= 1
-            if not top.hidden:
-                nodes[top.path] = (tuple(top.children), top.fixed)
+            open_[stack.pop().tag] -= 1
 
     def opened(tag: str, attributes: str, inline: bool = False) -> None:
         top, style = stack[-1], _style(tag, attributes)
-        inside = top.inside or style.content
-        if style.noise or tag == "header" and not top.inside or top.fixed < 0:
-            fixed = -1
-        else:
-            fixed = int(tag in ("html", "body") or style.content or style.plain and top.inside and top.fixed > 0)
-        top.children.append(style.label)
-        # Below the deepest level that tells styles apart, nodes share their ancestor's path.
-        path = f"{top.path}/{style.label}" if len(stack) <= DEPTH else top.path
-        stack.append(Node(tag, path, fixed, inside, inline, top.hidden or style.hidden))
+        evidence = STATED if tag == "header" and not top.inside else style.evidence
+        noise = min(evidence, top.evidence, 0.0) if len(top.chain) >= DEPTH else evidence
+        inside = style.content or top.inside and top.evidence >= 0
+        if noise >= 0 and (style.content or style.plain and inside and top.evidence >= 0):
+            noise = ARTICLE
+        above = top.chain[: DEPTH - 1] if len(top.chain) >= DEPTH else top.chain
+        node = _child(above[-1] if above else 0, style.label if len(top.chain) < DEPTH else f"{style.label} {noise} {inside}")
+        hidden = top.hidden or style.hidden or inline and style.evidence == STATED
+        if not hidden:
+            if top.chain and top.chain[-1] in nodes:
+                nodes[top.chain[-1]][0][style.label] = None
+            nodes.setdefault(node, ({}, noise, not style.plain and not inline, len(above)))
+        stack.append(Node(tag, (*above, node), noise, inside, inline, hidden))
         open_[tag] = open_.get(tag, 0) + 1
 
     for m in _TAG.finditer(page):
@@ -174,12 +199,12 @@ def parse(page: str) -> tuple[list[Block], dict[str, tuple[tuple[str, ...], int]
                     close(len(stack) - 1)
             else:
                 style = _style(tag, m[3] or m[6] or "")
-                if style.noise or style.hidden or stack[-1].inline and stack[-1].tag == tag:
+                # Within a block, what no statistics could save goes at once.
+                if style.evidence == STATED or style.hidden or stack[-1].inline and stack[-1].tag == tag:
                     opened(tag, m[3] or m[6] or "", inline=True)
     if at < n and not stack[-1].hidden:
         words.append(unescape(page[at:]) if "&" in page[at:] else page[at:])
     flush()
-    close(1)
     return blocks, nodes
 
 
@@ -206,40 +231,43 @@ def _digest(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-_SEEN = "page_id long, url string, host long, texts array<string>, leaves array<long>, keep array<boolean>, nodes array<struct<node: long, layout: long, prior: int>>, above array<struct<leaf: long, up: long>>"
-_PATHS: dict[str, int] = {}
+_CHILDREN: dict[tuple[int, str], int] = {}
 
 
-def _node(path: str) -> int:
-    found = _PATHS.get(path)
+def _child(above: int, label: str) -> int:
+    """The node of a label below another node, as a hash of both."""
+    key = (above, label)
+    found = _CHILDREN.get(key)
     if found is None:
-        if len(_PATHS) >= 100_000:
-            _PATHS.clear()
-        found = _PATHS[path] = _digest(path)
+        if len(_CHILDREN) >= 100_000:
+            _CHILDREN.clear()
+        found = _CHILDREN[key] = _digest(f"{above}/{label}")
     return found
 
 
+_SEEN = "host long, page long, held array<struct<node: long, feature: long, chars: long>>, nodes array<struct<node: long, layout: long, evidence: double, wraps: boolean, depth: int>>, above array<struct<leaf: long, up: long>>"
+_HELD = pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("chars", pa.int64())])
+_NODES = pa.struct([("node", pa.int64()), ("layout", pa.int64()), ("evidence", pa.float64()), ("wraps", pa.bool_()), ("depth", pa.int32())])
+_ABOVE = pa.struct([("leaf", pa.int64()), ("up", pa.int64())])
+
+
 def _observe(batches):
-    """Per page, its blocks with their leaf nodes, the layout of its nodes, and (once a task) which nodes stand above a leaf."""
-    known: set[str] = set()
-    pairs = pa.struct([("leaf", pa.int64()), ("up", pa.int64())])
-    triples = pa.struct([("node", pa.int64()), ("layout", pa.int64()), ("prior", pa.int32())])
+    """Per page, what its leaf nodes hold, the layout of its nodes, and (once a task) which nodes stand above a leaf. No text."""
+    known: set[int] = set()
     for b in batches:
-        texts, leaves, keep, layouts, above = [], [], [], [], []
-        for page in b.column(3):
+        pages, held, layouts, above = [], [], [], []
+        for page in b.column(1):
             blocks, nodes = parse(page.as_py() or "")
-            article = any(x.inside for x in blocks)
-            texts.append([x.text for x in blocks])
-            leaves.append([_node(x.chain[-1]) if x.chain else 0 for x in blocks])
-            keep.append([x.inside or not article for x in blocks])
-            layouts.append([(_node(path), _node("|".join(dict.fromkeys(labels))), fixed) for path, (labels, fixed) in nodes.items()])
+            seen = {(x.chain[-1] if x.chain else 0, _digest(x.text)): len(x.text) for x in blocks}
+            held.append([(node, feature, chars) for (node, feature), chars in seen.items()])
+            layouts.append([(node, _digest("|".join(labels)), evidence, wraps, depth) for node, (labels, evidence, wraps, depth) in nodes.items()])
+            pages.append(_digest(repr((held[-1], layouts[-1]))))
             new = {x.chain for x in blocks if x.chain and x.chain[-1] not in known}
             known.update(chain[-1] for chain in new)
-            above.append([(_node(chain[-1]), _node(path)) for chain in new for path in chain[:-1]])
+            above.append([(chain[-1], up) for chain in new for up in chain])
             if len(known) > 100_000:
                 known.clear()
-        arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(leaves, pa.list_(pa.int64())), pa.array(keep, pa.list_(pa.bool_())), _structs(layouts, triples), _structs(above, pairs)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], names=["page_id", "url", "host", "texts", "leaves", "keep", "nodes", "above"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.int64()), _structs(held, _HELD), _structs(layouts, _NODES), _structs(above, _ABOVE)], names=["host", "page", "held", "nodes", "above"])
 
 
 def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
@@ -251,65 +279,100 @@ def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=pa.list_(kind))
 
 
-def _spread(rows: DataFrame, keys: list[str], feature: str) -> DataFrame:
+def _cut(batches):
+    """Per page, its blocks but those of its host's low leaves."""
+    for b in batches:
+        texts = []
+        for page, low in zip(b.column(2), b.column(3), strict=True):
+            gone = frozenset(low.values.to_pylist()) if low.is_valid else frozenset()
+            texts.append("\n\n".join(x.text for x in parse(page.as_py() or "")[0] if (x.chain[-1] if x.chain else 0) not in gone))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, text, n_chars``: one row per row of ``pages``.
+
+    Blocks stand in page order, joined by a blank line; references are decoded, white space within a block is one
+    space. Pages are parsed twice, for the tree and for their text, so that no text is written in between. Null and
+    empty pages have an empty text. Null URLs share one empty host. Repeated rows stay; other columns aren't read; an
+    empty table gives no rows.
+    """
+    host, _ = host_and_path(F.col(url_col).cast("string"))
+    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.xxhash64(host).alias("host"))
+    # One row per host with its low leaves. Written, its size is known when the join is planned: under the broadcast
+    # threshold the pages stay where they are; beyond it Spark shuffles both sides and splits hot hosts.
+    by_host = materialise(low_leaves(source.select("host", "html")).groupBy("host").agg(F.collect_set("node").alias("low")), "low_leaves")
+    cut = source.join(by_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_cut, "page_id long, url string, text string")
+    return cut.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _spread(rows: DataFrame, keys: list[str], feature: str, *more) -> DataFrame:
     """``keys.., n, s``: what ``k`` counts under a key, and the sum of k ln k over its features' counts k."""
-    return rows.groupBy(*keys, feature).agg(F.sum("k").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"))
+    counted = rows.groupBy(*keys, feature).agg(F.count("*").alias("k"), *more)
+    return counted.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"), *more)
 
 
-def _importance(content: DataFrame, layout: DataFrame, above: DataFrame, *by: str) -> DataFrame:
-    """``by.., node, pages, importance`` over the pages of one host (``by`` = host) or of all."""
+def _importance(seen: DataFrame, above: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """``by.., node, pages, importance`` and ``by.., node, chars`` (of leaves) over the distinct pages of one host (``by`` = host) or of all."""
     keys = [*by, "node"]
+    layout = seen.select(*by, F.explode("nodes").alias("x")).select(*by, "x.node", "x.layout")
+    content = seen.select(*by, F.explode("held").alias("x")).select(*by, "x.node", "x.feature", "x.chars")
     shown = _spread(layout, keys, "layout").select(*keys, F.col("n").alias("pages"), F.when(F.col("n") > 1, (F.ln("n") - F.col("s") / F.col("n")) / F.ln("n")).otherwise(1.0).alias("layout"))
-    held = _spread(content, keys, "feature").join(shown, keys)
-    leaves = held.select(*keys, "n", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("n") / F.ln("pages")).otherwise(1.0).alias("leaf"))
-    inner = leaves.join(above, leaves["node"] == above["leaf_node"]).select(*by, F.col("up").alias("node"), "n", "leaf", F.lit(1).alias("inner"))
-    through = inner.union(leaves.select(*by, "node", "n", "leaf", F.lit(0)))
+    held = materialise(_spread(content, keys, "feature", F.sum("chars").alias("chars")), "held")
+    leaves = held.join(shown, keys).select(*keys, "n", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("n") / F.ln("pages")).otherwise(1.0).alias("leaf"))
+    through = leaves.withColumnRenamed("node", "leaf_node").join(above.withColumnRenamed("leaf", "leaf_node"), "leaf_node").select(*by, F.col("up").alias("node"), "n", "leaf", (F.col("up") != F.col("leaf_node")).cast("int").alias("inner"))
     below = through.groupBy(*keys).agg((F.sum(F.col("n") * F.col("leaf")) / F.sum("n")).alias("content"), F.max("inner").alias("inner"))
     mixed = (1 - CONTENT_SHARE) * F.col("layout") + CONTENT_SHARE * F.col("content")
-    return shown.join(below, keys).select(*keys, "pages", F.when(F.col("inner") == 1, mixed).otherwise(F.col("content")).alias("importance"))
+    return shown.join(below, keys).select(*keys, "pages", F.when(F.col("inner") == 1, mixed).otherwise(F.col("content")).alias("importance")), held.select(*keys, "chars")
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars``: one row per row of ``pages``.
+def _main(kept: DataFrame, above: DataFrame, names: DataFrame, *by: str) -> DataFrame:
+    """``by.., up, share``: the main branch and its share of the important text, where there is one.
 
-    Blocks stand in page order, joined by a blank line; references are decoded, white space within a block is one
-    space. On a page with an article or a main element, only those hold main text. Null and empty pages have an
-    empty text. Null URLs share one empty host. Repeated rows stay; other columns aren't read; an empty table gives
-    no rows.
+    ``kept``: ``by.., node, mass``, the important text of leaves that no low branch holds. A branch of over half of
+    the mass has no like beside it, so those of over ``MAIN`` of it lie within each other, and the deepest that may
+    hold a page's text is the main branch.
     """
-    host, _ = host_and_path(F.col(url_col).cast("string"))
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).cast("string").alias("html"))
-    read = materialise(source.mapInArrow(_observe, _SEEN), "blocks")
-    # One row per host with its low leaves. Written, its size is known when the join is planned: under the broadcast
-    # threshold the pages stay where they are; beyond it Spark shuffles both sides and splits hot hosts.
-    by_host = materialise(_low_leaves(read).groupBy("host").agg(F.collect_set("node").alias("low")), "low_leaves")
-    parts = F.arrays_zip("texts", "leaves", "keep")
-    kept = F.filter(parts, lambda x: x["keep"] & ~F.coalesce(F.array_contains(F.col("low"), x["leaves"]), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda x: x["texts"]), "\n\n")
-    return read.join(by_host, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def _pages(seen: DataFrame, *keys: str) -> DataFrame:
-    """``keys.., k``: distinct pages that show it."""
-    return seen.groupBy(*keys).agg(F.count_distinct("page").alias("k"))
-
-
-def _low_leaves(read: DataFrame) -> DataFrame:
-    """``host, node``: leaves that lie in a branch of low importance, on the host's own tree or else on that of all hosts."""
-    blocks = F.arrays_zip(F.col("leaves").alias("node"), F.transform("texts", lambda t: F.xxhash64(t)).alias("feature"))
-    # Copies of a page, told by its blocks, are one page: else what they hold would look like a template.
-    read = read.withColumn("page", F.xxhash64("texts", "leaves"))
-    content = read.select("host", "page", F.explode(F.array_distinct(blocks)).alias("x")).select("host", "page", "x.node", "x.feature").distinct()
-    layout = read.select("host", "page", F.explode("nodes").alias("x")).select("host", "page", "x.node", "x.layout", "x.prior").distinct()
-    above = materialise(read.select(F.explode("above").alias("x")).select(F.col("x.leaf").alias("leaf_node"), "x.up").distinct(), "above")
-    content, layout = materialise(content, "content"), materialise(layout, "layout")
-    by_host = _importance(_pages(content, "host", "node", "feature"), _pages(layout, "host", "node", "layout"), above, "host").select("host", "node", F.col("pages").alias("own_pages"), F.col("importance").alias("own"))
-    by_all = _importance(_pages(content, "node", "feature"), _pages(layout, "node", "layout"), above).select("node", F.col("pages").alias("all_pages"), F.col("importance").alias("all"))
-    prior = layout.groupBy("host", "node").agg(F.min("prior").alias("prior"))
-    value = F.when(F.col("own_pages") >= LEAST_PAGES, F.col("own")).when(F.col("all_pages") >= LEAST_PAGES, F.col("all")).otherwise(1.0)
-    judged = prior.join(by_host, ["host", "node"]).join(by_all, "node").withColumn("low", value + NAMED * F.col("prior") < THRESHOLD)
-    low = materialise(judged.where("low").select("host", "node"), "low_branches")
-    leaves = content.select("host", "node").distinct()
-    under = leaves.join(above, leaves["node"] == above["leaf_node"]).select("host", "node", "up")
-    branch = under.join(low.select(F.col("host").alias("h"), F.col("node").alias("n")), (F.col("host") == F.col("h")) & (F.col("up") == F.col("n")), "left_semi")
-    return branch.select("host", "node").union(leaves.join(low, ["host", "node"], "left_semi")).distinct()
+    branch = kept.withColumnRenamed("node", "leaf").join(above, "leaf").groupBy(*by, F.col("up").alias("node")).agg(F.sum("mass").alias("mass"))
+    branch = branch.join(names.where("wraps").select("node", "depth"), "node")
+    if by:
+        branch = branch.join(kept.groupBy(*by).agg(F.sum("mass").alias("total")), list(by))
+    else:
+        branch = branch.withColumn("total", F.lit(kept.agg(F.sum("mass").alias("total")).first()["total"]))
+    wide = branch.withColumn("share", F.col("mass") / F.col("total")).where(F.col("share") > MAIN)
+    return wide.groupBy(*by).agg(F.max(F.struct("depth", "node", "share")).alias("main")).where("main is not null").select(*by, F.col("main.node").alias("up"), F.col("main.share").alias("share"))
+
+
+def _away(mains: DataFrame, above: DataFrame, leaves: DataFrame, name: str) -> DataFrame:
+    """``host, node, name``: the share of the host's main branch (``mains``: ``host, up, share``) for leaves outside it."""
+    inside = above.join(mains, "up").select("host", F.col("leaf").alias("node"))
+    return leaves.join(inside, ["host", "node"], "left_anti").join(mains.select("host", F.col("share").alias(name)), "host").select("host", "node", name)
+
+
+def low_leaves(source: DataFrame) -> DataFrame:
+    """``host, node`` from ``source(host, html)``: leaves in a branch of low importance, or low by lying outside the main branch."""
+    read = materialise(source.mapInArrow(_observe, _SEEN), "observed")
+    above = materialise(read.select(F.explode("above").alias("x")).select("x.leaf", "x.up").distinct(), "above")
+    # Copies of a page are one page: else what they hold would look like a template.
+    seen = materialise(read.select("host", "page", "held", "nodes").dropDuplicates(["host", "page"]), "distinct_pages")
+    names = materialise(seen.select(F.explode("nodes").alias("x")).groupBy("x.node").agg(F.min("x.evidence").alias("evidence"), F.max("x.wraps").alias("wraps"), F.min("x.depth").alias("depth")), "names")
+    everywhere = seen.dropDuplicates(["page"])
+    own, own_chars = _importance(seen, above, "host")
+    all_, all_chars = _importance(everywhere, above)
+    all_ = materialise(all_.select("node", ((F.col("pages") * F.col("importance") + WEIGHT * UNKNOWN) / (F.col("pages") + WEIGHT)).alias("all")), "all_nodes")
+    value = (F.col("pages") * F.col("importance") + WEIGHT * F.col("all")) / (F.col("pages") + WEIGHT)
+    judged = materialise(own.join(all_, "node").join(names, "node").select("host", "node", "pages", value.alias("value"), (value + F.col("evidence")).alias("score"), "evidence"), "judged")
+    low = judged.where(F.col("score") < THRESHOLD).select("host", F.col("node").alias("up"))
+    leaves = own_chars.join(judged, ["host", "node"]).select("host", "node", "chars", "pages", "value", "score")
+    gone = leaves.select("host", F.col("node").alias("leaf")).join(above, "leaf").join(low, ["host", "up"], "left_semi").select("host", F.col("leaf").alias("node")).distinct()
+    gone = materialise(gone, "low_branches")
+    rest = materialise(leaves.join(gone, ["host", "node"], "left_anti"), "rest")
+    places = rest.select("host", "node")
+    by_host = _away(_main(rest.select("host", "node", (F.col("chars") * F.col("value")).alias("mass")), above, names, "host"), above, places, "away")
+    # The main branch of all hosts, by what is left of each leaf on any of them, counts for those that have it.
+    some = rest.select("node").distinct().join(all_chars, "node").join(all_, "node").select("node", (F.col("chars") * F.col("all")).alias("mass"))
+    having = judged.join(_main(some, above, names), F.col("node") == F.col("up")).select("host", "up", "share")
+    by_all = _away(having, above, places, "away_all")
+    away = (F.col("pages") * F.coalesce("away", F.lit(0.0)) + WEIGHT * F.coalesce("away_all", F.lit(0.0))) / (F.col("pages") + WEIGHT)
+    far = rest.join(by_host, ["host", "node"], "left").join(by_all, ["host", "node"], "left").where(F.col("score") - OUTSIDE * away < THRESHOLD).select("host", "node")
+    return gone.union(far)

@@ -73,3 +73,123 @@ def test_odd_pages(spark):
 def test_long_pages_take_linear_time():
     for page in ("<a " * 100_000, "<p class='" * 50_000, "&" * 200_000, "<div>" * 20_000, "<!--" * 50_000, "< " * 100_000, "<!" * 100_000, "<div>" * 20_000 + "</p>" * 20_000):
         h.parse(page)
+
+
+def test_names_are_evidence_and_statistics_can_outvote_them(spark):
+    page = lambda k: (
+        f"<body><div class=qa>Same line</div><article><h1 class='post-header'>Title {k}</h1><p>Story {k}</p><div class='social-history'><p>Past {k * 3}</p></div><div class='share-box'>Share {k * 5}</div><div class=zz>Rated by all</div>"
+        f"<aside>Aside {k}</aside><div class=comments>Reader {k}</div><p>E = <math><mi>m</mi></math> <object>fallback {k}</object><span class=ad>Buy {k}</span></p></article><div class=qb>Teaser {k}</div></body>"
+    )
+    got = texts(spark, [(k, f"http://one.com/{k}", page(k)) for k in range(400)])
+    assert all(got[k] == f"Title {k}\n\nStory {k}\n\nPast {k * 3}\n\nShare {k * 5}\n\nE = m fallback {k}" for k in range(400))
+
+
+def test_the_tree_alone_finds_the_articles(spark, data):
+    """Without any telling names, the statistics leave the same text."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    truth = {r["page_id"]: article_text(r["html"]) for r in pages.collect()}
+    bare = F.col("html")
+    for name, other in (("nav", "qa"), ("article", "qc"), ("footer", "qd")):
+        bare = F.replace(F.replace(bare, F.lit(f"<{name}>"), F.lit(f"<div class={other}>")), F.lit(f"</{name}>"), F.lit("</div>"))
+    bare = F.replace(bare, F.lit('class="ad"'), F.lit("class=qb"))
+    assert {r["page_id"]: r["text"] for r in h.extract_main_text(pages.withColumn("html", bare)).collect()} == truth
+
+
+def test_names_count_at_any_depth(spark):
+    deep = lambda inner, n: "".join(f"<div class=x{chr(97 + k % 26)}{chr(97 + k // 26)}>" for k in range(n)) + inner
+    rows = [(n, f"http://d{n}.com/", deep("<p>Text</p><aside><div><p>Notice</p></div></aside><p>More</p>", n)) for n in (3, 72, 127, 128, 129, 200, 400)]
+    assert set(texts(spark, rows).values()) == {"Text\n\nMore"}
+
+
+def plain_tree(rows):
+    """The style tree in plain Python: ``host, leaf`` of all leaves that go."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    pages, names, above = {}, {}, defaultdict(set)
+    for host, page in rows:
+        blocks, nodes = h.parse(page)
+        held = frozenset((b.chain[-1], b.text) for b in blocks)
+        for b in blocks:
+            above[b.chain[-1]] |= set(b.chain)
+        shape = tuple((n, "|".join(x[0])) for n, x in nodes.items())
+        pages[host, tuple((b.chain[-1], b.text) for b in blocks), shape] = (held, dict(shape))
+        for n, x in nodes.items():
+            names[n] = x[1:]
+
+    def importance(some):
+        shown, layouts, counts = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for held, shape in some:
+            for n, layout in shape.items():
+                shown[n] += 1
+                layouts[n][layout] += 1
+            for n, text in held:
+                counts[n][text] += 1
+        leaf = {n: (sum(c.values()), 1.0 if shown[n] < 2 else 1 - sum(k * log(k) for k in c.values()) / sum(c.values()) / log(shown[n])) for n, c in counts.items()}
+        out = {}
+        for n in shown:
+            under = [(m, x) for m, x in leaf.items() if n in above[m]]
+            if under:
+                content = sum(x[0] * x[1] for _, x in under) / sum(x[0] for _, x in under)
+                spread = 1.0 if shown[n] < 2 else (log(shown[n]) - sum(k * log(k) for k in layouts[n].values()) / shown[n]) / log(shown[n])
+                out[n] = (shown[n], content if all(m == n for m, _ in under) else (1 - h.CONTENT_SHARE) * spread + h.CONTENT_SHARE * content)
+        chars = {n: sum(len(t) * k for t, k in c.items()) for n, c in counts.items()}
+        return out, chars
+
+    def main(mass):
+        total, branch = sum(mass.values()), Counter()
+        for n, x in mass.items():
+            for up in above[n]:
+                branch[up] += x
+        wide = [(names[n][2], n, x / total) for n, x in branch.items() if names[n][1] and x > h.MAIN * total]
+        return max(wide, default=None)
+
+    all_, all_chars = importance({(x[0], tuple(sorted(x[1].items()))): x for x in pages.values()}.values())
+    all_ = {n: (k * x + h.WEIGHT * h.UNKNOWN) / (k + h.WEIGHT) for n, (k, x) in all_.items()}
+    gone, rest, scores = set(), {}, {}
+    for host in {x[0] for x in pages}:
+        own, chars = importance([x for key, x in pages.items() if key[0] == host])
+        value = {n: (k * x + h.WEIGHT * all_[n]) / (k + h.WEIGHT) for n, (k, x) in own.items()}
+        low = {n for n, x in value.items() if x + names[n][0] < h.THRESHOLD}
+        gone |= {(host, n) for n in chars if above[n] & low}
+        rest[host] = {n: x * value[n] for n, x in chars.items() if not above[n] & low}
+        scores[host] = (own, value)
+    best = main({n: all_chars[n] * all_[n] for n in {n for x in rest.values() for n in x}})
+    for host, mass in rest.items():
+        own, value = scores[host]
+        near = main(mass)
+        for n in mass:
+            away = near[2] if near and near[1] not in above[n] else 0.0
+            away_all = best[2] if best and best[1] in own and best[1] not in above[n] else 0.0
+            k = own[n][0]
+            if value[n] + names[n][0] - h.OUTSIDE * (k * away + h.WEIGHT * away_all) / (k + h.WEIGHT) < h.THRESHOLD:
+                gone.add((host, n))
+    return gone
+
+
+def test_low_leaves_are_those_of_a_plain_tree(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, tags = [], ["div", "div class=qa", "div class=qb", "section", "p", "p", "div class=share", "ul", "aside", "article"]
+
+    def branch(depth):
+        tag = rng.choice(tags)
+        inner = rng.choice(["Same words", "Other words", f"Varied {rng.random()}", f"Words {rng.randrange(4)}"])
+        return f"<{tag}>{inner}{''.join(branch(depth - 1) for _ in range(rng.randrange(3))) if depth else ''}</{tag.split()[0]}>"
+
+    for k in range(160):
+        rows.append((rng.choice([1, 1, 1, 2, 2, 3, 4, 5]), f"<body>{''.join(branch(3) for _ in range(rng.randrange(1, 4)))}</body>"))
+    rows += rows[:30]
+    got = {(r["host"], r["node"]) for r in h.low_leaves(spark.createDataFrame(rows, "host long, html string")).collect()}
+    assert got == plain_tree(rows) and len(got) > 20
+
+
+def test_clashing_columns(spark, none):
+    page = "<body><article><p>Text</p></article></body>"
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([(1, "http://a.com/", page)], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "page", "low", "node", "text", "held", "nodes", "leaf")})
+    assert [r["text"] for r in h.extract_main_text(odd).collect()] == ["Text"]

@@ -1,15 +1,17 @@
 """Personal data: base entities by pattern, further identifiers by bootstrapped contexts.
 
-Seeds are the base entities and long hexadecimal secrets. The two words before a seed, with the punctuation that
-opens it, are a lexical pattern; patterns and the identifier-like tokens that they precede form a bipartite graph that
-Spark scores in rounds: a pattern is as good as its instances, an instance as its patterns. Patterns of high
-confidence and support that mostly precede identifiers in the corpus then mark unseen ones.
+Seeds are the base entities and long hexadecimal secrets. The one and the two words before a seed, with the punctuation
+that opens it, are lexical patterns. All identifier-like tokens and the patterns before them form a bipartite graph that
+Spark scores in rounds: a pattern is as good as its instances, an instance as the good patterns before it, and what a
+round has discovered counts as seeds in the next, so that patterns without a seed of their own can be found too. Only
+contexts take part that precede identifiers more often than not, counted over the whole corpus.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ from quarry.llm.common import apart, materialise
 
 #: Kinds in the order in which spans with one start stand. The first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
-#: Distinct seeds that a pattern must precede, as a number and as a share of all; its confidence; the share of its
-#: occurrences that precede identifiers; rounds of scoring. The share bounds the number of patterns by its inverse.
-SUPPORT, SUPPORT_SHARE, CONFIDENCE, PRECISION, ROUNDS = 5, 0.0005, 0.8, 0.5, 3
+#: Known instances that a pattern must precede; its confidence; the share of its occurrences in the corpus that precede
+#: identifiers; rounds of scoring. None depends on the size of the corpus.
+SUPPORT, CONFIDENCE, PRECISION, ROUNDS = 5, 0.2, 0.5, 5
+#: Bits of the filters that the counting pass holds, whatever the number of patterns.
+FILTER_BITS = 1 << 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,9 +33,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}")
+_SECRET = re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}")
 _EDGES = "\"'`()[]{}<>,;:!?.#*$%&=|"
-_SPACE, _LONGEST, _NEAR = " \t\n\r\x0b\x0c", 256, 200
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -83,18 +86,14 @@ def other_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     out, last, k = [], 0, 0
     ends = sorted((s, e) for s, _, e in base)
     for m in _DIGIT.finditer(text):
-        at = m.start()
-        if at < last:
+        start = end = m.start()
+        if end < last:
             continue
-        start = at
-        while start > last and at - start < _LONGEST and text[start - 1] not in _SPACE:
+        while start > last and not text[start - 1].isspace():
             start -= 1
-        end = at
-        while end < len(text) and end - start <= _LONGEST and text[end] not in _SPACE:
+        while end < len(text) and not text[end].isspace():
             end += 1
         last = end
-        if end - start > _LONGEST:
-            continue
         while start < end and text[start] in _EDGES:
             start += 1
         while end > start and text[end - 1] in _EDGES:
@@ -111,112 +110,175 @@ def other_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _signed(value: int) -> int:
+def _hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    value = xxh64_intdigest(text)
     return value - (1 << 64) if value >> 63 else value
 
 
-def context(text: str, start: int) -> int | None:
-    """The pattern before a place: two words, digits as one class, and the punctuation that opens the place."""
-    from xxhash import xxh64_intdigest
+def _bare(word: str) -> str:
+    """A word of a pattern: lower case, digits as one class."""
+    return _DIGIT.sub("0", word.lower())
 
-    left = text[max(0, start - _NEAR) : start]
-    bare = left.rstrip(_EDGES)
-    opening = left[len(bare) :] if bare[-1:].isspace() or not bare else None
-    if opening is None:
-        return None
-    words = bare.split()[-2:]
-    return _signed(xxh64_intdigest(_pattern(words, opening))) if len(words) == 2 else None
 
+def _narrow(last: str, opening: str) -> int:
+    return _hash(f"{last}\x00{opening}")
 
-def _pattern(words: list[str], opening: str) -> str:
-    return _DIGIT.sub("0", " ".join(words).lower()) + "\x00" + opening
 
+def _wide(before: str, last: str, opening: str) -> int:
+    return _hash(f"{before} {last}\x00{opening}")
 
-_INSTANCE = "array<struct<start: int, kind: int, end: int, pattern: long, instance: long>>"
+
+def context(text: str, start: int) -> tuple[int, int | None, int] | None:
+    """The patterns before a place: of the last word (with its own hash), and of the last two; with the punctuation that opens the place."""
+    at = start
+    while at > 0 and text[at - 1] in _EDGES:
+        at -= 1
+    opening, words = text[at:start], []
+    while len(words) < 2 and at > 0 and text[at - 1].isspace():
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        if at < end:
+            words.append(_bare(text[at:end]))
+    if not words:
+        return None
+    return _narrow(words[0], opening), _wide(words[1], words[0], opening) if len(words) == 2 else None, _hash(words[0])
+
+
+_FOUND = "row long, doc_id long, found array<struct<start: int, kind: int, end: int, narrow: long, wide: long, last: long, instance: long>>"
+_KIND = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("narrow", pa.int64()), ("wide", pa.int64()), ("last", pa.int64()), ("instance", pa.int64())])
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, found``: base spans, secrets and other identifier-like tokens of each row, with pattern and instance hashes."""
-    from xxhash import xxh64_intdigest
+    """``row, doc_id, found``: base spans, secrets and other identifier-like tokens of each row, with the hashes of their patterns and of themselves.
 
-    kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("pattern", pa.int64()), ("instance", pa.int64())])
+    ``row`` numbers the rows of a partition; written once, it tells repeated rows apart.
+    """
 
     def run(batches):
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 40
         for b in batches:
             offsets, rows = [0], []
             for value in b.column(1):
                 text = value.as_py() or ""
                 base = base_spans(text)
                 for start, k, end in base + other_spans(text, base):
-                    rows.append((start, k, end, context(text, start), _signed(xxh64_intdigest(text[start:end]))))
+                    rows.append((start, k, end, *(context(text, start) or (None, None, None)), _hash(text[start:end])))
                 offsets.append(len(rows))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=pa.list_(kind))], names=["doc_id", "found"])
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KIND, strict=True)], fields=list(_KIND))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + b.num_rows)), b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=pa.list_(_KIND))], names=["row", "doc_id", "found"])
+            n += b.num_rows
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, found {_INSTANCE}")
-
+    return source.mapInArrow(run, _FOUND)
 
-def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``pattern, confidence, seeds, instances`` from the graph of patterns and instances; copies of an edge count once.
 
-    A round sets a pattern's confidence to the mean of its instances' (with one more instance of none), and that of
-    an instance that is no seed to the chance that one of its patterns is right.
-    """
-    edges = found.select(F.explode("found").alias("x")).where("x.pattern is not null").select("x.pattern", "x.instance", (F.col("x.kind") < 5).cast("double").alias("seed"))
-    edges = materialise(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    value = F.col("seed")
-    current = edges.withColumn("value", value)
-    for k in range(rounds):
-        scored = current.groupBy("pattern").agg((F.sum("value") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").cast("long").alias("seeds"), F.count("*").alias("instances"))
-        scored = materialise(scored, "patterns")
-        if k == rounds - 1:
-            return scored
-        reach = edges.join(scored.select("pattern", "confidence"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("reach"))
-        current = edges.join(reach, "instance").withColumn("value", F.greatest("seed", "reach"))
-    raise ValueError("at least one round is needed")
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A filter of ``hashes(h)`` in bytes; at most ``FILTER_BITS / 64`` rows reach the driver."""
+    place = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("at"))
+    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for r in words:
+        out[r["word"]] = r["bits"] & (1 << 64) - 1
+    return out.view(np.uint8)
 
 
-def _pattern_counts(docs: DataFrame, patterns: list[int], text_col: str) -> DataFrame:
-    """``pattern, occurrences``: how often the words of a pattern occur at all, whatever follows. ``patterns`` is bounded."""
-    from xxhash import xxh64_intdigest
+def count_occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
+    """``pattern, occurrences`` of ``patterns(pattern, last)``: how often a pattern's words and opening occur at all, whatever follows.
 
-    wanted = frozenset(patterns)
+    A pass over all texts with two filters of fixed size, of the patterns' last words and of the patterns; what both
+    let through is counted exactly by hash and joined to the patterns.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((_bits(patterns.select(F.col("last").alias("h")).distinct()), _bits(patterns.select(F.col("pattern").alias("h")))))
 
     def run(batches):
+        lasts, wanted = shared.value
+        known: dict[str, str | None] = {}
+
+        def within(bits, h):
+            at = h % FILTER_BITS
+            return bits[at >> 3] >> (at & 7) & 1
+
+        def look(word: str) -> str | None:
+            bare = _bare(word)
+            if len(known) > 500_000:
+                known.clear()
+            found = known[word] = bare if within(lasts, _hash(bare)) else None
+            return found
+
+        seen: dict[int, int] = {}
+        memo: dict[tuple[str, str, str], tuple[int, ...]] = {}
         for b in batches:
-            seen: dict[int, int] = {}
-            memo: dict[tuple[str, str, str], int] = {}
             for value in b.column(0):
                 words = (value.as_py() or "").split()
-                for key in zip(words, words[1:], words[2:], strict=False):
-                    following = key[2]
-                    opening = following[: len(following) - len(following.lstrip(_EDGES))]
-                    short = (key[0], key[1], opening)
-                    n = memo.get(short)
-                    if n is None:
+                for k, word in enumerate(words[:-1]):
+                    last = known[word] if word in known else look(word)
+                    if last is None:
+                        continue
+                    after = words[k + 1]
+                    key = (words[k - 1] if k else "", word, after[: len(after) - len(after.lstrip(_EDGES))])
+                    hashes = memo.get(key)
+                    if hashes is None:
                         if len(memo) > 200_000:
                             memo.clear()
-                        n = memo[short] = _signed(xxh64_intdigest(_pattern([key[0], key[1]], opening)))
-                    if n in wanted:
-                        seen[n] = seen.get(n, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
+                        both = (_narrow(last, key[2]), *([_wide(_bare(key[0]), last, key[2])] if key[0] else []))
+                        hashes = memo[key] = tuple(h for h in both if within(wanted, h))
+                    for h in hashes:
+                        seen[h] = seen.get(h, 0) + 1
+            if len(seen) > 100_000:
+                yield _counted(seen)
+                seen = {}
+        yield _counted(seen)
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+    return counted.join(patterns.select("pattern").distinct(), "pattern")
+
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+def _counted(seen: dict[int, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
 
 
-def good_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, share: float = SUPPORT_SHARE) -> list[int]:
-    """Patterns of enough support and confidence that mostly precede identifiers; at most ``1 / share`` of them."""
-    scored = score_patterns(found)
-    total = scored.agg(F.sum("seeds").alias("n")).first()["n"] or 0
-    least = max(support, share * total)
-    able = [r["pattern"] for r in scored.where((F.col("seeds") >= least) & (F.col("confidence") >= CONFIDENCE)).select("pattern").collect()]
-    if not able:
-        return []
-    hits = found.select(F.explode("found").alias("x")).select("x.pattern").where(F.col("pattern").isin(able)).groupBy("pattern").agg(F.count("*").alias("hits"))
-    kept = _pattern_counts(docs, able, text_col).join(hits, "pattern").where(F.col("hits") >= PRECISION * F.col("occurrences"))
-    return sorted(r["pattern"] for r in kept.collect())
+def score_patterns(edges: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern`` of those that are good after the rounds, from ``edges(pattern, instance, seed)``, each once.
+
+    A round sets a pattern's confidence to the mean of its instances' values (with one more instance of none); it is
+    good if that and the sum of the values are high enough. An instance is worth 1 as a seed, else the chance that one
+    of the good patterns before it is right. The graph stays distributed in all rounds.
+    """
+    if rounds < 1:
+        raise ValueError("at least one round is needed")
+    current, before = edges.withColumn("value", F.col("seed")), -1
+    for k in range(rounds):
+        scored = current.groupBy("pattern").agg((F.sum("value") / (F.count("*") + 1)).alias("confidence"), F.sum("value").alias("support"))
+        good = materialise(scored.where((F.col("confidence") >= confidence - 1e-9) & (F.col("support") >= support - 1e-9)), "patterns")
+        count = good.count()
+        if k == rounds - 1 or count == before:
+            return good.select("pattern")
+        before = count
+        reach = edges.join(good.select("pattern", "confidence"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("reach"))
+        current = materialise(edges.join(reach, "instance", "left").withColumn("value", F.greatest("seed", F.coalesce("reach", F.lit(0.0)))), "values")
+    return good.select("pattern")
+
+
+def good_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", support: float = SUPPORT, confidence: float = CONFIDENCE, precision: float = PRECISION, rounds: int = ROUNDS) -> DataFrame:
+    """``pattern``: contexts of enough support and confidence that mostly precede identifiers, as a table."""
+    each = found.select(F.explode("found").alias("x")).select(F.explode(F.array("x.narrow", "x.wide")).alias("pattern"), "x.last", "x.instance", (F.col("x.kind") < 5).cast("double").alias("seed")).where("pattern is not null")
+    edges = materialise(each.groupBy("pattern", "last", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    # Whatever the rounds give, a pattern's values can't sum to more than its instances.
+    able = materialise(edges.groupBy("pattern", "last").agg(F.count("*").alias("instances"), F.sum("n").alias("hits")).where(F.col("instances") >= support), "able_patterns")
+    if able.limit(1).count() == 0:
+        return able.select("pattern")
+    precise = able.join(count_occurrences(docs, able, text_col), "pattern").where(F.col("hits") >= precision * F.col("occurrences")).select("pattern")
+    kept = materialise(edges.join(precise, "pattern").select("pattern", "instance", "seed"), "precise_edges")
+    return score_patterns(kept, support, confidence, rounds)
 
 
 def _spans(found: Column) -> Column:
@@ -226,7 +288,7 @@ def _spans(found: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_context``: one row per row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_context, n_spans``: one row per row.
 
     The counts and the hash are of base spans; ``spans`` adds secrets and what good patterns mark. Null texts count
     as empty; an empty text has no spans and the hash of the empty string. Repeated rows stay; other columns aren't
@@ -234,12 +296,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = materialise(find_candidates(docs, id_col, text_col), "candidates")
     patterns = good_patterns(docs, found, text_col)
-    marked = F.array(*map(F.lit, patterns)).cast("array<long>")
+    open_ = found.select("row", F.explode("found").alias("x")).where("x.kind = 5").select("row", "x.start", F.explode(F.array("x.narrow", "x.wide")).alias("pattern"))
+    marked = open_.join(patterns, "pattern").groupBy("row").agg(F.collect_set("start").alias("marked"))
+    marked = materialise(marked, "marked").withColumnRenamed("row", "marked_row")
     base = F.filter("found", lambda x: x["kind"] < 4)
     count = lambda k: F.size(F.filter("kept", lambda x: x["kind"] == k)).cast("long")
-    kept = F.filter("found", lambda x: (x["kind"] < 5) | F.coalesce(F.array_contains(marked, x["pattern"]), F.lit(False)))
-    rows = found.select("doc_id", kept.alias("kept"), F.sha2(_spans(base), 256).alias("base_sha256"))
-    return rows.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], "base_sha256", _spans(F.col("kept")).alias("spans"), count(4).alias("n_secret"), count(5).alias("n_context"))
+    kept = F.filter("found", lambda x: (x["kind"] < 5) | F.coalesce(F.array_contains("marked", x["start"]), F.lit(False)))
+    rows = found.join(marked, F.col("row") == F.col("marked_row"), "left").select("doc_id", kept.alias("kept"), F.sha2(_spans(base), 256).alias("base_sha256"))
+    return rows.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], "base_sha256", _spans(F.col("kept")).alias("spans"), count(4).alias("n_secret"), count(5).alias("n_context"), F.size("kept").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,23 +1,29 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Each source is one stream of words cut into blocks of a fixed length. The mix has a grid of slots; a pseudorandom
-permutation of the grid deals them to output shards, so the source counts of a shard are a multinomial draw given
-each source's total, and every total is met rather than hit in expectation. A source's slots map through its own
+Each source is one stream of words cut into blocks of a fixed length, and has as many slots as its target takes. The
+slots of every source are drawn into the output shards, each as likely: a shard's source counts are then multinomial by
+the target weights, and the draws of a source add up to its slots, so targets are met rather than hit in expectation.
+A shard's draws number a source's slots on from the shards before; those numbers map through the source's own
 pseudorandom permutation (one per pass over the source) to block indices, and blocks join to slots by index.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, materialise
+from quarry.llm.common import apart, materialise, partitions
 
 #: Weights by rank of the source (code point order, null last), repeating.
 WEIGHTS = (5, 2, 1)
 _SPACE = "\\x20\\x09-\\x0D"
 _ROUNDS = 24
-_CHUNK = 4096
+#: Slots that one row makes, and that one task makes at most.
+_CHUNK, _TASK = 4096, 1 << 20
+#: Trials up to which a binomial draw counts them one by one; beyond, it rounds a normal draw.
+_COUNTED = 64
 
 
 def word_count(text: Column) -> Column:
@@ -37,6 +43,35 @@ def permuted(x: Column, n: Column, seed: int, *key: Column, inverse: bool = Fals
     return F.aggregate(F.array(*map(F.lit, rounds)), x.cast("long"), step)
 
 
+def _uniform(seed: int, *key: Column) -> Column:
+    """A number in (0, 1) from a hash."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def binomial(n: Column, p: Column, seed: int, *key: Column) -> Column:
+    """A pseudorandom binomial draw of ``n`` trials, told by its key."""
+    few = F.size(F.filter(F.sequence(F.lit(1), F.lit(_COUNTED)), lambda i: (i <= n) & (_uniform(seed, i, *key) < p))).cast("long")
+    normal = F.sqrt(-2 * F.ln(_uniform(seed + 1, *key))) * F.cos(2 * math.pi * _uniform(seed + 2, *key))
+    many = F.greatest(F.lit(0).cast("long"), F.least(n, F.round(n * p + F.sqrt(n * p * (1 - p)) * normal).cast("long")))
+    return F.when(n <= _COUNTED, few).otherwise(many)
+
+
+def draw_shards(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """``sources`` with its ``n_slots`` drawn into shards: a row per source and ``shard`` with ``drawn`` of them.
+
+    The shards are halved again and again, and each half's slots are a binomial draw of the whole's.
+    """
+    names = sources.columns
+    drawn = sources.withColumn("part", F.struct(F.lit(0).alias("low"), F.lit(n_shards).alias("high"), F.col("n_slots").alias("n")))
+    for level in range(max(0, math.ceil(math.log2(n_shards)))):
+        low, high, n = (F.col(f"part.{x}") for x in ("low", "high", "n"))
+        mid = F.expr("(part.low + part.high) div 2").cast("int")
+        half = drawn.withColumn("left", binomial(n, (mid - low) / (high - low), seed + 3 * level, F.col("src"), low))
+        split = F.when(high - low > 1, F.array(F.struct(low.alias("low"), mid.alias("high"), F.col("left").alias("n")), F.struct(mid.alias("low"), high.alias("high"), (n - F.col("left")).alias("n")))).otherwise(F.array("part"))
+        drawn = half.select(*names, F.explode(split).alias("part"))
+    return drawn.select(*names, F.col("part.low").alias("shard"), F.col("part.n").alias("drawn"))
+
+
 class Mix:
     """The plan of a mix: ``sources``, ``docs`` (rows with their place in their source's stream), ``slots``."""
 
@@ -78,16 +113,24 @@ class Mix:
         own = own.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0).cast("long")))
         own = own.withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
         last = F.when(F.col("rest") > 0, F.least("n_blocks", F.expr(f"rest div {length}") + 2)).otherwise(F.lit(0).cast("long"))
-        own = own.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + last)
-        first = F.coalesce(F.sum("n_slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-        return own.withColumn("first_slot", first).withColumn("all_slots", F.sum("n_slots").over(all_))
+        return own.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + last)
+
+    def _draws(self, seed: int, n_shards: int) -> DataFrame:
+        """Sources by shards: the slots ``drawn``, the number of the first of them in the source and of their first place in the shard."""
+        drawn = materialise(draw_shards(self.sources.where("n_slots > 0"), n_shards, seed + 30), "draws")
+        before = lambda w: F.coalesce(F.sum("drawn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        numbered = drawn.withColumn("first", before(Window.partitionBy("src").orderBy("shard"))).withColumn("place", before(Window.partitionBy("shard").orderBy("rank")))
+        return materialise(numbered.withColumn("per_shard", F.sum("drawn").over(Window.partitionBy("shard"))).where("drawn > 0"), "shards")
 
     def _slots(self, seed: int, n_shards: int) -> DataFrame:
         """``src, pass, block, take, shard, slot``: the first ``take`` words of the block go to that slot of the shard."""
         length = self.block_words
-        busy = self.sources.where("n_slots > 0")
-        chunks = busy.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {_CHUNK}")))).repartition("src", "chunk")
-        slots = chunks.withColumn("q", F.explode(F.sequence(F.col("chunk") * _CHUNK, F.least(F.col("n_slots"), (F.col("chunk") + 1) * _CHUNK) - 1)))
+        self.draws = self._draws(seed, n_shards)
+        total = self.draws.agg(F.sum("drawn").alias("n")).first()["n"] or 0
+        chunks = self.draws.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(drawn - 1) div {_CHUNK}"))))
+        # A count of partitions by the slots, which adaptive execution does not merge: a row makes thousands.
+        chunks = chunks.repartition(max(partitions(self.draws.sparkSession), math.ceil(total / _TASK)), "src", "shard", "chunk")
+        slots = chunks.withColumn("k", F.explode(F.sequence(F.col("chunk") * _CHUNK, F.least(F.col("drawn"), (F.col("chunk") + 1) * _CHUNK) - 1))).withColumn("q", F.col("first") + F.col("k"))
         slots = slots.withColumn("pass", F.expr("q div n_blocks")).withColumn("j", F.expr("q % n_blocks"))
         slots = slots.withColumn("block", permuted(F.col("j"), F.col("n_blocks"), seed + 10, F.col("src"), F.col("pass")))
         # All blocks hold as many words but the stream's last, which is short; where it stands in this pass shifts what came before.
@@ -96,10 +139,8 @@ class Mix:
         came = F.col("j") * length - F.when(short_at < F.col("j"), lacks).otherwise(0)
         holds = length - F.when(F.col("block") == F.col("n_blocks") - 1, lacks).otherwise(0)
         take = F.when(F.col("pass") < F.col("passes"), holds).otherwise(F.least(holds, F.col("rest") - came))
-        spot = permuted(F.col("first_slot") + F.col("q"), F.col("all_slots"), seed + 20)
-        size = F.ceil(F.col("all_slots") / n_shards).cast("long")
-        slots = slots.withColumn("take", take).withColumn("spot", spot).withColumn("per_shard", size).where("take > 0")
-        return slots.select("src", "pass", "block", "take", F.expr("spot div per_shard").cast("int").alias("shard"), F.expr("spot % per_shard").alias("slot"))
+        slot = permuted(F.col("place") + F.col("k"), F.col("per_shard"), seed + 20, F.col("shard"))
+        return slots.withColumn("take", take).where("take > 0").select("src", "pass", "block", "take", "shard", slot.alias("slot"))
 
     def segments(self) -> DataFrame:
         """``docs`` by the blocks that they lie in; ``low`` and ``high`` count words from the block's start."""
@@ -111,7 +152,8 @@ class Mix:
 
     def taken_segments(self) -> DataFrame:
         """Segments joined to slots by block index, cut to the words that the slot takes."""
-        joined = self.segments().join(self.slots, ["src", "block"])
+        # Slots grow with the input while the draws that make them do not, so Spark would take them for a small side.
+        joined = self.segments().join(self.slots.hint("merge"), ["src", "block"])
         return joined.withColumn("high", F.least("high", "take")).where("high > low")
 
 
@@ -143,7 +185,10 @@ def _words(text: Column) -> Column:
 def mix_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of ``docs`` as the mix takes them: one per document and pass, with the words taken there as its text.
 
-    A document taken whole in a pass keeps its text as it is; else its words are joined by spaces.
+    A document taken whole in a pass keeps its text as it is; else its words are joined by spaces. Rows with a null,
+    empty or blank text are never taken. Rows equal in source, id and text are taken as often as the mix says, with the
+    other columns of one of them. Null ids and sources take part. An empty table gives no rows; the columns are the
+    input's, whatever they are called.
     """
     own = apart(docs)
     src, id_, hash_, many, cut = (own + n for n in ("src", "id", "hash", "many", "parts"))
@@ -171,7 +216,11 @@ def mix_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: s
 
 
 def mix_blocks(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The packed blocks themselves: ``shard, slot, source, n_words, text``, each block's words joined by spaces."""
+    """The packed blocks themselves: ``shard, slot, source, n_words, text``, each block's words joined by spaces.
+
+    Slots are gapless but where a source's last block takes no words. Null texts and sources as in ``plan_mix``; other
+    columns aren't read; an empty table gives no rows.
+    """
     pieces = mix.taken_segments().select("shard", "slot", "src", "doc_id", "text_hash", "start", F.col("low"), (F.col("low") + F.col("block") * mix.block_words - F.col("start")).alias("at"), (F.col("high") - F.col("low")).alias("n"))
     texts = docs.select(
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("src"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col), F.lit(0)).alias("text_hash"), F.col(text_col).alias("text"),

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.mixing import mix_blocks, mix_counts, mix_documents, permuted, plan_mix
+from quarry.llm.mixing import binomial, draw_shards, mix_blocks, mix_counts, mix_documents, permuted, plan_mix
 from quarry.llm.queries import op8_mixing
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -78,3 +81,90 @@ def test_empty_and_wordless(spark, none):
 def test_no_python(spark, data):
     plan = op8_mixing(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def hashed(*values):
+    """Spark's xxhash64 in plain Python: (value, format) of numbers, strings, nothing for nulls."""
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<" + v[1], v[0]), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def permuted_plain(x, n, seed, *key):
+    for r in range(24):
+        mirror = (hashed((seed, "i"), (r, "i"), *key) % n - x) % n
+        if hashed((seed + 1, "i"), (r, "i"), (max(x, mirror), "q"), *key) % 2:
+            x = mirror
+    return x
+
+
+def taken_plain(rows, draws, length, seed):
+    """Words taken of every row, from its source's stream cut into blocks and the drawn slots."""
+    streams, taken = defaultdict(list), Counter()
+    buckets = max(1, int(len(rows) ** 0.5))
+    for k, (doc_id, text, source) in enumerate(rows):
+        size = len(WORD.findall(text or ""))
+        place = hashed((seed, "i"), None if doc_id is None else (doc_id, "q"), text)
+        src = "n" if source is None else "s" + source
+        streams[src].append(((place >> 20) % buckets, place, doc_id is not None, doc_id or 0, size, hashed(text, (0, "i")), k))
+    for src, rows_ in streams.items():
+        owners = [x[-1] for x in sorted(rows_) for _ in range(x[4])]
+        blocks = [owners[at : at + length] for at in range(0, len(owners), length)]
+        mine = sorted((d for d in draws if d["src"] == src), key=lambda d: d["shard"])
+        if not mine:
+            continue
+        left, q = mine[0]["words"], 0
+        for d in mine:
+            assert d["first"] == q
+            for _ in range(d["drawn"]):
+                turn, j = divmod(q, len(blocks))
+                block = blocks[permuted_plain(j, len(blocks), seed + 10, src, (turn, "q"))]
+                for owner in block[: max(0, left)]:
+                    taken[owner] += 1
+                left -= len(block)
+                q += 1
+        assert left <= 0
+    return taken
+
+
+def test_taken_against_plain_streams(spark, data, odd):
+    sample = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    strange = [(r["doc_id"], r["text"], r["source"]) for r in odd.collect()]
+    for rows, length, shards in ((sample, 64, 8), (strange, 1000, 3), ([(1, "a b c", "x"), (2, "d", "y"), (2, "d", "y"), (None, "e f", None)], 2, 5)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        mix = plan_mix(docs, block_words=length, n_shards=shards)
+        want = taken_plain(rows, [r.asDict() for r in mix.draws.collect()], length, 17)
+        key = lambda doc_id, size, taken: (doc_id is not None, doc_id or 0, size, taken)
+        assert sorted(key(r["doc_id"], r["size"], r["taken"]) for r in mix_counts(mix).collect()) == sorted(key(d, len(WORD.findall(t or "")), want[k]) for k, (d, t, _) in enumerate(rows))
+
+
+def test_draws_are_multinomial(spark):
+    sources = spark.createDataFrame([(f"s{k}", k, n) for k, n in enumerate([0, 1, 7, 63, 64, 65, 1000, 10**9])], "src string, rank int, n_slots long")
+    for shards in (1, 2, 5, 8):
+        drawn = defaultdict(dict)
+        for r in draw_shards(sources, shards, 3).collect():
+            drawn[r["rank"]][r["shard"]] = r["drawn"]
+        assert all(set(x) == set(range(shards)) and min(x.values()) >= 0 for x in drawn.values())
+        assert [sum(drawn[k].values()) for k in range(8)] == [0, 1, 7, 63, 64, 65, 1000, 10**9]
+        assert all(abs(c - 10**9 / shards) < 6 * math.sqrt(10**9 / shards) for c in drawn[7].values())
+    for n, p in ((10, 0.3), (64, 0.5), (65, 0.5), (400, 0.25)):
+        got = np.array([r[0] for r in spark.range(4000).select(binomial(F.lit(n).cast("long"), F.lit(p), 5, F.col("id"))).collect()])
+        assert abs(got.mean() - n * p) < 5 * math.sqrt(n * p * (1 - p) / 4000) and abs(got.var() / (n * p * (1 - p)) - 1) < 0.15
+
+
+def test_every_shard_has_gapless_slots_and_the_plan_draws_them(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mix = plan_mix(docs, block_words=64, n_shards=8)
+    slots = mix.slots.collect()
+    places = defaultdict(list)
+    for r in slots:
+        places[r["shard"]].append(r["slot"])
+    short = {d["src"] for d in mix.sources.collect()}
+    assert set(places) == set(range(8)) and all(len(set(x)) == len(x) and max(x) < len(x) + len(short) for x in places.values())
+    assert "shard" in mix_counts(mix)._jdf.queryExecution().optimizedPlan().toString()
+    plan = mix.taken_segments()._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[src#\d+, block#\d+L?\], \[src#\d+, block#\d+L?\]", plan)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests in local mode), a temporary folder is made once per session.
+    A session in local mode that names none (tests) gets a temporary folder, once; on a cluster the setting is a must,
+    as executors can't read each other's local folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quarry_')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -33,7 +37,22 @@ def materialise(df: DataFrame, step: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{step}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quarry_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes materialised steps that nothing reads any more."""
+    for df in steps:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.quarry_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits that tell rows of different id or text apart, null from empty too."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(id_.cast("string"), F.lit("\x02")), F.coalesce(text.cast("string"), F.lit("\x02")))))
 
 
 def apart(*frames: DataFrame) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -25,10 +25,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         parent = labels.select(F.col("node").alias("to"), F.col("label").alias("up"))
-        labels = materialise(
+        before, labels = labels, materialise(
             lower.join(parent, "to").select("node", F.least("to", "up").alias("label"), (F.least("to", "up") != F.col("was")).alias("moved")),
             "labels",
         )
+        discard(before)
         if labels.where("moved").limit(1).count() == 0:
-            return labels.select("node", "label")
+            discard(both)
+            out = labels.select("node", "label")
+            out.quarry_path = labels.quarry_path
+            return out
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import discard, materialise
 from quarry.llm.url_filter import host_and_path
 
 #: The importance below which a branch goes, and the share of an inner node's importance that comes from its content.

@@ -1,43 +1,49 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Candidates share one of many bands of min-hashes; every pair is then judged on its whole sets of shingles. Texts of
-equal words are one class before anything meets. Within a band, members are compared with centres, few at first and
-four times as many in each further round, and only with those outside their component: a large group of near copies
-is linked in about as many comparisons as it has members, and no pair of unlike components is left out.
+"""Near copies by the Jaccard similarity of word shingles, found by SimHash balls first and by min-hashes beyond them.
+
+Texts of equal words are one class before anything meets. Classes whose SimHash fingerprints lie within the radius are
+candidates by ball hashing; that links most of a large group of copies. At a similarity of 0.8, fingerprints typically
+differ in about ten bits, which no ball reaches, so classes that share one of many bands of min-hashes are candidates
+too. Every candidate pair is judged on its whole sets of shingles. Within a band, members are compared with centres, few
+at first and four times as many in each further round, and only with those outside their component: a large group of
+near copies is linked in about as many comparisons as it has members, and no pair of unlike components is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, materialise
+from quarry.llm.common import apart, discard, materialise, row_key
 from quarry.llm.components import connected_components
-from quarry.llm.simhash_dedup import keep_first
+from quarry.llm.simhash_dedup import keep_first, links, votes
 
-#: Words of a shingle, the similarity of near copies, and bands of min-hashes with the hashes of each. A pair of
-#: similarity s shares no band with probability (1 - s ** HASHES) ** BANDS: 5e-8 at 0.8.
-WIDTH, SIMILARITY, BANDS, HASHES = 5, 0.8, 32, 4
+#: Words of a shingle, the similarity of near copies, the radius of fingerprints, and bands of min-hashes with the
+#: hashes of each. A pair of similarity s shares no band with probability (1 - s ** HASHES) ** BANDS: 4e-7 at 0.8; one
+#: of 0.3 shares some with probability 0.005.
+WIDTH, SIMILARITY, RADIUS, BANDS, HASHES = 5, 0.8, 2, 80, 8
 
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * HASHES, 1), dtype=np.uint64)
-_FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
-_BLOCK = 1 << 12
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * HASHES, 1), dtype=np.uint32)
+_FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint32(1)
+_BLOCK = 1 << 6
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """The distinct hashes of a text's shingles in ascending order; a shorter text is one shingle, without words there is none."""
+    return np.unique(_runs((text or b"").lower().split(), width))
+
+
+def _runs(words: list[bytes], width: int) -> np.ndarray:
     from functools import partial
 
     from xxhash import xxh64_intdigest
 
-    words = (text or b"").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
     count = max(1, len(words) - width + 1)
     runs = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter(map(partial(xxh64_intdigest, seed=42), runs), dtype=np.uint64, count=count))
+    return np.fromiter(map(partial(xxh64_intdigest, seed=42), runs), dtype=np.uint64, count=count)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -46,89 +52,131 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
     if not len(hashes):
         return np.empty(0, dtype=np.int64)
-    least = np.full((BANDS * HASHES, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), _BLOCK):
-        least = np.minimum(least, ((hashes[at : at + _BLOCK][None, :] ^ _FLIPS) * _FACTORS).min(axis=1, keepdims=True))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full((BANDS * HASHES, 1), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(short), _BLOCK):
+        least = np.minimum(least, ((short[at : at + _BLOCK][None, :] ^ _FLIPS) * _FACTORS).min(axis=1, keepdims=True))
     rows = least.reshape(BANDS, HASHES)
     return np.fromiter((xxh64_intdigest(r.tobytes(), seed=k) for k, r in enumerate(rows)), dtype=np.uint64, count=BANDS).view(np.int64)
 
 
-def _signatures(docs: DataFrame, row: str, text_col: str, width: int) -> DataFrame:
-    """``row, words, size, bands``: the hash of a row's words, its number of distinct shingles, its keys."""
-    from xxhash import xxh64_intdigest
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """``docs(row, doc_id, text)`` to ``row, doc_id, words, size, fp, bands``: the hash of a row's words, its number of distinct shingles, its fingerprint, its keys."""
+    from xxhash import xxh3_128_digest
 
     def run(batches):
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column(1).cast(pa.binary())]
-            sets = [shingles(t, width) for t in texts]
-            words = np.fromiter((xxh64_intdigest(b" ".join(t.lower().split())) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
-            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "words", "size", "bands"])
+            words, sizes, prints, keys = [], [], [], []
+            for x in b.column(2).cast(pa.binary()):
+                said = (x.as_py() or b"").lower().split()
+                hashes = _runs(said, width)
+                distinct = np.unique(hashes)
+                words.append(xxh3_128_digest(b" ".join(said)))
+                sizes.append(len(distinct))
+                prints.append(votes(hashes))
+                keys.append(bands(distinct))
+            fps = np.array(prints, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "words", "size", "fp", "bands"])
 
-    source = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "row long, words long, size long, bands array<long>")
+    return docs.mapInArrow(run, "row binary, doc_id long, words binary, size long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(words, text)`` to ``words, shingles``."""
+    """``docs(node, text)`` to ``node, shingles``."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(x.as_py(), width).view(np.int64) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["words", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "words long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, shingles array<long>")
 
 
 def _like(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets are as similar as that."""
-    left, right = (sets.select(F.col("words").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return both.where(F.col("common") >= F.lit(similarity - 1e-9) * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
-def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """``node, label`` of the components over ``members(key, words, size, place)``; nothing if there are no pairs."""
-    links = labels = None
-    low, step = 0, 1
-    members = members.withColumn("label", F.col("words"))
+def _sized(similarity: float):
+    """Sets whose sizes allow that similarity."""
+    return F.least("size", "size_a") >= F.lit(similarity - 1e-9) * F.greatest("size", "size_a")
+
+
+def _by_fingerprint(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``a, b``: of each fingerprint, the first class with all others, and of fingerprints within the radius, their first classes."""
+    firsts = materialise(classes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")).select("fp", F.col("first.node").alias("a"), F.col("first.size").alias("size_a")), "firsts")
+    same = classes.join(firsts, "fp").where((F.col("node") != F.col("a")) & _sized(similarity)).select("a", F.col("node").alias("b"))
+    near = materialise(links(firsts.select("fp"), radius).withColumnsRenamed({"a": "fp", "b": "fp_b"}), "near_prints")
+    other = firsts.select(F.col("fp").alias("fp_b"), F.col("a").alias("b"), F.col("size_a").alias("size"))
+    return same.union(near.join(firsts, "fp").join(other, "fp_b").where(_sized(similarity)).select("a", "b"))
+
+
+def _labels(classes: DataFrame, met: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame | None:
+    """``node, label`` of the components over ``classes(node, size, fp)`` that meet by fingerprint or in ``met(key, node, size, place)``."""
+    pairs = materialise(_by_fingerprint(classes, radius, similarity), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node")).distinct())
+    links_ = materialise(_like(pairs, sets, similarity), "links")
+    labels = connected_components(links_)
+    members, low, step = _open(met, labels), 0, 1
     while members.limit(1).count():
-        centres = members.where(F.col("place") <= low + step).select("key", F.col("words").alias("a"), F.col("place").alias("before"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-        sized = F.least("size", "size_a") >= F.lit(similarity - 1e-9) * F.greatest("size", "size_a")
-        met = members.join(centres, "key").where((F.col("before") < F.col("place")) & (F.col("label") != F.col("label_a")) & sized)
-        pairs = met.select(F.least("a", "words").alias("a"), F.greatest("a", "words").alias("b")).distinct()
-        found = materialise(_like(pairs, sets, similarity), "links")
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
+        centres = members.where(F.col("place") < low + step).select("key", F.col("node").alias("a"), F.col("place").alias("before"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+        earlier = (F.col("before") < F.col("place")) | (F.col("before") == F.col("place")) & (F.col("a") < F.col("node"))
+        together = members.join(centres, "key").where(earlier & (F.col("label") != F.col("label_a")) & _sized(similarity))
+        found = _like(together.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets, similarity)
+        links_ = links_.union(materialise(found, "links"))
+        before = labels
+        labels = connected_components(links_)
+        discard(before)
         low, step = low + step, step * 4
         # What has been a centre is done, and so is a band whose members are all of one component.
-        rest = members.where(F.col("place") > low).drop("label").join(labels.withColumnRenamed("node", "words"), "words", "left").withColumn("label", F.coalesce("label", "words"))
-        band = Window.partitionBy("key")
-        members = materialise(rest.withColumn("least", F.min("label").over(band)).withColumn("most", F.max("label").over(band)).where("least < most").drop("least", "most"), "members")
+        last, members = members, _open(members.where(F.col("place") >= low).drop("label"), labels)
+        discard(last)
+    discard(members, pairs, sets)
     return labels
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with their ``label``, of bands in which several components meet."""
+    labelled = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    out = materialise(labelled.join(materialise(mixed, "mixed"), "key", "left_semi"), "members")
+    discard(labelled)
+    return out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, one of each group that is linked by texts of that similarity or more: the one with the smallest id.
 
-    Among rows of the same id the smallest text hash stays, among rows equal in both one of them. Texts without
-    words are one group. Null ids take part; a row of one stays only if its group has no other ids.
+    Among rows of the same id the smallest key of id and text stays, among rows equal in both one of them. Null, empty
+    and blank texts are one group. Null ids take part; a row of one stays only if its group has no other ids. An empty
+    table gives no rows; the columns are the input's, whatever they are called.
     """
     row = apart(docs) + "row"
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    prints = materialise(_signatures(keyed, row, text_col, width), "signatures")
-    ids = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    counted = ids.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
-    seen = materialise(prints.select("row", "words").distinct().join(counted, "row"), "rows")
-    band = Window.partitionBy("key")
-    met = prints.select(F.explode("bands").alias("key"), "words", "size").distinct().withColumn("n", F.count("*").over(band))
-    placed = met.where("n > 1").withColumn("place", F.row_number().over(band.orderBy(F.xxhash64("key", "words"), "words")))
-    members = materialise(placed.select("key", "words", "size", "place"), "members")
-    # One row stands for all of equal words; only candidates' texts are read again.
-    stand = seen.join(members.select("words").distinct(), "words", "left_semi").groupBy("words").agg(F.min("row").alias(row))
-    texts = keyed.select(row, F.col(text_col).cast("string").alias("text")).join(stand, row).dropDuplicates([row]).select("words", "text")
-    labels = _labels(members, materialise(_sets(texts, width), "sets"), similarity)
-    whole = seen.withColumn("component_id", F.col("words"))
-    if labels is not None:
-        whole = seen.join(labels.withColumnRenamed("node", "words"), "words", "left").withColumn("component_id", F.coalesce("label", "words"))
-    return keep_first(docs, keyed, whole, row)
+    keyed = docs.withColumn(row, row_key(F.col(id_col), F.col(text_col)))
+    source = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialise(_signatures(source, width), "signatures")
+    classes = prints.groupBy("words").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("stand"))
+    # Once written, the numbers stay what they are.
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "words", "size", "fp", "bands", "stand"), "classes")
+    rows = materialise(prints.groupBy("words", "row", "doc_id").agg(F.count("*").alias("n")), "rows")
+    seen = materialise(rows.join(classes.select("words", "node"), "words").select("row", "doc_id", "n", "node"), "seen")
+    discard(prints, rows)
+    met = materialise(classes.select(F.explode("bands").alias("key"), "node", "size"), "met")
+    counts = materialise(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    # A member's place in its band is a hash spread over the band's size, so no task holds a whole band.
+    place = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 52)) / float(1 << 52)) * F.col("n")
+    bands_ = materialise(met.join(counts, "key").select("key", "node", "size", place.alias("place")), "bands")
+    discard(met, counts)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # One row stands for all of equal words; only candidates' texts are read again.
+        stand = classes.select("node", F.col("stand").alias(row)).join(nodes, "node", "left_semi")
+        texts = keyed.select(row, F.col(text_col).cast("string").alias("text")).join(stand, row).select("node", "text")
+        return materialise(_sets(texts, width).dropDuplicates(["node"]), "sets")
+
+    labels = _labels(classes.select("node", "size", "fp"), bands_, sets_of, similarity, radius)
+    discard(bands_)
+    whole = seen.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("component_id"))
+    return keep_first(docs, keyed, materialise(whole, "whole"), row)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import apart, materialise
+from quarry.llm.common import apart, materialise, row_key
 from quarry.llm.components import connected_components
 
 #: Bits of every byte value, lowest first.
@@ -40,24 +40,33 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     digest = partial(xxh64_intdigest, seed=seed)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     hashes = np.fromiter(map(digest, shingles), dtype="<u8", count=len(words) - width + 1)
-    votes = np.zeros(64, dtype=np.int64)
+    return votes(hashes)
+
+
+def votes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes (``<u8``): bits set in over half of them."""
+    count = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _BLOCK):
         lanes = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8) + _LANES
-        votes += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int(_WEIGHTS[votes * 2 > len(hashes)].sum(dtype=np.uint64))
+        count += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int(_WEIGHTS[count * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(doc_id, fp)``, one row per row; ``fp`` is the fingerprint as a signed long. Null texts count as empty."""
+    return _printed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width)
+
+
+def _printed(source: DataFrame, width: int) -> DataFrame:
+    """``source`` with the fingerprint ``fp`` of its last column in that column's place."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py(), width) for x in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def ball(radius: int) -> list[int]:
@@ -97,27 +106,27 @@ def _with_components(prints: DataFrame, radius: int) -> DataFrame:
     members = groups.join(labels.withColumnRenamed("node", "fp"), "fp")
     roots = members.groupBy("label").agg(F.min("first_id").alias("root_id"))
     named = members.join(roots, "label").select("fp", "root_id")
-    classes = groups.join(named, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
+    # Written, so that the join below reads both sides anew and a fingerprint of very many rows can be split.
+    classes = materialise(groups.join(named, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id")), "classes")
     return prints.join(classes, "fp")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates: the one with the smallest id.
 
-    Among rows of the same id the smallest text hash stays, among rows equal in both one of them.
+    Among rows of the same id the smallest key of id and text stays, among rows equal in both one of them. Null and
+    empty texts are one group. Null ids take part; a row of one stays only if its group has no other ids. An empty
+    table gives no rows; the columns are the input's, whatever they are called.
     """
     row = apart(docs) + "row"
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    prints = materialise(fingerprints(keyed, row, text_col, width).withColumnRenamed("doc_id", "row"), "fingerprints")
-    ids = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    counted = ids.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
-    seen = materialise(prints.distinct().join(counted, "row"), "rows")
-    whole = _with_components(seen.select("doc_id", "row", "n", "fp"), radius)
-    return keep_first(docs, keyed, whole, row)
+    keyed = docs.withColumn(row, row_key(F.col(id_col), F.col(text_col)))
+    source = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seen = materialise(_printed(source, width).groupBy("row", "doc_id", "fp").agg(F.count("*").alias("n")), "rows")
+    return keep_first(docs, keyed, materialise(_with_components(seen, radius), "whole"), row)
 
 
 def keep_first(docs: DataFrame, keyed: DataFrame, whole: DataFrame, row: str) -> DataFrame:
-    """The rows of ``docs`` that are first in their component. ``keyed`` is ``docs`` with ``row``, a hash of id and text; ``whole``: ``doc_id, row, n`` (rows of that hash), ``component_id``."""
+    """The rows of ``docs`` that are first in their component. ``keyed`` is ``docs`` with ``row``, a key of id and text; ``whole``: ``doc_id, row, n`` (rows of that hash), ``component_id``."""
     many = apart(keyed) + "many"
     best = whole.groupBy("component_id", F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("best"))
     kept = materialise(best.select(F.col("best.row").alias(row), (F.col("best.n") > 1).alias(many)), "kept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, table
+from quarry.llm.common import apart, discard, materialise, table
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.mixing import mix_documents, plan_mix
 from quarry.llm.near_copies import deduplicate
@@ -14,29 +14,50 @@ from quarry.llm.sharding import shuffle_into_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
+    """Documents that the classifier predicts to be good.
+
+    Null and empty texts are judged as texts without words; repeated rows all stay or all go; an empty table gives no
+    rows. Without labels the score is 0.5 and everything stays. Columns are the input's, whatever they are called.
+    """
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 1").select(*docs.columns)
+    own = apart(docs)
+    named = docs.withColumnsRenamed({c: own + c for c in ("score", "predicted") if c in docs.columns})
+    return score(named, model).where("predicted = 1").select(*[F.col(own + c if c in ("score", "predicted") else c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard 0.8."""
+    """One document of each group of near-duplicates: SimHash balls on five-word shingles, verified at a Jaccard similarity of 0.8, and min-hashes for pairs beyond the balls.
+
+    Null, empty and blank texts are one group. The smallest id stays, of equal rows one; null ids stay only where a
+    group has no others. An empty table gives no rows.
+    """
     return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs.
+
+    Null and empty texts hold none and stay, as do repeated rows without one; null and empty items occur nowhere; an
+    empty table gives no rows.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them, once per pass over their source, with the words taken there as their text."""
+    """Documents as the mix takes them, once per pass over their source, with the words taken there as their text.
+
+    Rows without words are never taken. Null sources are a source of their own. ``n_chars`` is counted anew. An empty
+    table gives no rows.
+    """
     mixed = mix_documents(docs, plan_mix(docs))
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and their slot in it."""
+    """All rows with their shard, bucket and slot in the shard; columns of those names are replaced.
+
+    Null ids and texts take part, repeated rows get slots of their own; an empty table gives no rows.
+    """
     return shuffle_into_shards(docs)
 
 
@@ -48,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents`` one after another, each but the last written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

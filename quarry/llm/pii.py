@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, materialise
+from quarry.llm.common import apart, discard, materialise
 
 #: Kinds in the order in which spans with one start stand. The first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
@@ -122,16 +122,24 @@ def _bare(word: str) -> str:
     return _DIGIT.sub("0", word.lower())
 
 
-def _narrow(last: str, opening: str) -> int:
-    return _hash(f"{last}\x00{opening}")
+_ODD, _LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def _wide(before: str, last: str, opening: str) -> int:
-    return _hash(f"{before} {last}\x00{opening}")
+def _mixed(*hashes):
+    """One hash of several, of Python's numbers or of numpy's arrays alike; their count and order matter."""
+    out = hashes[0]
+    for h in hashes[1:]:
+        out = (out ^ (out >> 31)) * _ODD & _LOW if isinstance(out, int) else (out ^ (out >> np.uint64(31))) * np.uint64(_ODD)
+        out = out ^ h
+    return out ^ (out >> 29) if isinstance(out, int) else out ^ (out >> np.uint64(29))
 
 
-def context(text: str, start: int) -> tuple[int, int | None, int] | None:
-    """The patterns before a place: of the last word (with its own hash), and of the last two; with the punctuation that opens the place."""
+def _opening(word: str) -> str:
+    return word[: len(word) - len(word.lstrip(_EDGES))]
+
+
+def context(text: str, start: int) -> tuple[int, int | None] | None:
+    """The patterns before a place: of the last word, and of the last two; with the punctuation that opens the place."""
     at = start
     while at > 0 and text[at - 1] in _EDGES:
         at -= 1
@@ -143,14 +151,19 @@ def context(text: str, start: int) -> tuple[int, int | None, int] | None:
         while at > 0 and not text[at - 1].isspace():
             at -= 1
         if at < end:
-            words.append(_bare(text[at:end]))
+            words.append(_hash(_bare(text[at:end])) & _LOW)
     if not words:
         return None
-    return _narrow(words[0], opening), _wide(words[1], words[0], opening) if len(words) == 2 else None, _hash(words[0])
+    opened = _hash(opening) & _LOW
+    return _signed(_mixed(words[0], opened)), _signed(_mixed(words[1], words[0], opened)) if len(words) == 2 else None
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-_FOUND = "row long, doc_id long, found array<struct<start: int, kind: int, end: int, narrow: long, wide: long, last: long, instance: long>>"
-_KIND = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("narrow", pa.int64()), ("wide", pa.int64()), ("last", pa.int64()), ("instance", pa.int64())])
+_FOUND = "row long, doc_id long, found array<struct<start: int, kind: int, end: int, narrow: long, wide: long, instance: long>>"
+_KIND = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("narrow", pa.int64()), ("wide", pa.int64()), ("instance", pa.int64())])
 
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,9 +182,9 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = value.as_py() or ""
                 base = base_spans(text)
                 for start, k, end in base + other_spans(text, base):
-                    rows.append((start, k, end, *(context(text, start) or (None, None, None)), _hash(text[start:end])))
+                    rows.append((start, k, end, *(context(text, start) or (None, None)), _hash(text[start:end])))
                 offsets.append(len(rows))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _KIND, strict=True)], fields=list(_KIND))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + b.num_rows)), b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner, type=pa.list_(_KIND))], names=["row", "doc_id", "found"])
             n += b.num_rows
@@ -190,60 +203,87 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+class _Words(dict):
+    """Numbers of words, by which arrays give the hash of a word as a pattern has it and of the punctuation that opens it. Number 0 stands between texts."""
+
+    def __init__(self):
+        super().__init__()
+        self.new, self.bare, self.opening = [], np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self) + 1
+        self.new.append(word)
+        return n
+
+    def fill(self) -> None:
+        """Hashes the words that are new, all at once."""
+        from xxhash import xxh64_intdigest
+
+        if self.new:
+            n = len(self.new)
+            bare = "\n".join(self.new).lower().encode().translate(_ZEROS).split(b"\n")
+            hashed = np.fromiter(map(xxh64_intdigest, bare), np.uint64, n)
+            opened = np.full(n, _hash("") & _LOW, dtype=np.uint64)
+            for k in [k for k, w in enumerate(self.new) if w[0] in _EDGES]:
+                opened[k] = _hash(_opening(self.new[k])) & _LOW
+            self.bare, self.opening, self.new = np.concatenate([self.bare, hashed]), np.concatenate([self.opening, opened]), []
+
+
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
+_PIECE, _KNOWN, _HELD = 1 << 18, 200_000, 1 << 18
+
+
+def _patterns_at(words: _Words, ids: np.ndarray) -> np.ndarray:
+    """The hashes of all patterns of a run of words, whatever follows them."""
+    words.fill()
+    bare, opening = words.bare[ids], words.opening[ids]
+    narrow = _mixed(bare[:-1], opening[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]
+    wide = _mixed(bare[:-2], bare[1:-1], opening[2:])[(ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)]
+    return np.concatenate([narrow, wide])
+
+
 def count_occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """``pattern, occurrences`` of ``patterns(pattern, last)``: how often a pattern's words and opening occur at all, whatever follows.
+    """``pattern, occurrences`` of the distinct ``patterns(pattern)``: how often a pattern's words and opening occur at all, whatever follows.
 
-    A pass over all texts with two filters of fixed size, of the patterns' last words and of the patterns; what both
-    let through is counted exactly by hash and joined to the patterns.
+    A pass over all texts with a filter of fixed size; what it lets through is counted exactly by hash and joined to
+    the patterns.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((_bits(patterns.select(F.col("last").alias("h")).distinct()), _bits(patterns.select(F.col("pattern").alias("h")))))
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(patterns.select(F.col("pattern").alias("h"))))
 
     def run(batches):
-        lasts, wanted = shared.value
-        known: dict[str, str | None] = {}
-
-        def within(bits, h):
-            at = h % FILTER_BITS
-            return bits[at >> 3] >> (at & 7) & 1
-
-        def look(word: str) -> str | None:
-            bare = _bare(word)
-            if len(known) > 500_000:
-                known.clear()
-            found = known[word] = bare if within(lasts, _hash(bare)) else None
-            return found
-
-        seen: dict[int, int] = {}
-        memo: dict[tuple[str, str, str], tuple[int, ...]] = {}
+        bits, gap = shared.value, np.zeros(1, dtype=np.int64)
+        words, pieces, held = _Words(), [], 0
+        found, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+        def count() -> None:
+            nonlocal found, counts
+            seen = _patterns_at(words, np.concatenate([*pieces, gap, gap]))
+            at = seen & np.uint64(FILTER_BITS - 1)
+            seen, n = np.unique(seen[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0], return_counts=True)
+            found, place = np.unique(np.concatenate([found, seen]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["pattern", "n"])
+
         for b in batches:
             for value in b.column(0):
-                words = (value.as_py() or "").split()
-                for k, word in enumerate(words[:-1]):
-                    last = known[word] if word in known else look(word)
-                    if last is None:
-                        continue
-                    after = words[k + 1]
-                    key = (words[k - 1] if k else "", word, after[: len(after) - len(after.lstrip(_EDGES))])
-                    hashes = memo.get(key)
-                    if hashes is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        both = (_narrow(last, key[2]), *([_wide(_bare(key[0]), last, key[2])] if key[0] else []))
-                        hashes = memo[key] = tuple(h for h in both if within(wanted, h))
-                    for h in hashes:
-                        seen[h] = seen.get(h, 0) + 1
-            if len(seen) > 100_000:
-                yield _counted(seen)
-                seen = {}
-        yield _counted(seen)
-
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("occurrences"))
-    return counted.join(patterns.select("pattern").distinct(), "pattern")
-
-
-def _counted(seen: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
+                text = (value.as_py() or "").split()
+                pieces += [np.fromiter(map(words.__getitem__, text), np.int64, len(text)), gap]
+                held += len(text)
+                if held >= _PIECE:
+                    count()
+                    pieces, held = [], 0
+                    if len(words) > _KNOWN:
+                        words = _Words()
+                    if len(found) > _HELD:
+                        yield out()
+                        found, counts = found[:0], counts[:0]
+        count()
+        yield out()
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("occurrences"))
+    return counts.join(patterns.select("pattern"), "pattern")
 
 
 def score_patterns(edges: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -255,30 +295,34 @@ def score_patterns(edges: DataFrame, support: float = SUPPORT, confidence: float
     """
     if rounds < 1:
         raise ValueError("at least one round is needed")
-    current, before = edges.withColumn("value", F.col("seed")), -1
+    current, before, steps = edges.withColumn("value", F.col("seed")), -1, []
     for k in range(rounds):
         scored = current.groupBy("pattern").agg((F.sum("value") / (F.count("*") + 1)).alias("confidence"), F.sum("value").alias("support"))
         good = materialise(scored.where((F.col("confidence") >= confidence - 1e-9) & (F.col("support") >= support - 1e-9)), "patterns")
+        discard(*steps)
         count = good.count()
         if k == rounds - 1 or count == before:
-            return good.select("pattern")
+            break
         before = count
         reach = edges.join(good.select("pattern", "confidence"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("reach"))
         current = materialise(edges.join(reach, "instance", "left").withColumn("value", F.greatest("seed", F.coalesce("reach", F.lit(0.0)))), "values")
+        steps = [good, current]
     return good.select("pattern")
 
 
 def good_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", support: float = SUPPORT, confidence: float = CONFIDENCE, precision: float = PRECISION, rounds: int = ROUNDS) -> DataFrame:
     """``pattern``: contexts of enough support and confidence that mostly precede identifiers, as a table."""
-    each = found.select(F.explode("found").alias("x")).select(F.explode(F.array("x.narrow", "x.wide")).alias("pattern"), "x.last", "x.instance", (F.col("x.kind") < 5).cast("double").alias("seed")).where("pattern is not null")
-    edges = materialise(each.groupBy("pattern", "last", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
+    each = found.select(F.explode("found").alias("x")).select(F.explode(F.array("x.narrow", "x.wide")).alias("pattern"), "x.instance", (F.col("x.kind") < 5).cast("double").alias("seed")).where("pattern is not null")
+    edges = materialise(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "edges")
     # Whatever the rounds give, a pattern's values can't sum to more than its instances.
-    able = materialise(edges.groupBy("pattern", "last").agg(F.count("*").alias("instances"), F.sum("n").alias("hits")).where(F.col("instances") >= support), "able_patterns")
+    able = materialise(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("n").alias("hits")).where(F.col("instances") >= support), "able_patterns")
     if able.limit(1).count() == 0:
         return able.select("pattern")
     precise = able.join(count_occurrences(docs, able, text_col), "pattern").where(F.col("hits") >= precision * F.col("occurrences")).select("pattern")
     kept = materialise(edges.join(precise, "pattern").select("pattern", "instance", "seed"), "precise_edges")
-    return score_patterns(kept, support, confidence, rounds)
+    good = score_patterns(kept, support, confidence, rounds)
+    discard(edges, able, kept)
+    return good
 
 
 def _spans(found: Column) -> Column:

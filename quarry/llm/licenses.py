@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text's sentences are normalised and mapped to identifiers of known licence sentences; the sequence of identifiers
-is then matched against licence rules in their order. A rule that matches takes its sentences out of the sequence,
-so what a longer rule has used can't also satisfy a shorter one.
+A text is read twice, with sentences that end at line ends and with sentences that run over them. Its sentences are
+normalised and mapped to identifiers of known licence sentences; both readings are merged by place, and the sequence of
+identifiers is then matched against licence rules in their order. A rule that matches takes its sentences out of the
+sequence, so what a longer rule has used can't also satisfy a shorter one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache-line",
     "licensed under the apache license version 2 0 the license": "apache-line",
     "you may not use this file except in compliance with the license": "apache-comply",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-grant",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-asis",
     "see the license for the specific language governing permissions and limitations under the license": "apache-see",
     "apache license version 2 0": "apache-title",
@@ -45,6 +48,7 @@ SENTENCES: dict[str, str] = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-line",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-line",
     "licensed under cc by nc 4 0": "cc-by-nc-line",
@@ -60,7 +64,9 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("Apache-2.0", ["apache-grant", "apache-copy", "apache-asis", "apache-see"]),
     ("Apache-2.0", ["apache-line", "apache-comply", "apache-copy", "apache-asis", "apache-see"]),
+    ("Apache-2.0", ["apache-grant"]),
     ("Apache-2.0", ["apache-line", "apache-comply"]),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty", "gpl-see"]),
@@ -85,30 +91,56 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-4.0", ["cc-by-line"]),
 ]
 
-_END = "\x01"
+# Tags name a licence by its identifier; a rule follows from each.
+_TAGGED = [*dict.fromkeys([*(name for name, _ in RULES), *(f"{x}-{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0") for y in ("only", "or-later"))])]
+KNOWN = SENTENCES | {f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}": f"spdx-{name}" for name in _TAGGED}
+ALL_RULES = [*RULES, *((name, [f"spdx-{name}"]) for name in _TAGGED)]
+
+#: Ends of sentences, and ends of lines that are none.
+_END, _LINE = "\x01", "\x02"
+# What comments put before their lines.
+_MARK = r"(?:#+|//+|\*+|;+|--+)"
+#: Replacements, in their order, of a text in lower case: patterns without looking around, so that any engine reads them alike.
+_STEPS = [
+    (r"(^|[^\p{L}\p{N}])v\.([ \t\r\n])", r"\1v\2"),  # "v. 2.0" is no end
+    (_MARK + r"[ \t\r\f]*\n", r"\n"),  # a comment's empty lines are empty
+    (r"\n[ \t\r\f]*\n[ \t\r\f]*" + _MARK + r"?[ \t]*(<?https?://)", r" \1"),  # an address after an empty line belongs to what names it
+    (r"\n[ \t\r\f]*" + _MARK + r"?[ \t]*\(?[0-9]{1,2}[.)][ \t]", _END),  # numbers of a list
+    (r"[.!?]([ \t\n\r\f]|$)", _END + r"\1"),
+    (r"\n[ \t\r\f]*\n", _END),
+    (r"\n", _LINE),
+    (r"[^\p{L}\p{N}" + _END + _LINE + "]+", " "),
+]
 
 
 def _sequence(ids: list[str]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
-def sentence_ids(text: Column, lines: bool) -> Column:
-    """The known sentences of a text as identifiers in their order.
+def normalised(text: Column) -> Column:
+    """A text's words in lower case by single spaces, with the ends of sentences and of lines."""
+    out = F.lower(text)
+    for pattern, to in _STEPS:
+        out = F.regexp_replace(out, pattern, "\n" if to == r"\n" else to.replace("\\", "$"))
+    return out
 
-    Sentences end at a full stop, question or exclamation mark before white space, at the text's end and at blank
-    lines; with ``lines`` also at every line's end, else a sentence may run over lines.
-    """
-    marked = F.regexp_replace(F.lower(text), "[.!?]([ \\t\\n\\r\\f]|$)", _END + "$1")
-    marked = F.regexp_replace(marked, "\\n" if lines else "\\n[ \\t\\r\\f]*\\n", _END)
-    plain = F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}{_END}]+", " ")
-    known = F.filter(F.transform(F.split(plain, _END), lambda s: F.trim(s)), lambda s: s.isin(list(SENTENCES)))
-    names = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    return F.transform(known, lambda s: F.element_at(names, s))
+
+def _found(sentences: Column) -> Column:
+    """The known ones of the sentences as ``(start, end, id)``; places count characters of words, so both readings share them."""
+    names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    empty = F.array().cast("array<struct<start: bigint, end: bigint, id: string>>")
+
+    def step(acc: Column, sentence: Column) -> Column:
+        end = acc["at"] + F.length(F.replace(sentence, F.lit(" "), F.lit("")))
+        known = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.element_at(names, F.trim(sentence)).alias("id")))
+        return F.struct(end.alias("at"), F.when(F.trim(sentence).isin(list(KNOWN)), F.concat(acc["out"], known)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(sentences, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def apply_rules(sequence: Column) -> Column:
     """Licences whose rules match a sequence ``<id><id>``, in the order of the rules, each once."""
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(ids)).alias("ids")) for name, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(ids)).alias("ids")) for name, ids in ALL_RULES])
     start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("found"))
     folded = F.aggregate(
         rules, start,
@@ -123,36 +155,43 @@ def apply_rules(sequence: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, sentences, licenses, n_sentences``: one row per row of ``docs``, without a shuffle.
 
-    ``sentences`` is the longer of the two readings (by lines, over lines; by lines if as long), ``licenses`` the
-    names found in it, comma-joined in rule order. Null and empty texts have empty strings and 0. Repeated rows
-    stay; other columns aren't read.
+    ``sentences`` are the known ones of both readings in the order of their places, a line within a longer known
+    sentence left out; ``licenses`` the names found in them, comma-joined in rule order. Null and empty texts have
+    empty strings and 0. Repeated rows stay; other columns aren't read; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(text, True).alias("by_line"), sentence_ids(text, False).alias("over"))
-    chosen = read.select("doc_id", F.when(F.size("over") > F.size("by_line"), F.col("over")).otherwise(F.col("by_line")).alias("ids"))
+    read = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("plain"))
+    over = F.regexp_replace("plain", f"[ {_LINE}]+", " ")
+    read = read.select("doc_id", _found(F.split("plain", f"[{_END}{_LINE}]")).alias("by_line"), _found(F.split(over, _END)).alias("over"))
+    apart = F.filter("by_line", lambda x: ~F.exists("over", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    chosen = read.select("doc_id", F.transform(F.array_sort(F.concat("over", apart)), lambda x: x["id"]).alias("ids"))
     joined = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     found = F.when(F.size("ids") > 0, apply_rules(joined)).otherwise(F.array().cast("array<string>"))
     return chosen.select("doc_id", F.array_join("ids", ",").alias("sentences"), F.array_join(found, ",").alias("licenses"), F.size("ids").cast("long").alias("n_sentences"))
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``scan_licenses`` over ``documents``."""
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
-
-    def ids(pattern: str) -> str:
-        marked = f"regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]([ \\t\\n\\r\\f]|$)', chr(1) || '\\1', 'g'), '{pattern}', chr(1), 'g')"
-        plain = f"regexp_replace({marked}, '[^\\p{{L}}\\p{{N}}\\x01]+', ' ', 'g')"
-        return f"list_transform(list_filter(list_transform(string_split({plain}, chr(1)), lambda s: trim(s)), lambda s: k.m[s] IS NOT NULL), lambda s: k.m[s])"
-
+    """DuckDB SQL for ``scan_licenses`` over ``documents``: relations and windows instead of folds."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in KNOWN.items())
+    plain = "lower(coalesce(text, ''))"
+    for pattern, to in _STEPS:
+        target = "chr(10)" if to == r"\n" else "'" + to.replace(_END, "' || chr(1) || '").replace(_LINE, "' || chr(2) || '") + "'"
+        source = "'" + pattern.replace("'", "''").replace(_END, "\\x01").replace(_LINE, "\\x02") + "'"
+        plain = f"regexp_replace({plain}, {source}, {target}, 'g')"
+    parts = "SELECT rid, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT rid, {split} AS p FROM a)"
+    reading = "SELECT x.rid, x.at - x.n AS start, x.at AS stop, k.id FROM (SELECT rid, trim(s) AS s, length(replace(s, ' ', '')) AS n, sum(length(replace(s, ' ', ''))) OVER (PARTITION BY rid ORDER BY i) AS at FROM ({parts})) x JOIN k USING (s)"
+    lines = reading.format(parts=parts.format(split="string_split_regex(plain, '[\\x01\\x02]')"))
+    over = reading.format(parts=parts.format(split="string_split(regexp_replace(plain, '[ \\x02]+', ' ', 'g'), chr(1))"))
     steps, last = [], "c"
-    for n, (name, rule) in enumerate(RULES):
-        s = _sequence(rule)
-        steps.append(f"r{n} AS (SELECT doc_id, ids, replace(rest, '{s}', '|') AS rest, CASE WHEN contains(rest, '{s}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
+    for n, (name, rule) in enumerate(ALL_RULES):
+        q = _sequence(rule)
+        steps.append(f"r{n} AS (SELECT doc_id, ids, replace(rest, '{q}', '|') AS rest, CASE WHEN contains(rest, '{q}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"r{n}"
     return (
-        f"WITH k AS (SELECT {known} AS m), a AS MATERIALIZED (SELECT doc_id, {ids(chr(92) + 'n')} AS by_line, {ids(chr(92) + 'n[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'f]*' + chr(92) + 'n')} AS over_ FROM documents, k), "
-        "b AS (SELECT doc_id, CASE WHEN len(over_) > len(by_line) THEN over_ ELSE by_line END AS ids FROM a), "
-        "c AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM b), "
+        f"WITH k(s, id) AS (VALUES {known}), a AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {plain} AS plain FROM documents), "
+        f"l AS MATERIALIZED ({lines}), o AS MATERIALIZED ({over}), "
+        "u AS (SELECT * FROM o UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rid = l.rid AND o.start <= l.start AND l.stop <= o.stop)), "
+        "b AS (SELECT rid, list(id ORDER BY start, stop, id) AS ids FROM u GROUP BY rid), "
+        "c AS MATERIALIZED (SELECT doc_id, coalesce(ids, CAST([] AS VARCHAR[])) AS ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM a LEFT JOIN b USING (rid)), "
         + ", ".join(steps)
         + f" SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(found, ','), '') AS licenses, CAST(len(ids) AS BIGINT) AS n_sentences FROM {last}"
     )

@@ -64,3 +64,98 @@ def test_sql(spark, data):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
     assert sorted(map(tuple, op4_license_scan(spark, data).collect())) == sorted(c.execute(ORACLE_SQL["op4_license_scan"]).fetchall())
+
+
+APACHE = """Copyright 2020 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+BSD3 = BSD + """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+WHOLE = {
+    "Apache-2.0": (APACHE, "apache-grant,apache-copy,apache-asis,apache-see"), "MPL-2.0": (MPL, "mpl2-line,mpl2-copy"), "BSD-2-Clause": (BSD, "bsd-grant,bsd-source,bsd-binary"),
+    "BSD-3-Clause": (BSD3, "bsd-grant,bsd-source,bsd-binary,bsd-endorse"), "GPL-3.0-or-later": (GPL, "gpl3-grant,gpl-warranty,gpl-see"), "LGPL-2.1-or-later": (LGPL, "lgpl21-grant"), "ISC": (ISC, "isc-grant"),
+    "MIT": ("MIT License\n\nCopyright (c) 2021 J. Doe\n\n" + MIT, "mit-title,mit-grant,mit-notice,mit-asis,mit-liable"), "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "gpl-title,gpl3-version"),
+}
+
+
+def test_canonical_notices_are_read_whole(spark):
+    """Plain, between prose, and as comments of several languages."""
+    shapes = [lambda t: t, lambda t: "Some prose before. And\nmore\n\n" + t + "\nProse after.", *[lambda t, m=m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n")) for m in ("#", "//", " *", ";;", "--")]]
+    rows = [(n, k, name, shape(text), ids) for n, shape in enumerate(shapes) for k, (name, (text, ids)) in enumerate(WHOLE.items())]
+    docs = spark.createDataFrame([(10 * n + k, t) for n, k, _, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["sentences"]) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {10 * n + k: (name, ids) for n, k, name, _, ids in rows}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), (BSD + "\nReleased under the MIT License\nand prose goes on here", "BSD-2-Clause,MIT"),
+        ("Released under the MIT License\nwith prose on the next line. " + ISC, "ISC,MIT"), ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this", "Apache-2.0"),
+        ("\n" * 5000 + "MIT License" + " \n" * 5000, "MIT"), ("see section 2. licensed under\nthe mit license", "MIT"),
+    ],
+)
+def test_both_readings_count(spark, text, want):
+    assert found(spark, text) == want
+
+
+def test_sql_on_notices(spark, tmp_path):
+    rows = [(k, t) for k, (t, _) in enumerate(WHOLE.values())] + [(90, BSD3 + APACHE + MPL), (91, None), (92, ""), (93, "#\n# MIT License\n#\n\n\n1) Released under the MIT license\n")] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(map(tuple, licenses.scan_licenses(spark.read.parquet(str(tmp_path / "d"))).collect())) == sorted(c.execute(ORACLE_SQL["op4_license_scan"]).fetchall())

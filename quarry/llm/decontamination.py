@@ -85,6 +85,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], edits: float):
         import ahocorasick
 
+        if not 0 <= edits < 1:
+            raise ValueError("edits must be at least 0 and below 1 per character: an item that may be replaced whole is in every text")
+
         self.patterns = [Pattern(n, t, math.floor(len(t) * edits)) for n, t in items]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, p in enumerate(self.patterns):
@@ -135,7 +138,7 @@ def _merged(windows: list[list[int]]) -> list[list[int]]:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, shortest: int, block_chars: int) -> list[list[tuple[int, str]]]:
     """The items in blocks; one block at a time reaches the driver. An item over a block's size is its own block."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), normalised(F.col(text_col)).alias("text")).where(F.length("text") >= shortest).distinct()
+    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), normalised(F.col(text_col)).alias("text")).where(F.length("text") >= max(1, shortest)).distinct()
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     count = max(1, math.ceil(total / block_chars))
     for k in range(count):
@@ -184,7 +187,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs; nothing is shuffled."""
+    """The rows of ``docs`` in which no item occurs; nothing is shuffled.
+
+    Null and empty texts hold no item and stay, as do repeated rows without one. Null, empty and too short items occur
+    nowhere, so that an empty benchmark keeps every row. Columns are the input's, whatever they are called; an empty
+    table gives no rows.
+    """
     normal = apart(docs) + "normal"
     shape = T.StructType([*docs.schema.fields, T.StructField(normal, T.StringType())])
     rows = docs.withColumn(normal, normalised(F.col(text_col)))

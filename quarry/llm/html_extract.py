@@ -301,7 +301,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.xxhash64(host).alias("host"))
     # One row per host with its low leaves. Written, its size is known when the join is planned: under the broadcast
     # threshold the pages stay where they are; beyond it Spark shuffles both sides and splits hot hosts.
-    by_host = materialise(low_leaves(source.select("host", "html")).groupBy("host").agg(F.collect_set("node").alias("low")), "low_leaves")
+    low = low_leaves(source.select("host", "html"))
+    by_host = materialise(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low_by_host")
+    discard(low)
     cut = source.join(by_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_cut, "page_id long, url string, text string")
     return cut.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -313,7 +315,7 @@ def _spread(rows: DataFrame, keys: list[str], feature: str, *more) -> DataFrame:
 
 
 def _importance(seen: DataFrame, above: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
-    """``by.., node, pages, importance`` and ``by.., node, chars`` (of leaves) over the distinct pages of one host (``by`` = host) or of all."""
+    """``by.., node, pages, importance`` and, written, ``by.., node, n, s, chars`` of leaves over the distinct pages of one host (``by`` = host) or of all."""
     keys = [*by, "node"]
     layout = seen.select(*by, F.explode("nodes").alias("x")).select(*by, "x.node", "x.layout")
     content = seen.select(*by, F.explode("held").alias("x")).select(*by, "x.node", "x.feature", "x.chars")
@@ -323,7 +325,7 @@ def _importance(seen: DataFrame, above: DataFrame, *by: str) -> tuple[DataFrame,
     through = leaves.withColumnRenamed("node", "leaf_node").join(above.withColumnRenamed("leaf", "leaf_node"), "leaf_node").select(*by, F.col("up").alias("node"), "n", "leaf", (F.col("up") != F.col("leaf_node")).cast("int").alias("inner"))
     below = through.groupBy(*keys).agg((F.sum(F.col("n") * F.col("leaf")) / F.sum("n")).alias("content"), F.max("inner").alias("inner"))
     mixed = (1 - CONTENT_SHARE) * F.col("layout") + CONTENT_SHARE * F.col("content")
-    return shown.join(below, keys).select(*keys, "pages", F.when(F.col("inner") == 1, mixed).otherwise(F.col("content")).alias("importance")), held.select(*keys, "chars")
+    return shown.join(below, keys).select(*keys, "pages", F.when(F.col("inner") == 1, mixed).otherwise(F.col("content")).alias("importance")), held
 
 
 def _main(kept: DataFrame, above: DataFrame, names: DataFrame, *by: str) -> DataFrame:
@@ -357,22 +359,24 @@ def low_leaves(source: DataFrame) -> DataFrame:
     seen = materialise(read.select("host", "page", "held", "nodes").dropDuplicates(["host", "page"]), "distinct_pages")
     names = materialise(seen.select(F.explode("nodes").alias("x")).groupBy("x.node").agg(F.min("x.evidence").alias("evidence"), F.max("x.wraps").alias("wraps"), F.min("x.depth").alias("depth")), "names")
     everywhere = seen.dropDuplicates(["page"])
-    own, own_chars = _importance(seen, above, "host")
-    all_, all_chars = _importance(everywhere, above)
+    own, own_held = _importance(seen, above, "host")
+    all_, all_held = _importance(everywhere, above)
     all_ = materialise(all_.select("node", ((F.col("pages") * F.col("importance") + WEIGHT * UNKNOWN) / (F.col("pages") + WEIGHT)).alias("all")), "all_nodes")
     value = (F.col("pages") * F.col("importance") + WEIGHT * F.col("all")) / (F.col("pages") + WEIGHT)
     judged = materialise(own.join(all_, "node").join(names, "node").select("host", "node", "pages", value.alias("value"), (value + F.col("evidence")).alias("score"), "evidence"), "judged")
     low = judged.where(F.col("score") < THRESHOLD).select("host", F.col("node").alias("up"))
-    leaves = own_chars.join(judged, ["host", "node"]).select("host", "node", "chars", "pages", "value", "score")
+    leaves = own_held.select("host", "node", "chars").join(judged, ["host", "node"]).select("host", "node", "chars", "pages", "value", "score")
     gone = leaves.select("host", F.col("node").alias("leaf")).join(above, "leaf").join(low, ["host", "up"], "left_semi").select("host", F.col("leaf").alias("node")).distinct()
     gone = materialise(gone, "low_branches")
     rest = materialise(leaves.join(gone, ["host", "node"], "left_anti"), "rest")
     places = rest.select("host", "node")
     by_host = _away(_main(rest.select("host", "node", (F.col("chars") * F.col("value")).alias("mass")), above, names, "host"), above, places, "away")
     # The main branch of all hosts, by what is left of each leaf on any of them, counts for those that have it.
-    some = rest.select("node").distinct().join(all_chars, "node").join(all_, "node").select("node", (F.col("chars") * F.col("all")).alias("mass"))
+    some = rest.select("node").distinct().join(all_held.select("node", "chars"), "node").join(all_, "node").select("node", (F.col("chars") * F.col("all")).alias("mass"))
     having = judged.join(_main(some, above, names), F.col("node") == F.col("up")).select("host", "up", "share")
     by_all = _away(having, above, places, "away_all")
     away = (F.col("pages") * F.coalesce("away", F.lit(0.0)) + WEIGHT * F.coalesce("away_all", F.lit(0.0))) / (F.col("pages") + WEIGHT)
     far = rest.join(by_host, ["host", "node"], "left").join(by_all, ["host", "node"], "left").where(F.col("score") - OUTSIDE * away < THRESHOLD).select("host", "node")
-    return gone.union(far)
+    out = materialise(gone.union(far), "low_leaves")
+    discard(read, above, seen, names, own_held, all_held, all_, judged, gone, rest)
+    return out

@@ -271,7 +271,11 @@ def feature(payload: bytes, media: Media) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, media``: every whole text (null: empty) as a Matroska file. One row per row, in no order."""
+    """``doc_id, n_bytes, media``: every whole text (null: empty) as a Matroska file.
+
+    One row per row, repeated ones too, in no order; null ids stay null; other columns aren't read; an empty table
+    gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -308,16 +312,27 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What ``store`` wrote, read back: sizes, hashes and features of every stored file, one row per row."""
+    """What ``store`` wrote, read back: sizes, hashes and features of every stored file, one row per row.
+
+    Of null media all columns but ``doc_id`` and ``n_bytes`` are null; of malformed ones those of the payload are. Media
+    without packets have an empty payload. Repeated rows stay; other columns aren't read; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for data in batch.column(2):
                 data = data.as_py()
-                found = parse(data)
-                payload = demux(data, found)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, found)))
+                stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                try:
+                    found = parse(data or b"")
+                    payload = None if data is None else demux(data, found)
+                except (MediaError, IndexError):
+                    payload = None
+                if payload is None:
+                    rows.append((None, None, None, *stored, None))
+                else:
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), *stored, feature(payload, found)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]

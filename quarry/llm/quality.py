@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import apart
 
-#: Labelled rows that a model is fitted on at most, words that get a vector of their own, length of the vectors.
-SAMPLE_ROWS, VOCABULARY, WIDTH = 4000, 20_000, 64
+#: Labelled rows that a model is fitted on at most and the bytes of their texts, words that get a vector of their own
+#: (all others share those of their shapes), length of the vectors.
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY, WIDTH = 4000, 64 << 20, 20_000, 64
 _NONZERO, _HIDDEN, _EPOCHS, _BATCH, _CHUNK = 8, 32, 80, 64, 1 << 15
 
 
@@ -43,8 +44,9 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 
 def shape(word: str) -> str:
-    """Classes of the word's characters, each run as one, at most its first eight."""
-    return "\x00" + _RUN.sub(r"\1", word[:48].translate(_SHAPES))[:8]
+    """Classes of the whole word's characters, each run as one; beyond eight, the first eight and the size of the rest by powers of two."""
+    runs = _RUN.sub(r"\1", word.translate(_SHAPES))
+    return "\x00" + (runs if len(runs) <= 8 else f"{runs[:8]}\x00{(len(runs) - 8).bit_length()}")
 
 
 def marks(words: list[str], text: str) -> list[str]:
@@ -243,17 +245,29 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(id_.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, seed: int = 5) -> Model:
-    """Fits a model on at most ``sample_rows`` labelled rows that aren't held out, chosen by a hash of their id.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, vocabulary: int = VOCABULARY, seed: int = 5) -> Model:
+    """Fits a model on at most ``sample_rows`` labelled rows that aren't held out, in the order of a hash of their id, as far as their whole texts together have ``sample_bytes``.
 
-    Null labels and ids are left out; of several labels for an id the highest counts. What reaches the driver is
-    bounded by the sample.
+    Null labels and ids are left out; of several labels for an id the highest counts, of several texts the greatest.
+    Null texts count as empty. What reaches the driver is bounded by the two sizes. Without labelled rows the score is
+    0.5, without both labels the one there is.
     """
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample_rows)
     ids = docs.sparkSession.createDataFrame(chosen.collect() or [], "__id long, __label int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("__id")).groupBy("__id").agg(F.max("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    joined = texts.join(F.broadcast(ids), F.col("id") == F.col("__id"))
+    sizes = joined.groupBy("__id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").collect()
+    fits, left = [], sample_bytes
+    for r in sizes:
+        left -= r["bytes"]
+        if left >= 0:
+            fits.append((r["__id"],))
+        else:
+            break
+    if len(fits) < len(sizes):
+        joined = joined.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "__id long")), "__id", "left_semi")
+    rows = joined.groupBy("__id").agg(F.max("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
     found = sorted((r["__id"], r["text"], r["label"]) for r in rows.toLocalIterator())
     return fit([(t, y) for _, t, y in found], vocabulary, seed)
 

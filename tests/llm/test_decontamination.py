@@ -65,3 +65,34 @@ def test_blocks_of_items_give_the_same(spark, data):
     exact = {(r["doc_id"], b["item_id"]) for r in docs.collect() for b in bench.collect() if len(norm(b["text"])) >= d.SHORTEST and norm(b["text"]) in norm(r["text"])}
     assert {(x[0], x[1]) for x in one if x[2] == 0} == exact
     assert sorted(map(tuple, op3_decontamination(spark, data).collect())) == one
+
+
+def test_any_shortest_and_edits(spark, odd):
+    import pytest
+
+    bench = spark.createDataFrame([(1, ""), (2, None), (3, "x"), (4, "...")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in d.find_leaks(odd, bench, shortest=0).collect()} == {(1, 3), (5, 3), (6, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in d.find_leaks(odd, bench, shortest=-5, edits=0.99).collect()} == {(1, 3), (5, 3), (6, 3)}
+    for edits in (1, -0.1):
+        with pytest.raises(ValueError, match="edits"):
+            d.Index([(1, "some item")], edits)
+
+
+def test_query_against_brute_force_with_edits(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(300)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, some(rng.choice((7, 15, 40)))) for k in range(15)]
+    rows = []
+    for k in range(80):
+        text = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(text))
+            text[at] = rng.choice(["", "x", text[at] + "y", text[at]])
+        rows.append((k, f"{some(rng.randint(0, 40))} {''.join(text)}. {some(rng.randint(0, 40))}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, i, e) for k, t in rows for i, x in items if len(norm(x)) >= d.SHORTEST and (e := distance_to_part(norm(x), norm(t))) <= int(len(norm(x)) * d.EDITS)}
+    got = d.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and any(e for _, _, e in want)
+    assert all(r["end"] - r["first"] >= len(norm(dict(items)[r["item_id"]])) - r["distance"] for r in got)
+    assert {r["doc_id"] for r in d.decontaminate(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _, _ in want}

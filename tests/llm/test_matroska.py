@@ -68,3 +68,11 @@ def test_odd_rows_and_packets(spark, odd, none):
     broken = spark.createDataFrame([(1, b"junk"), (2, None)], "doc_id long, media binary")
     assert [r["error"] is not None for r in m.packet_table(broken).collect()] == [True, True]
     assert m.digests(m.store(none)).count() == 0
+
+
+def test_digests_of_null_and_malformed_media(spark):
+    good = bytes(m.mux(m.padded(b"abc")))
+    media = spark.createDataFrame([(1, 3, bytearray(good)), (2, 3, None), (3, 3, bytearray(b"")), (4, 3, bytearray(b"no media at all")), (5, 3, bytearray(good[: len(good) // 2])), (None, 3, bytearray(good))], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in m.digests(media).collect()}
+    assert len(got) == 6 and got[1]["payload_bytes"] == got[None]["payload_bytes"] == 64
+    assert got[2]["media_bytes"] is None and got[2]["feature"] is None and got[4]["media_bytes"] == 15

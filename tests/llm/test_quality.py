@@ -57,3 +57,12 @@ def test_temperature_calibrates():
     z = np.array([4.0, 4.0, -4.0, -4.0] * 50)
     y = np.array([1.0, 0.0, 0.0, 1.0] * 50)
     assert quality._temperature(z, y) > 5
+
+
+def test_shapes_read_whole_words_and_samples_are_bounded_by_bytes(spark):
+    assert quality.shape("a1" * 30) != quality.shape("a1" * 300) and quality.shape("ab12") == quality.shape("xyz9")
+    docs = spark.createDataFrame([(k, ("good words here " if k % 2 else "x9 ## zz ") * 50) for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    whole, part = quality.learn(docs, labels), quality.learn(docs, labels, sample_bytes=20_000)
+    assert whole.constant is None and part.constant is None
+    assert quality.learn(docs, labels, sample_bytes=10).constant == 0.5

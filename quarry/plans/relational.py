@@ -66,7 +66,7 @@ c AS (SELECT answer_status, max(latency_ms) FILTER (r <= 0.95) AS p95_rank FROM
 SELECT v.answer_status, s[CAST(round_even(0.95 * (len(s) - 1), 0) AS INT) + 1] AS p95_even, s[CAST(ceil(round(0.95 * len(s), 9)) AS INT)] AS p95_ceil, p95_rank, s[CAST(len(s) // 2 AS INT) + 1] AS upper_median FROM v JOIN c USING (answer_status)""")
 def percentile_three_variants(spark: SparkSession, d: str) -> DataFrame:
     log, x = qlog(spark, d), F.col("latency_ms")
-    a = log.groupBy("answer_status").agg(percentiles.nearest_rank_even(x, 0.95).alias("p95_even"), percentiles.nearest_rank_ceil(x, 0.95).alias("p95_ceil"), percentiles.upper_median(x).alias("upper_median"))
+    a = percentiles.ranked_values(log, ["answer_status"], "latency_ms", {"p95_even": percentiles.place_even(0.95), "p95_ceil": percentiles.place_ceil(0.95), "upper_median": percentiles.place_upper_median()})
     return a.join(percentiles.percent_rank_value(log, ["answer_status"], "latency_ms", 0.95, "p95_rank"), "answer_status")
 
 
@@ -391,10 +391,10 @@ def retention_split(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.lit("kept").alias("state")).union(old.select(F.lit("expired").alias("state"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("ingest_policy", """WITH k AS (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'a/tmp/x.pdf' WHEN 1 THEN 'a/~$x.docx' WHEN 2 THEN 'a/Thumbs.db' WHEN 3 THEN 'a/noext' WHEN 4 THEN 'a/x.DOC' WHEN 5 THEN 'a/x.weird' ELSE 'a/x.PDF' END AS key FROM part)
-SELECT CASE key WHEN 'a/tmp/x.pdf' THEN 'excluded_path' WHEN 'a/~$x.docx' THEN 'temp_file' WHEN 'a/Thumbs.db' THEN 'junk_name' WHEN 'a/noext' THEN 'no_extension' WHEN 'a/x.DOC' THEN 'legacy_extension' WHEN 'a/x.weird' THEN 'unknown_extension' ELSE 'ok' END AS reason, count(*) AS n FROM k GROUP BY 1""")
+@query("ingest_policy", """WITH k AS (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'raw/_archive/x.pdf' WHEN 1 THEN 'a/~$x.docx' WHEN 2 THEN 'a/Thumbs.db' WHEN 3 THEN 'a/noext' WHEN 4 THEN 'a/x.DOC' WHEN 5 THEN 'a/x.weird' ELSE 'a/x.PDF' END AS key FROM part)
+SELECT CASE key WHEN 'raw/_archive/x.pdf' THEN 'excluded_path' WHEN 'a/~$x.docx' THEN 'temp_file' WHEN 'a/Thumbs.db' THEN 'junk_name' WHEN 'a/noext' THEN 'no_extension' WHEN 'a/x.DOC' THEN 'legacy_extension' WHEN 'a/x.weird' THEN 'unknown_extension' ELSE 'ok' END AS reason, count(*) AS n FROM k GROUP BY 1""")
 def ingest_policy(spark: SparkSession, d: str) -> DataFrame:
     from quarry.sources.files import ingest_decision
 
-    keys = F.array(*map(F.lit, ("a/tmp/x.pdf", "a/~$x.docx", "a/Thumbs.db", "a/noext", "a/x.DOC", "a/x.weird", "a/x.PDF")))
+    keys = F.array(*map(F.lit, ("raw/_archive/x.pdf", "a/~$x.docx", "a/Thumbs.db", "a/noext", "a/x.DOC", "a/x.weird", "a/x.PDF")))
     return read(spark, d, "part").groupBy(ingest_decision(F.element_at(keys, (F.col("p_size") % 7 + 1).cast("int")))["reason"].alias("reason")).agg(F.count("*").alias("n"))

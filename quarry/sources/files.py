@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,11 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What the ingest policy looks at.
-EXCLUDED_SEGMENTS = ("__macosx", ".git", "_archive", "_trash", "tmp")
+TEMPORARY_PREFIXES = ("~$", ".~")
 JUNK_NAMES = ("thumbs.db", ".ds_store", "desktop.ini")
-IGNORED_EXTENSIONS = ("tmp", "bak", "log", "lnk", "exe", "dll", "zip", "rar", "7z")
+IGNORED_EXTENSIONS = ("db", "tmp", "lnk", "exe", "dll", "mp4", "avi", "mov", "wmv", "mp3", "wav", "zip", "rar", "7z", "tar", "gz")
 LEGACY_EXTENSIONS = ("doc", "xls", "ppt")
-KNOWN_EXTENSIONS = ("pdf", "docx", "xlsx", "pptx", "txt", "md", "csv", "html", "htm", "png", "jpg", "jpeg")
+EXCLUDED_SEGMENTS = ("/_quarantine/", "/_archive/")
+EXCLUDED_PREFIXES = ("raw/_quarantine/", "raw/_archive/", "_quarantine/", "_archive/")
+INGESTIBLE_EXTENSIONS = ("pdf", "docx", "xlsx", "pptx", "txt", "md", "csv", "html", "htm", "png", "jpg", "jpeg", "webp", "tif", "tiff", "gif", "bmp")
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -22,19 +26,36 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("key"), F.col("modificationTime").alias("last_modified"), "length")
 
 
+def _extension(name: Column) -> Column:
+    """What follows the last dot, in lower case; dots that a name begins with separate nothing."""
+    return F.lower(F.regexp_extract(name, "^\\.*[^.].*\\.([^.]*)$", 1))
+
+
 def ingest_decision(key: Column) -> Column:
-    """``struct(ok, reason)``: the first rule against the key, or ok."""
-    low = F.lower(key)
-    name = F.element_at(F.split(low, "/"), -1)
-    ext = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise("")
-    inside = F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, EXCLUDED_SEGMENTS)))
+    """``struct(ok, reason)``: the first rule against the key, or ok. Paths count as they are written, names whatever their case."""
+    name = F.element_at(F.split(key, "/"), -1)
+    low, ext = F.lower(name), _extension(name)
+    apart = F.lit(False)
+    for part in EXCLUDED_SEGMENTS:
+        apart = apart | F.contains(key, F.lit(part))
+    for part in EXCLUDED_PREFIXES:
+        apart = apart | F.startswith(key, F.lit(part))
+    temporary = F.lit(False)
+    for part in TEMPORARY_PREFIXES:
+        temporary = temporary | F.startswith(low, F.lit(part))
     reason = (
-        F.when(key.isNull() | F.endswith(key, F.lit("/")), "directory").when(inside, "excluded_path").when(F.startswith(name, F.lit("~$")), "temp_file").when(name.isin(*JUNK_NAMES), "junk_name")
-        .when(ext == "", "no_extension").when(ext.isin(*IGNORED_EXTENSIONS), "ignored_extension").when(ext.isin(*LEGACY_EXTENSIONS), "legacy_extension").when(~ext.isin(*KNOWN_EXTENSIONS), "unknown_extension").otherwise("ok")
+        F.when(key.isNull() | (key == "") | F.endswith(key, F.lit("/")), "directory").when(apart, "excluded_path").when(temporary, "temp_file").when(low.isin(*JUNK_NAMES), "junk_name")
+        .when(ext == "", "no_extension").when(ext.isin(*IGNORED_EXTENSIONS), "ignored_extension").when(ext.isin(*LEGACY_EXTENSIONS), "legacy_extension").when(~ext.isin(*INGESTIBLE_EXTENSIONS), "unknown_extension").otherwise("ok")
     )
     return F.struct((reason == "ok").alias("ok"), reason.alias("reason"))
 
 
+def raw_key_stem(key: Column) -> Column:
+    """The name without its last extension, trimmed."""
+    name = F.element_at(F.split(F.coalesce(key, F.lit("")), "/"), -1)
+    return F.trim(F.regexp_replace(name, "^(\\.*[^.].*)\\.[^.]*$", "$1"))
+
+
 def new_objects(listed: DataFrame, registered: DataFrame, key: str = "key") -> DataFrame:
     return listed.join(registered.select(key).distinct(), key, "left_anti")
 
@@ -110,17 +131,30 @@ def html_to_text(page: Column) -> Column:
     return F.pandas_udf(_html, "string")(page)
 
 
+def _csv(raw: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            try:
+                dialect = csv.Sniffer().sniff(text[:4096], delimiters=",;\t")
+            except csv.Error:
+                dialect = csv.excel
+            rows = [[cell.strip() for cell in row] for row in csv.reader(io.StringIO(text), dialect)]
+        except csv.Error:
+            return text
+        return "\n".join(" | ".join(row) for row in rows if any(row)) or text
+
+    return raw.map(one)
+
+
 def csv_text(raw: Column) -> Column:
-    """Rows of delimited text as lines with cells joined by `` | ``; blank rows go. The delimiter is the commonest of , ; tab in the first line."""
-    first = F.substring_index(raw, "\n", 1)
-    count = lambda c: F.char_length(first) - F.char_length(F.replace(first, F.lit(c), F.lit("")))
-    sep = F.when((count("\t") > count(",")) & (count("\t") >= count(";")), "\t").when(count(";") > count(","), ";").otherwise(",")
-    lines = F.filter(F.split(F.replace(raw, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    return F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(F.split(F.replace(x, sep, F.lit("\x01")), "\x01"), lambda c: F.trim(c)), " | ")), "\n")
+    """Rows of delimited text (comma, semicolon or tab, with quotes) as lines with cells joined by `` | ``, in Arrow batches; blank rows go, what can't be read stays as it is."""
+    return F.pandas_udf(_csv, "string")(raw)
 
 
-def decode_text(raw: Column, encodings: tuple[str, ...] = ("UTF-8", "GB18030", "ISO-8859-1")) -> Column:
-    """Bytes as text in the first encoding that fits."""
+def decode_text(raw: Column, encodings: tuple[str, ...] = ("utf-8-sig", "gb18030")) -> Column:
+    """Bytes as text in the first encoding that fits; in none, as UTF-8 with marks for what can't be read."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")

@@ -79,3 +79,12 @@ def gate_allowed(permission: Column, allowed: Column) -> Column:
 def covers(wide_permission: Column, wide_owner: Column, permission: Column, owner: Column) -> Column:
     """Whether all who may read the second may read the first."""
     return (wide_permission == "public") | ((wide_permission == "dept_internal") & (permission == "dept_internal") & wide_owner.eqNullSafe(owner))
+
+
+def still_granted(hits, grants):
+    """Hits ``(doc_id, group, via_grant)`` less those that were shown for a grant which ``grants(doc_id, group, status)`` no longer has as approved."""
+    from pyspark.sql import functions as F
+
+    approved = grants.where(F.lower("status") == "approved").select("doc_id", "group").distinct()
+    held = hits.where("via_grant").join(approved, ["doc_id", "group"], "left_semi")
+    return hits.where(~F.coalesce("via_grant", F.lit(False))).unionByName(held)

@@ -170,7 +170,7 @@ def is_prose_table(text: Column) -> Column:
 
 def flatten_prose_table(text: Column) -> Column:
     flat = F.regexp_replace(F.trim(F.regexp_replace(text, "\\s*\\|\\s*", " ")), "[ \\t]{2,}", " ")
-    return F.trim(F.regexp_replace(flat, "(?:(?<=\\s)|^)(\\d{1,2}[、.][一-龥])", "\n$1"))
+    return F.regexp_replace(F.regexp_replace(flat, "(?:(?<=\\s)|^)(\\d{1,2}[、.][一-龥])", "\n$1"), "^\\s+|\\s+$", "")
 
 
 def native_text_ok(text: Column) -> Column:

@@ -50,11 +50,13 @@ def youden_threshold(scores: DataFrame, score: str = "score", label: str = "labe
 
 
 def score_summary(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
-    from quarry.operators.percentiles import nearest_rank_ceil
+    from quarry.operators.percentiles import place_ceil, ranked_values
 
-    c = F.col(x)
-    cuts = [nearest_rank_ceil(c, q / 100).alias(f"p{q}") for q in (25, 50, 75, 90)]
-    return df.groupBy(*(by or [])).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.round(F.stddev_pop(c), 6).alias("pstdev"), *cuts)
+    c, keys = F.col(x), by or []
+    cuts = ranked_values(df, keys, x, {f"p{q}": place_ceil(q / 100) for q in (25, 50, 75, 90)})
+    out = df.groupBy(*keys).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.round(F.stddev_pop(c), 6).alias("pstdev"))
+    # Without keys each side is a global aggregate of exactly one row.
+    return out.join(cuts, keys, "left") if keys else out.crossJoin(cuts)
 
 
 def bootstrap_ci(df: DataFrame, x: str, rounds: int = 2000, seed: int = 7, alpha: float = 0.05, max_rows: int = 1_000_000) -> DataFrame:
@@ -129,7 +131,7 @@ def gold_rank(hits: DataFrame, gold: DataFrame) -> DataFrame:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 7) -> DataFrame:
     """``n`` rows of each stratum by a seeded hash of their key."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), key))
     return df.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n")
 
 
@@ -201,3 +203,19 @@ def anchor_hits(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     numeric = lambda s: F.regexp_replace(s, "^0+(?=\\d)", "")
     all_ = F.forall(signals, lambda s: F.when(s.rlike("^\\d+$"), F.array_contains(indices, numeric(s))).otherwise(F.contains(blob, F.lower(s))))
     return rows.select("anchor_id", F.col("refs").isNotNull().alias("key_hit"), (F.col("refs").isNotNull() & F.coalesce(all_, F.lit(False))).alias("image_hit"))
+
+
+def random_rows(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """``n`` rows by a seeded hash of their key: the same rows however the table is partitioned."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), key).limit(n)
+
+
+def strata_summary(ranks: DataFrame) -> DataFrame:
+    """``stratum, value`` and the ranking summary of ``ranks(qid, rank, positives, gated, module, source, difficulty)``.
+
+    Negatives (no positive) and gated questions count nowhere; questions with one and with several positives are apart.
+    """
+    kept = ranks.where((F.col("positives") > 0) & ~F.coalesce("gated", F.lit(False)))
+    kept = kept.withColumn("target", F.when(F.col("positives") == 1, "single").otherwise("multi"))
+    strata = F.array(*[F.struct(F.lit(c).alias("stratum"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in ("target", "module", "source", "difficulty")])
+    return ranking_summary(kept.select(F.explode(strata).alias("s"), "rank").select("s.*", "rank"), by=["stratum", "value"])

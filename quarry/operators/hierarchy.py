@@ -48,3 +48,10 @@ def nearest_anchor(closure: DataFrame, anchors: DataFrame) -> DataFrame:
     hit = closure.where("ok").join(anchors.select(F.col("id").alias("ancestor"), "groups"), "ancestor")
     near = hit.groupBy("node").agg(F.min_by("groups", "hops").alias("groups"))
     return closure.select("node").distinct().join(near, "node", "left")
+
+
+def first_level(closure: DataFrame, tree: DataFrame, depth: str = "depth") -> DataFrame:
+    """``node, top``: the highest ancestor at depth one or above (``tree(id, depth)``), the node itself included; null without any."""
+    named = closure.where("ok").join(tree.select(F.col("id").alias("ancestor"), F.col(depth).alias("__depth")), "ancestor").where("__depth <= 1")
+    top = named.groupBy("node").agg(F.max_by("ancestor", "hops").alias("top"))
+    return closure.select("node").distinct().join(top, "node", "left")

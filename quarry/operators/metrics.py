@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.status import outcome_class
-from quarry.operators.percentiles import nearest_rank_even, upper_median
+from quarry.operators.percentiles import place_even, ranked_values, upper_median
 
 #: Thresholds of the service objectives.
 OBJECTIVES = {
@@ -31,10 +31,11 @@ def daily_metrics(log: DataFrame, day: Column, rejected: DataFrame | None = None
     out = rows.groupBy("day").agg(
         F.count("*").alias("total_queries"), count(F.col("kind") == "success").alias("success_count"), count(F.col("kind") == "refusal").alias("refusal_count"),
         count(F.col("kind") == "no_result").alias("no_result_count"), count(F.col("kind") == "error").alias("error_count"), count(F.col("blocked")).alias("risk_blocked_count"),
-        nearest_rank_even(F.col("lat"), 0.5).alias("p50"), nearest_rank_even(F.col("lat"), 0.95).alias("p95"), F.round(F.avg("top_score"), 4).alias("avg_top_score"),
+        F.round(F.avg("top_score"), 4).alias("avg_top_score"),
         F.count_distinct("user_id").alias("distinct_users"), F.count_distinct("session_id").alias("distinct_sessions"),
     )
     total = F.col("total_queries")
+    out = out.join(ranked_values(rows, ["day"], "lat", {"p50": place_even(0.5), "p95": place_even(0.95)}), "day", "left")
     out = out.withColumns({"answer_rate": rate(F.col("success_count"), total), "no_result_rate": rate(F.col("no_result_count"), total), "error_rate": rate(F.col("error_count"), total)})
     out = out.withColumn("p50_latency_ms", F.floor("p50").cast("long")).withColumn("p95_latency_ms", F.floor("p95").cast("long")).drop("p50", "p95")
     if rejected is not None:

@@ -103,3 +103,48 @@ def purge_order(facts: DataFrame, log: DataFrame, subject: DataFrame) -> tuple[D
     """Facts and then log rows of a subject; facts are found through the log, so the log goes last."""
     mine = log.join(subject.select("user_id").distinct(), "user_id", "left_semi")
     return facts.join(mine.select("message_id").distinct(), "message_id", "left_semi"), mine
+
+
+def reclassify_missing(missing: DataFrame, fetched: DataFrame, failed: DataFrame) -> DataFrame:
+    """``pk, doc_id, found``: what a lookup by key says of rows that the enumeration lacks: invisible (there), unclassified (its batch failed) or confirmed (gone)."""
+    there = fetched.select("pk").distinct().withColumn("__there", F.lit(True))
+    lost = failed.select("pk").distinct().withColumn("__lost", F.lit(True))
+    joined = missing.select("pk", "doc_id").join(there, "pk", "left").join(lost, "pk", "left")
+    return joined.select("pk", "doc_id", F.when(F.col("__there"), "invisible").when(F.col("__lost"), "unclassified").otherwise("confirmed").alias("found"))
+
+
+def vanished_verdicts(vanished: DataFrame, classified: DataFrame) -> DataFrame:
+    """``doc_id, verdict`` of documents that the enumeration lost: an artifact if all their missing keys are there, else at risk, also where none of their keys was looked up."""
+    per = classified.groupBy("doc_id").agg(F.bool_and(F.col("found") == "invisible").alias("there"))
+    verdict = F.when(F.col("there").isNull(), "at_risk:no_indexed_coverage").when(F.col("there"), "artifact").otherwise("at_risk:confirmed_or_unclassified")
+    return vanished.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", verdict.alias("verdict"))
+
+
+def final_verdict(classified: DataFrame, verdicts: DataFrame, unhealthy_buckets: int, lookup_ok: bool) -> DataFrame:
+    """``confirmed, unclassified, invisible, at_risk, ok, health, basis``; one row. Without a lookup that worked all vanished documents are at risk."""
+    c = classified.agg(*[F.count_if(F.col("found") == k).alias(k) for k in ("confirmed", "unclassified", "invisible")])
+    risk = F.count("*") if not lookup_ok else F.count_if(F.startswith("verdict", F.lit("at_risk")))
+    # Two global aggregates of one row each.
+    out = c.crossJoin(verdicts.agg(risk.alias("at_risk")))
+    if not lookup_ok:
+        return out.withColumns({"ok": F.lit(False), "health": F.lit("unknown"), "basis": F.lit("query_only")})
+    health = F.when(F.col("unclassified") > 0, "unknown").when((F.col("invisible") > 0) | (F.lit(unhealthy_buckets) > 0), "degraded").otherwise("healthy")
+    return out.withColumns({"ok": (F.col("confirmed") == 0) & (F.col("unclassified") == 0) & (F.col("at_risk") == 0), "health": health, "basis": F.lit("fetch")})
+
+
+def unchanged_grants(docs: DataFrame) -> DataFrame:
+    """``doc_id, unchanged`` of ``docs(doc_id, mode, want_json, have)``: only where both lists are known, the mode is no node's and they agree as sorted; broken JSON is unknown."""
+    want = F.from_json("want_json", "array<string>")
+    same = (F.array_sort(want) == F.col("have")) & (F.lower(F.coalesce("mode", F.lit("legacy"))) != "node")
+    return docs.select("doc_id", F.coalesce(same, F.lit(False)).alias("unchanged"))
+
+
+def present_by(keys: DataFrame, exists: Column, name: str = "present") -> DataFrame:
+    """Keys with what a caller's predicate says of them; one that fails to say counts as not there."""
+    return keys.withColumn(name, F.coalesce(exists, F.lit(False)))
+
+
+def parity_in_buckets(store: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
+    """``bucket`` and counts by kind, of ``parity`` over buckets of the key: their sums are those of the whole."""
+    kinds = parity(store, index).withColumn("bucket", F.pmod("pk", F.lit(buckets)))
+    return kinds.groupBy("bucket").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("missing", "dup", "inactive", "orphan")])

@@ -221,3 +221,23 @@ def retrieve(arms: DataFrame, chunks: DataFrame, weights: dict[str, float], top_
     chosen = select_with_cap(hits, top_k, cap)
     context = stitch_neighbors(chosen, chunks, window)
     return chosen.drop("chunk_text").join(context, ["doc_id", "version_no", "chunk_index"])
+
+
+def attach_dates(hits: DataFrame, versions: DataFrame, meta: DataFrame) -> DataFrame:
+    """Hits with ``doc_date``, the day on which their document's current version came in; null where nothing is known."""
+    current = meta.select("doc_id", F.col("current_version_no").alias("version_no")).join(versions, ["doc_id", "version_no"])
+    days = current.groupBy("doc_id").agg(F.max(F.to_date("created_at")).alias("doc_date"))
+    return hits.join(days, "doc_id", "left")
+
+
+def page_with_more(df: DataFrame, order: list[Column], n: int, offset: int = 0) -> tuple[DataFrame, bool]:
+    """A page of ``n`` rows, and whether any row follows: one row more is asked for than is shown."""
+    probe = df.orderBy(*order).offset(offset).limit(n + 1)
+    return probe.limit(n), probe.count() > n
+
+
+def degrade_dense(arms: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Arms without the dense hits of queries whose embedding failed (a null or zero vector in ``embedded(query_id, embedding)``); ``degraded`` tells them."""
+    failed = embedded.where(F.col("embedding").isNull() | ~F.exists("embedding", lambda x: x != 0)).select("query_id").distinct().withColumn("degraded", F.lit(True))
+    out = arms.join(failed, "query_id", "left").withColumn("degraded", F.coalesce("degraded", F.lit(False)))
+    return out.where(~(F.col("degraded") & (F.col("arm") == "dense")))

@@ -62,7 +62,7 @@ def run(steps: list[Step], context: dict[str, Any] | None = None) -> tuple[dict[
             context[s.name] = s.run(context)
             states[s.name] = "done"
         except Exception as error:
-            context[s.name] = error
+            context[f"{s.name}.error"] = error
             states[s.name] = "failed"
     return context, states
 

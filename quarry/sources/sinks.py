@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 from quarry.functions.text import mask_staff_id
 
 
-def bulk_batches(chunks: DataFrame, id_col: str, max_bytes: int = 1_500_000, lanes: int = 32) -> DataFrame:
+#: Bytes of bodies that a lane aims at where their number isn't stated.
+LANE_BYTES = 64 << 20
+
+
+def bulk_batches(chunks: DataFrame, id_col: str, max_bytes: int = 1_500_000, lanes: int | None = None) -> DataFrame:
     """``lane, batch_no, n_rows, n_bytes, body``: NDJSON batches filled greedily by UTF-8 bytes.
 
-    Rows are dealt into lanes by their id; within one, a batch is closed before the row that would exceed
+    Rows are dealt into lanes by a hash of their id; within one, a batch is closed before the row that would exceed
     the limit, and a row over the limit is a batch of its own. Greedy filling is sequential, hence one Arrow group per
-    lane; more lanes make smaller groups.
+    lane; as many lanes as the bodies' bytes need bound a group.
     """
     body = F.to_json(F.struct(*chunks.columns))
-    rows = chunks.select(F.pmod(F.xxhash64(id_col), F.lit(lanes)).cast("int").alias("lane"), F.col(id_col).cast("string").alias("__id"), body.alias("body"))
+    if lanes is None:
+        lanes = max(1, -(-(chunks.agg(F.sum(F.octet_length(body)).cast("long").alias("n")).first()["n"] or 0) // LANE_BYTES))
+    lane = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % lanes
+    rows = chunks.select(lane.cast("int").alias("lane"), F.col(id_col).cast("string").alias("__id"), body.alias("body"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
@@ -87,3 +94,28 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     from quarry.functions.text import normalize_text
 
     return docs.withColumn("canonical_sha256", F.sha2(normalize_text(F.col(text_col)), 256))
+
+
+def log_rows(answers: DataFrame) -> dict[str, DataFrame]:
+    """What one commit of the question log writes, from ``answers(message_id, session_id, user_id, created_at, query_text, answer_status, retrieved)``.
+
+    ``events``: a row per message, of several the first; ``facts``: message and document, each pair once;
+    ``conversations``: per session its last time and number of messages, for an upsert. Unknown columns are left out.
+    """
+    known = [c for c in ("message_id", "session_id", "user_id", "created_at", "query_text", "answer_status") if c in answers.columns]
+    first = F.row_number().over(Window.partitionBy("message_id").orderBy("created_at"))
+    once = answers.withColumn("__n", first).where("__n = 1").drop("__n")
+    facts = once.select("message_id", F.explode("retrieved").alias("doc_id")).where("doc_id is not null").distinct()
+    return {"events": once.select(*known), "facts": facts, "conversations": once.groupBy("session_id").agg(F.max("created_at").alias("last_at"), F.count("*").alias("messages"))}
+
+
+def status_write_back(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Versions with ``chunk_status`` from their chunks: EMPTY without any, FAILED if one failed, else INDEXED if all are, else PROCESSING."""
+    per = chunks.groupBy("doc_id", "version_no").agg(F.count_if(F.col("index_status") == "FAILED").alias("__f"), F.count_if(F.col("index_status") == "INDEXED").alias("__i"), F.count("*").alias("__n"))
+    state = F.when(F.col("__n").isNull(), "EMPTY").when(F.col("__f") > 0, "FAILED").when(F.col("__i") == F.col("__n"), "INDEXED").otherwise("PROCESSING")
+    return versions.join(per, ["doc_id", "version_no"], "left").withColumn("chunk_status", state).drop("__f", "__i", "__n")
+
+
+def delete_archived(df: DataFrame, archived: DataFrame, key: list[str]) -> DataFrame:
+    """The table without rows that the archive holds: only what was archived goes."""
+    return df.join(archived.select(*key).distinct(), key, "left_anti")

@@ -37,16 +37,20 @@ def leader_clusters(members: DataFrame, threshold: float = 0.90, block: str = "b
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "hash"], ascending=[False, True])
-        leaders, names, out = np.zeros((0, 0)), [], []
-        for h, v in zip(pdf["hash"], pdf["vector"], strict=True):
-            v = np.asarray(v, dtype=float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            scores = leaders @ v if names else np.zeros(0)
+        vectors = np.stack(pdf["vector"].to_numpy()).astype(float)
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors /= np.where(norms > 0, norms, 1.0)
+        # Room for the representatives doubles as they come, so none is copied more than a few times.
+        leaders, names, out = np.zeros((16, vectors.shape[1])), [], []
+        for h, v in zip(pdf["hash"], vectors, strict=True):
+            scores = leaders[: len(names)] @ v
             best = int(np.argmax(scores)) if names else -1
             if best >= 0 and scores[best] >= threshold:
                 out.append((h, names[best]))
             else:
-                leaders = np.vstack([leaders, v]) if names else v[None, :]
+                if len(names) == len(leaders):
+                    leaders = np.concatenate([leaders, np.zeros_like(leaders)])
+                leaders[len(names)] = v
                 names.append(h)
                 out.append((h, h))
         return pd.DataFrame(out, columns=["hash", "representative"])

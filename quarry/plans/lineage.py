@@ -203,7 +203,10 @@ def anchor_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.anchor_hits(meta(spark, d).select(F.col("doc_id").alias("anchor_id"), "doc_id", F.array(F.lit("k2"), F.lit("k3")).alias("keys"), signals.alias("signals")), chunks)
 
 
-@query("comment_handoffs")
+@query("comment_handoffs", f"""WITH RECURSIVE {LOG}, r AS (SELECT CAST(user_id AS VARCHAR) AS actor, epoch_us(created_at) / 1e6 AS ts, answer_status = 'NO_RESULT' AS mark, CAST(message_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, message_id) AS n FROM qlog),
+s AS (SELECT actor, n, ts, mark, CAST(NULL AS VARCHAR) AS comment_of, CASE WHEN mark THEN [struct_pack(id := id, t := ts)] ELSE [] END AS live FROM r WHERE n = 1
+UNION ALL SELECT r.actor, r.n, r.ts, r.mark, CASE WHEN NOT r.mark THEN list_filter(live, lambda x: x.t >= r.ts - 21600)[-1].id END, CASE WHEN r.mark THEN list_append(list_filter(live, lambda x: x.t >= r.ts - 21600), struct_pack(id := r.id, t := r.ts)) ELSE list_filter(live, lambda x: x.t >= r.ts - 21600)[1:-2] END FROM s JOIN r ON r.actor = s.actor AND r.n = s.n + 1)
+SELECT actor, ts, comment_of FROM s WHERE NOT mark""")
 def comment_handoffs(spark: SparkSession, d: str) -> DataFrame:
     q = qlog(spark, d)
     mark = F.col("answer_status") == "NO_RESULT"

@@ -359,7 +359,8 @@ def daily_quota(spark: SparkSession, d: str) -> DataFrame:
     return limits.daily_quota(log, F.to_date("ts"), F.col("k"), 100).select(F.col("request_id").alias("message_id"), "within")
 
 
-@query("sliding_limiter")
+@query("sliding_limiter", f"""WITH RECURSIVE {LOG}, r AS (SELECT CAST(user_id AS VARCHAR) AS actor, epoch_us(created_at) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY created_at) AS n FROM qlog), f AS (SELECT actor, n, ts, true AS admitted, [ts] AS held FROM r WHERE n = 1
+UNION ALL SELECT r.actor, r.n, r.ts, len(list_filter(held, lambda x: x > r.ts - 3600)) < 2, CASE WHEN len(list_filter(held, lambda x: x > r.ts - 3600)) < 2 THEN list_append(list_filter(held, lambda x: x > r.ts - 3600), r.ts) ELSE list_filter(held, lambda x: x > r.ts - 3600) END FROM f JOIN r ON r.actor = f.actor AND r.n = f.n + 1) SELECT actor, ts, admitted FROM f""")
 def sliding_limiter(spark: SparkSession, d: str) -> DataFrame:
     from quarry.streaming.limits import sliding_limit
 

@@ -71,14 +71,25 @@ def near_dup_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return audits.near_duplicate_chunks(docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")))
 
 
-@query("document_simhash", """WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark), g AS (SELECT item_id, CAST('0x' || substr(md5(unnest(list_transform(range(1, length(t) - 1), lambda k: substr(t, k, 3)))), 1, 16) AS UBIGINT) AS h FROM b),
+@query("benchmark_simhash", """WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark), g AS (SELECT item_id, CAST('0x' || substr(md5(unnest(list_transform(range(1, length(t) - 1), lambda k: substr(t, k, 3)))), 1, 16) AS UBIGINT) AS h FROM b),
 v AS (SELECT item_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM g, (SELECT CAST(unnest(range(0, 64)) AS INT) AS bit) GROUP BY 1, 2) SELECT item_id, string_agg(CASE WHEN votes > 0 THEN '1' ELSE '0' END, '' ORDER BY bit DESC) AS bits FROM v GROUP BY 1""")
-def document_simhash(spark: SparkSession, d: str) -> DataFrame:
+def benchmark_simhash(spark: SparkSession, d: str) -> DataFrame:
     from quarry.functions.arrow import simhash64
 
     return read(spark, d, "benchmark").select("item_id", F.lpad(F.bin(simhash64(F.col("text"))), 64, "0").alias("bits"))
 
 
+@query("document_simhash")
+def document_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents, with the distance to the fingerprint of the document of the smallest id in their source."""
+    from quarry.functions.arrow import simhash64
+
+    prints = docs(spark, d).select("doc_id", "source", simhash64(F.col("text")).alias("h"))
+    first = prints.groupBy("source").agg(F.min_by("h", "doc_id").alias("first"))
+    near = text.hamming64(F.col("h"), F.col("first")).alias("distance")
+    return prints.join(first, "source").select("doc_id", F.lpad(F.bin("h"), 64, "0").alias("bits"), near)
+
+
 @query("pii_emails", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails FROM documents")
 def pii_emails(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.coalesce(F.try_element_at(redact.detect(F.col("text")), F.lit("email")), F.lit(0)).cast("long").alias("emails"))
@@ -166,10 +177,10 @@ def chunk_quality(spark: SparkSession, d: str) -> DataFrame:
     return chunking.quality_flags(docs(spark, d).withColumnRenamed("text", "chunk_text")).groupBy("source").agg(F.count("*").alias("n"), F.count_if("mid_sentence").alias("mid_sentence"), F.count_if("odd_size").alias("odd_size"))
 
 
-@query("neighbor_stitch", f"WITH {DOCS}, c AS (SELECT DISTINCT doc_id, chunk_index FROM chunk), k AS (SELECT doc_id, chunk_index FROM c WHERE chunk_index % 3 = 1) SELECT k.doc_id, k.chunk_index, string_agg('c' || c.chunk_index, chr(10) ORDER BY c.chunk_index) AS text FROM k JOIN c ON c.doc_id = k.doc_id AND c.chunk_index BETWEEN k.chunk_index - 1 AND k.chunk_index + 1 GROUP BY 1, 2")
+@query("neighbor_stitch", f"WITH {DOCS}, c AS (SELECT DISTINCT doc_id, chunk_index FROM chunk), k AS (SELECT doc_id, chunk_index FROM c) SELECT k.doc_id, k.chunk_index, string_agg('c' || c.chunk_index, chr(10) ORDER BY c.chunk_index) AS text FROM k JOIN c ON c.doc_id = k.doc_id AND c.chunk_index BETWEEN k.chunk_index - 1 AND k.chunk_index + 1 GROUP BY 1, 2")
 def neighbor_stitch(spark: SparkSession, d: str) -> DataFrame:
     c = chunk(spark, d).select("doc_id", "chunk_index").distinct().select("doc_id", "chunk_index", F.lit(1).alias("version_no"), F.lit("public").alias("permission_level"), F.lit("o").alias("owner"), F.concat(F.lit("c"), F.col("chunk_index").cast("string")).alias("text"))
-    return retrieval.stitch_neighbors(c.where("chunk_index % 3 = 1"), c).select("doc_id", "chunk_index", "text")
+    return retrieval.stitch_neighbors(c, c).select("doc_id", "chunk_index", "text")
 
 
 _EMB = "e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0)"
@@ -452,14 +463,16 @@ def exact_duplicates_by_sha(spark: SparkSession, d: str) -> DataFrame:
     return later.select("doc_id", "incumbent", F.when(wide, "skip").otherwise("warn").alias("action"))
 
 
-@query("bulk_batches")
+@query("bulk_batches", """WITH RECURSIVE b AS (SELECT CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) % 4 AS INT) AS lane, CAST(doc_id AS VARCHAR) AS id, CAST(strlen(CAST(json_object('doc_id', doc_id, 'text', text) AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS n FROM b), f AS (SELECT lane, n, bytes, 0 AS batch_no, bytes AS used FROM r WHERE n = 1
+UNION ALL SELECT r.lane, r.n, r.bytes, CASE WHEN used + r.bytes > 200000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN used + r.bytes > 200000 THEN r.bytes ELSE used + r.bytes END FROM f JOIN r ON r.lane = f.lane AND r.n = f.n + 1) SELECT lane, batch_no, count(*) AS n_rows, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM f GROUP BY 1, 2""")
 def bulk_batches(spark: SparkSession, d: str) -> DataFrame:
     from quarry.sources.sinks import bulk_batches as batches
 
     return batches(docs(spark, d).select("doc_id", "text"), "doc_id", 200_000, 4).select("lane", "batch_no", "n_rows", "n_bytes")
 
 
-@query("stratified_sample")
+@query("stratified_sample", "SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS n FROM documents) WHERE n <= 20")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Twenty documents of each language."""
     return evaluation.stratified_sample(docs(spark, d), "lang", "doc_id", 20).select("lang", "doc_id")

@@ -99,3 +99,14 @@ def contribution_state(review: Column, ingest: Column) -> Column:
         F.when(review == "rejected", "rejected").when(review != "accepted", "pending").when(ingest == "searchable", "searchable").when(ingest == "failed", "failed")
         .when(ingest.isin("registering", "registered"), "processing").otherwise("accepted")
     )
+
+
+def ledger_filter(docs, facts=None, permission: str = "", badge: str = "", cited: str = "", bad: str = "bad"):
+    """Rows of ``docs(doc_id, permission_level, badge)`` by audience, badge (``bad`` stands for all that call for attention) and use; an empty criterion, or one without facts, filters nothing."""
+    if permission:
+        docs = docs.where(F.col("permission_level") == permission)
+    if badge:
+        docs = docs.where(F.col("badge").isin(*BAD_BADGES) if badge == bad else F.col("badge") == badge)
+    if cited in ("used", "unused") and facts is not None:
+        docs = docs.join(facts.where("cited = 1").select("doc_id").distinct(), "doc_id", "left_semi" if cited == "used" else "left_anti")
+    return docs

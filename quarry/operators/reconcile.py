@@ -24,12 +24,14 @@ def parity(store: DataFrame, index: DataFrame) -> DataFrame:
 
 def parity_summary(store: DataFrame, index: DataFrame) -> DataFrame:
     """Counts by kind, documents that vanished from the index or that only it has, and the verdict; one row."""
-    kinds = parity(store, index).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("missing", "dup", "inactive", "orphan")])
-    due = store.where("is_active = 1 and index_status = 'INDEXED'").select("doc_id").distinct()
-    vanished = due.join(index.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("vanished_docs"))
-    orphans = index.select("doc_id").distinct().join(store.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("orphan_docs"))
-    # Each side is a global aggregate of exactly one row.
-    return kinds.crossJoin(vanished).crossJoin(orphans).withColumn("ok", (F.col("n_missing") == 0) & (F.col("vanished_docs") == 0))
+    due = (F.col("is_active") == 1) & (F.col("index_status") == "INDEXED")
+    known = store.groupBy("doc_id").agg(F.bool_or(F.coalesce(due, F.lit(False))).alias("due"))
+    docs = known.join(index.select("doc_id").distinct().withColumn("there", F.lit(True)), "doc_id", "full_outer")
+    state = F.when(F.col("due") & F.col("there").isNull(), "vanished_docs").when(F.col("due").isNull(), "orphan_docs")
+    # Rows of keys and of documents meet in one aggregate.
+    rows = parity(store, index).select(F.concat(F.lit("n_"), "kind").alias("what")).unionAll(docs.select(state.alias("what")).where("what is not null"))
+    names = ("n_missing", "n_dup", "n_inactive", "n_orphan", "vanished_docs", "orphan_docs")
+    return rows.agg(*[F.count_if(F.col("what") == k).alias(k) for k in names]).withColumn("ok", (F.col("n_missing") == 0) & (F.col("vanished_docs") == 0))
 
 
 def object_parity(chunks: DataFrame, present: DataFrame) -> DataFrame:

@@ -72,17 +72,18 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score`` over ``docs(doc_id, text)`` and ``queries(query_id, text)``; any term of a query may match.
 
-    Only terms of queries are counted, so the shuffle holds their postings and not the corpus.
+    Only terms of queries are counted, so the shuffle holds their postings and not the corpus. The corpus's two
+    statistics are scalars; of a term its postings are counted where they meet the queries.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     lengths = docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     tf = lengths.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # The statistics are one row.
-    idf = df.crossJoin(stats).select("term", "avgdl", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return wanted.join(tf, "term").join(idf, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
+    idf = df.select("term", F.ln(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"])))
+    # Queries take the small side's statistics along before they meet the postings.
+    return wanted.join(idf, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
 
 
 def sparse_dot(queries: DataFrame, docs: DataFrame) -> DataFrame:

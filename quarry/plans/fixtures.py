@@ -95,13 +95,13 @@ def _zip(parts: dict[str, str]) -> bytearray:
 
 
 @expect("office_blocks", "path, block_no, block_type, text, page_num, level", [
-    ("a.docx", 0, "heading", "Title", None, 1), ("a.docx", 1, "paragraph", "Text", None, None), ("a.docx", 2, "table", "a | b", None, None), ("b.xlsx", 0, "table", "x | 7", 1, None), ("c.pptx", 0, "paragraph", "First", 1, None), ("c.pptx", 1, "paragraph", "Second", 2, None),
+    ("a.docx", 0, "heading", "Title", None, 1), ("a.docx", 1, "paragraph", "Text", None, None), ("a.docx", 2, "paragraph", "Boxed", None, None), ("a.docx", 3, "paragraph", "Beside", None, None), ("a.docx", 4, "table", "a | b", None, None), ("b.xlsx", 0, "table", "x | 7", 1, None), ("c.pptx", 0, "paragraph", "First", 1, None), ("c.pptx", 1, "paragraph", "Second", 2, None),
 ])
 def office_blocks(spark: SparkSession) -> DataFrame:
     w, a, s = ('xmlns:%s="http://schemas.openxmlformats.org/%s/2006/main"' % x for x in (("w", "wordprocessingml"), ("a", "drawingml"), ("s", "spreadsheetml")))
     para = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"
     head = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
-    docx = _zip({"word/document.xml": f"<w:document {w}><w:body>{para('Title', head)}{para('Text')}{para(' ')}<w:tbl><w:tr><w:tc>{para('a')}</w:tc><w:tc>{para('b')}</w:tc></w:tr></w:tbl></w:body></w:document>"})
+    docx = _zip({"word/document.xml": f"<w:document {w}><w:body>{para('Title', head)}{para('Text')}{para(' ')}<w:p><w:r><w:pict><w:txbxContent>{para('Boxed')}</w:txbxContent></w:pict><w:t>Beside</w:t></w:r></w:p><w:tbl><w:tr><w:tc>{para('a')}</w:tc><w:tc>{para('b')}</w:tc></w:tr></w:tbl></w:body></w:document>"})
     xlsx = _zip({"xl/sharedStrings.xml": f"<s:sst {s}><s:si><s:t>x</s:t></s:si></s:sst>", "xl/worksheets/sheet1.xml": f'<s:worksheet {s}><s:sheetData><s:row><s:c t="s"><s:v>0</s:v></s:c><s:c><s:v>7</s:v></s:c></s:row></s:sheetData></s:worksheet>'})
     slide = lambda t: f"<a:x {a}><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:x>"
     pptx = _zip({"ppt/slides/slide2.xml": slide("Second"), "ppt/slides/slide1.xml": slide("First")})

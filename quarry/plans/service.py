@@ -381,3 +381,19 @@ def live_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("present_keys", "SELECT p_partkey, coalesce(p_size > 20, false) AS present FROM part")
 def present_keys(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.present_by(read(spark, d, "part").select("p_partkey", "p_size"), F.col("p_size") > 20).select("p_partkey", "present")
+
+
+@query("ledger_filters", f"""WITH {DOCS}, l AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'public' ELSE 'dept_internal' END AS p, CASE doc_id % 4 WHEN 0 THEN '处理失败' WHEN 1 THEN '已隔离' ELSE '已上线' END AS b FROM meta), f AS (SELECT doc_id FROM chunk WHERE part_id % 5 = 0)
+SELECT 'all' AS what, count(*) AS n FROM l UNION ALL SELECT 'public_bad', count(*) FROM l WHERE p = 'public' AND b IN ('处理失败', '已隔离') UNION ALL SELECT 'live_used', count(*) FROM l WHERE b = '已上线' AND doc_id IN (SELECT doc_id FROM f) UNION ALL SELECT 'unused', count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM f)""")
+def ledger_filters(spark: SparkSession, d: str) -> DataFrame:
+    from quarry.functions.status import ledger_filter
+
+    i = F.col("doc_id")
+    docs = meta(spark, d).select(i, F.when(i % 3 == 0, "public").otherwise("dept_internal").alias("permission_level"), F.when(i % 4 == 0, "处理失败").when(i % 4 == 1, "已隔离").otherwise("已上线").alias("badge"))
+    facts = chunk(spark, d).select("doc_id", (F.col("part_id") % 5 == 0).cast("int").alias("cited"))
+    asked = {"all": {}, "public_bad": {"permission": "public", "badge": "bad"}, "live_used": {"badge": "已上线", "cited": "used"}, "unused": {"cited": "unused"}}
+    out = None
+    for name, criteria in asked.items():
+        one = ledger_filter(docs, facts, **criteria).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = one if out is None else out.union(one)
+    return out

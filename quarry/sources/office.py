@@ -20,12 +20,31 @@ SCHEMA = "path string, block_no int, block_type string, text string, page_num in
 
 
 def docx_blocks(data: bytes) -> list[tuple[str, str, int | None, int | None]]:
-    """Headings by style, paragraphs, tables as lines of cells joined by `` | ``."""
+    """Headings by style, paragraphs, text boxes before the paragraph that anchors them, tables as lines of cells joined by `` | ``."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     out: list[tuple[str, str, int | None, int | None]] = []
-    words = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
+
+    def parts(e: ElementTree.Element, boxes: list[ElementTree.Element]) -> Iterator[str]:
+        for c in e:
+            if c.tag == f"{_W}txbxContent":
+                boxes.append(c)
+            elif not c.tag.endswith("}Fallback"):  # the same once more, for old readers
+                if c.tag == f"{_W}t":
+                    yield c.text or ""
+                yield from parts(c, boxes)
+
+    def words(e: ElementTree.Element) -> str:
+        return "".join(parts(e, []))
+
+    def boxed(e: ElementTree.Element) -> list[str]:
+        boxes: list[ElementTree.Element] = []
+        list(parts(e, boxes))
+        return [x.strip() for b in boxes for p in b.iter(f"{_W}p") if (x := words(p)).strip()]
+
     for e in body if body is not None else ():
+        if e.tag == f"{_W}p":
+            out += [("paragraph", x, None, None) for x in boxed(e)]
         if e.tag == f"{_W}p" and words(e).strip():
             style = e.find(f"{_W}pPr/{_W}pStyle")
             name = (style.get(f"{_W}val") or "") if style is not None else ""

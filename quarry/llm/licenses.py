@@ -96,6 +96,21 @@ _TAGGED = [*dict.fromkeys([*(name for name, _ in RULES), *(f"{x}-{y}" for x in (
 KNOWN = SENTENCES | {f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}": f"spdx-{name}" for name in _TAGGED}
 ALL_RULES = [*RULES, *((name, [f"spdx-{name}"]) for name in _TAGGED)]
 
+
+
+def _telling() -> list[str]:
+    """Long words of which every known sentence has one: those that most of the sentences left hold, again and again."""
+    left, out = set(KNOWN), []
+    while left:
+        words = sorted({w for s in left for w in s.split() if len(w) > 6})
+        best = max(words, key=lambda w: (sum(w in s for s in left), w))
+        out.append(best)
+        left = {s for s in left if best not in s}
+    return out
+
+
+TELLING = _telling()
+
 #: Ends of sentences, and ends of lines that are none.
 _END, _LINE = "\x01", "\x02"
 # What comments put before their lines.
@@ -119,10 +134,14 @@ def _sequence(ids: list[str]) -> str:
 
 def normalised(text: Column) -> Column:
     """A text's words in lower case by single spaces, with the ends of sentences and of lines."""
-    out = F.lower(text)
+    low = F.lower(text)
+    out, any_ = low, F.lit(False)
     for pattern, to in _STEPS:
         out = F.regexp_replace(out, pattern, "\n" if to == r"\n" else to.replace("\\", "$"))
-    return out
+    for word in TELLING:
+        any_ = any_ | F.contains(low, F.lit(word))
+    # A text without any of the words that known sentences can't do without has none of them.
+    return F.when(any_, out).otherwise("")
 
 
 def _found(sentences: Column) -> Column:

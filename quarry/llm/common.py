@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bits of a filter, whatever it is of.
+FILTER_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +72,32 @@ def apart(*frames: DataFrame) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of ``hashes(h)`` in bytes: it lets them all through, and others as it fills. At most ``FILTER_BITS / 64`` rows reach the driver."""
+    place = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("at"))
+    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for r in words:
+        out[r["word"]] = r["bits"] & (1 << 64) - 1
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (``uint64``) a filter lets through."""
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def marked(df: DataFrame, column: str, bits: np.ndarray, name: str) -> DataFrame:
+    """``df`` with ``name``: whether the filter lets the hash in ``column`` (long) through."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            hashes = b.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(passes(shared.value, hashes))], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))

@@ -1,32 +1,29 @@
-"""Near copies by the Jaccard similarity of word shingles, found by SimHash balls first and by min-hashes beyond them.
+"""Near copies by the Jaccard similarity of word shingles, found by SimHash balls first and by rare shingles beyond them.
 
 Texts of equal words are one class before anything meets. Classes whose SimHash fingerprints lie within the radius are
-candidates by ball hashing; that links most of a large group of copies. At a similarity of 0.8, fingerprints typically
-differ in about ten bits, which no ball reaches, so classes that share one of many bands of min-hashes are candidates
-too. Every candidate pair is judged on its whole sets of shingles. Within a band, members are compared with centres, few
-at first and four times as many in each further round, and only with those outside their component: a large group of
-near copies is linked in about as many comparisons as it has members, and no pair of unlike components is left out.
+candidates by ball hashing. At a similarity of 0.8, fingerprints typically differ in about ten bits, which no ball
+reaches, so an exact search takes the rest: of two sets that similar, with their shingles in one order, each holds a
+common one among its first ``n - ceil(s n) + 1``, at places that leave enough shingles behind. The order puts shingles
+first that are rare by a sketch of fixed size, so texts that share but a common passage don't meet. Every candidate pair
+is judged on its whole sets. Among those that meet at a shingle, members are compared with centres, few at first and
+four times as many in each further round, and only with those outside their component: a large group of near copies is
+linked in about as many comparisons as it has members, and no pair of unlike components is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, discard, materialise, row_key
+from quarry.llm.common import apart, discard, filter_of, marked, materialise, row_key
 from quarry.llm.components import connected_components
 from quarry.llm.simhash_dedup import keep_first, links, votes
 
-#: Words of a shingle, the similarity of near copies, the radius of fingerprints, and bands of min-hashes with the
-#: hashes of each. A pair of similarity s shares no band with probability (1 - s ** HASHES) ** BANDS: 4e-7 at 0.8; one
-#: of 0.3 shares some with probability 0.005.
-WIDTH, SIMILARITY, RADIUS, BANDS, HASHES = 5, 0.8, 2, 80, 8
-
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * HASHES, 1), dtype=np.uint32)
-_FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] | np.uint32(1)
-_BLOCK = 1 << 6
+#: Words of a shingle, the similarity of near copies, the radius of fingerprints, and the counters of the sketch that
+#: tells common shingles, with how many of the highest of them count (whatever it says, no pair is lost).
+WIDTH, SIMILARITY, RADIUS, COUNTERS, HEAVY = 5, 0.8, 2, 1 << 21, 1 << 17
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -46,39 +43,73 @@ def _runs(words: list[bytes], width: int) -> np.ndarray:
     return np.fromiter(map(partial(xxh64_intdigest, seed=42), runs), dtype=np.uint64, count=count)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A signed key per band; none for an empty set."""
-    from xxhash import xxh64_intdigest
+def least_common(size: int, similarity: float) -> int:
+    """What two sets have in common at least, if they are as similar as that and one is of this size."""
+    return int(np.ceil(similarity * size - 1e-9))
 
+
+def prefix(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+    """Of distinct shingles, the first in the order of their weights (then hashes) that any set as similar must meet; signed."""
     if not len(hashes):
         return np.empty(0, dtype=np.int64)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full((BANDS * HASHES, 1), np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(short), _BLOCK):
-        least = np.minimum(least, ((short[at : at + _BLOCK][None, :] ^ _FLIPS) * _FACTORS).min(axis=1, keepdims=True))
-    rows = least.reshape(BANDS, HASHES)
-    return np.fromiter((xxh64_intdigest(r.tobytes(), seed=k) for k, r in enumerate(rows)), dtype=np.uint64, count=BANDS).view(np.int64)
+    order = weights[hashes & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
+    count = len(hashes) - least_common(len(hashes), similarity) + 1
+    first = np.argsort(order, kind="stable")[:count]
+    return hashes[first].view(np.int64)
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(row, doc_id, text)`` to ``row, doc_id, words, size, fp, bands``: the hash of a row's words, its number of distinct shingles, its fingerprint, its keys."""
+    """``docs(row, doc_id, text)`` to ``row, doc_id, words, size, fp``: the hash of a row's words, its number of distinct shingles, its fingerprint. A row without ``words`` has a task's ``heavy`` counters."""
     from xxhash import xxh3_128_digest
 
+    names = ["row", "doc_id", "words", "size", "fp", "heavy"]
+    pairs = pa.list_(pa.struct([("counter", pa.int64()), ("n", pa.int64())]))
+
     def run(batches):
+        counters, total = np.zeros(COUNTERS, dtype=np.uint32), 0
         for b in batches:
-            words, sizes, prints, keys = [], [], [], []
+            words, sizes, prints = [], [], []
             for x in b.column(2).cast(pa.binary()):
                 said = (x.as_py() or b"").lower().split()
                 hashes = _runs(said, width)
                 distinct = np.unique(hashes)
+                places, n = np.unique(distinct & np.uint64(COUNTERS - 1), return_counts=True)
+                counters[places.astype(np.int64)] += n.astype(np.uint32)
+                total += len(distinct)
                 words.append(xxh3_128_digest(b" ".join(said)))
                 sizes.append(len(distinct))
                 prints.append(votes(hashes))
-                keys.append(bands(distinct))
             fps = np.array(prints, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "words", "size", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps), pa.nulls(len(words), pairs)], names=names)
+        mean = total / COUNTERS
+        # What stands out a little in many tasks stands out much in their sum.
+        heavy = np.flatnonzero(counters >= max(2, np.ceil(mean + 2 * mean**0.5 + 1)))
+        found = [{"counter": c, "n": n} for c, n in zip(heavy.tolist(), counters[heavy].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([found], pairs)], names=names)
+
+    return docs.mapInArrow(run, "row binary, doc_id long, words binary, size long, fp long, heavy array<struct<counter: long, n: long>>")
+
+
+def _weights(prints: DataFrame) -> np.ndarray:
+    """How common the shingles of each counter are, of the ``HEAVY`` highest ones, which reach the driver; 0 for others."""
+    counted = prints.where("words is null").select(F.explode("heavy").alias("x")).groupBy("x.counter").agg(F.sum("x.n").alias("n"))
+    heavy = counted.orderBy(F.desc("n"), "counter").limit(HEAVY).collect()
+    out = np.zeros(COUNTERS, dtype=np.uint32)
+    for r in heavy:
+        out[r["counter"]] = min(r["n"], (1 << 32) - 1)
+    return out
 
-    return docs.mapInArrow(run, "row binary, doc_id long, words binary, size long, fp long, bands array<long>")
+
+def _prefixes(docs: DataFrame, weights: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """``docs(row, text)`` to ``row, prefix``."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for b in batches:
+            found = [prefix(shingles(x.as_py(), width), shared.value, similarity) for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "prefix"])
+
+    return docs.mapInArrow(run, "row binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -104,6 +135,12 @@ def _sized(similarity: float):
     return F.least("size", "size_a") >= F.lit(similarity - 1e-9) * F.greatest("size", "size_a")
 
 
+def _enough(similarity: float) -> Column:
+    """Whether behind the place where two sets meet there are as many shingles as they need in common."""
+    behind = F.least(F.col("size") - F.col("at"), F.col("size_a") - F.col("at_a"))
+    return behind >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_a")) - F.lit(1e-6)
+
+
 def _by_fingerprint(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """``a, b``: of each fingerprint, the first class with all others, and of fingerprints within the radius, their first classes."""
     firsts = materialise(classes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first")).select("fp", F.col("first.node").alias("a"), F.col("first.size").alias("size_a")), "firsts")
@@ -114,31 +151,35 @@ def _by_fingerprint(classes: DataFrame, radius: int, similarity: float) -> DataF
 
 
 def _labels(classes: DataFrame, met: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame | None:
-    """``node, label`` of the components over ``classes(node, size, fp)`` that meet by fingerprint or in ``met(key, node, size, place)``."""
-    pairs = materialise(_by_fingerprint(classes, radius, similarity), "pairs")
-    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node")).distinct())
-    links_ = materialise(_like(pairs, sets, similarity), "links")
+    """``node, label`` of the components over ``classes(node, size, fp)`` that meet by fingerprint or in ``met(key, node, size, at, place)``."""
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        out = materialise(_like(pairs, sets, similarity), "links")
+        discard(pairs, sets)
+        return out
+
+    links_ = judged(_by_fingerprint(classes, radius, similarity))
     labels = connected_components(links_)
     members, low, step = _open(met, labels), 0, 1
     while members.limit(1).count():
-        centres = members.where(F.col("place") < low + step).select("key", F.col("node").alias("a"), F.col("place").alias("before"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+        centres = members.where(F.col("place") < low + step).select("key", F.col("node").alias("a"), F.col("place").alias("before"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"))
         earlier = (F.col("before") < F.col("place")) | (F.col("before") == F.col("place")) & (F.col("a") < F.col("node"))
-        together = members.join(centres, "key").where(earlier & (F.col("label") != F.col("label_a")) & _sized(similarity))
-        found = _like(together.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), sets, similarity)
-        links_ = links_.union(materialise(found, "links"))
+        together = members.join(centres, "key").where(earlier & (F.col("label") != F.col("label_a")) & _sized(similarity) & _enough(similarity))
+        links_ = links_.union(judged(together.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()))
         before = labels
         labels = connected_components(links_)
         discard(before)
         low, step = low + step, step * 4
-        # What has been a centre is done, and so is a band whose members are all of one component.
+        # What has been a centre is done, and so is a shingle whose members are all of one component.
         last, members = members, _open(members.where(F.col("place") >= low).drop("label"), labels)
         discard(last)
-    discard(members, pairs, sets)
+    discard(members)
     return labels
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``members`` with their ``label``, of bands in which several components meet."""
+    """``members`` with their ``label``, of shingles at which several components meet."""
     labelled = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     out = materialise(labelled.join(materialise(mixed, "mixed"), "key", "left_semi"), "members")
@@ -157,26 +198,36 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(row, row_key(F.col(id_col), F.col(text_col)))
     source = keyed.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(_signatures(source, width), "signatures")
-    classes = prints.groupBy("words").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("stand"))
+    weights = _weights(prints)
+    prints_ = prints.where("words is not null")
+    classes = prints_.groupBy("words").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min("row").alias("stand"))
     # Once written, the numbers stay what they are.
-    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "words", "size", "fp", "bands", "stand"), "classes")
-    rows = materialise(prints.groupBy("words", "row", "doc_id").agg(F.count("*").alias("n")), "rows")
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "words", "size", "fp", "stand"), "classes")
+    rows = materialise(prints_.groupBy("words", "row", "doc_id").agg(F.count("*").alias("n")), "rows")
     seen = materialise(rows.join(classes.select("words", "node"), "words").select("row", "doc_id", "n", "node"), "seen")
     discard(prints, rows)
-    met = materialise(classes.select(F.explode("bands").alias("key"), "node", "size"), "met")
+    found = _prefixes(source.select("row", "text"), weights, width, similarity)
+    # Of rows equal in id and text one stands; each task's copies go before the shuffle.
+    stands = classes.select("node", "size", F.col("stand").alias("row"))
+    kept = materialise(found.join(stands, "row").select("node", "size", "prefix"), "prefixes")
+    met = materialise(kept.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("at", "key")), "met")
     counts = materialise(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    # A member's place in its band is a hash spread over the band's size, so no task holds a whole band.
+    # Most shingles are one text's alone; a filter keeps nearly all of those out of the shuffle.
+    met_ = marked(met, "key", filter_of(counts.select(F.col("key").alias("h"))), "open").where("open")
+    # A member's place among those that meet is a hash spread over their number, so no task holds them all.
     place = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 52)) / float(1 << 52)) * F.col("n")
-    bands_ = materialise(met.join(counts, "key").select("key", "node", "size", place.alias("place")), "bands")
-    discard(met, counts)
+    members = materialise(met_.join(counts, "key").select("key", "node", "size", "at", place.alias("place")), "meetings")
+    discard(kept, met, counts)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        # One row stands for all of equal words; only candidates' texts are read again.
-        stand = classes.select("node", F.col("stand").alias(row)).join(nodes, "node", "left_semi")
-        texts = keyed.select(row, F.col(text_col).cast("string").alias("text")).join(stand, row).select("node", "text")
-        return materialise(_sets(texts, width).dropDuplicates(["node"]), "sets")
-
-    labels = _labels(classes.select("node", "size", "fp"), bands_, sets_of, similarity, radius)
-    discard(bands_)
+        # One row stands for all of equal words; only candidates' texts are read again, and few others shuffled.
+        stand = materialise(classes.select("node", F.col("stand").alias("row")).join(nodes, "node", "left_semi"), "wanted")
+        near = marked(source.select("row", "text", F.xxhash64("row").alias("h")), "h", filter_of(stand.select(F.xxhash64("row").alias("h"))), "open").where("open")
+        out = materialise(_sets(near.join(stand, "row").select("node", "text"), width).dropDuplicates(["node"]), "sets")
+        discard(stand)
+        return out
+
+    labels = _labels(classes.select("node", "size", "fp"), members, sets_of, similarity, radius)
+    discard(members)
     whole = seen.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("component_id"))
     return keep_first(docs, keyed, materialise(whole, "whole"), row)

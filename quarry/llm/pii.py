@@ -16,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, discard, materialise
+from quarry.llm.common import apart, discard, filter_of, materialise, passes
 
 #: Kinds in the order in which spans with one start stand. The first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "context")
 #: Known instances that a pattern must precede; its confidence; the share of its occurrences in the corpus that precede
 #: identifiers; rounds of scoring. None depends on the size of the corpus.
 SUPPORT, CONFIDENCE, PRECISION, ROUNDS = 5, 0.2, 0.5, 5
-#: Bits of the filters that the counting pass holds, whatever the number of patterns.
-FILTER_BITS = 1 << 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -193,16 +191,6 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return source.mapInArrow(run, _FOUND)
 
 
-def _bits(hashes: DataFrame) -> np.ndarray:
-    """A filter of ``hashes(h)`` in bytes; at most ``FILTER_BITS / 64`` rows reach the driver."""
-    place = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("at"))
-    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for r in words:
-        out[r["word"]] = r["bits"] & (1 << 64) - 1
-    return out.view(np.uint8)
-
-
 class _Words(dict):
     """Numbers of words, by which arrays give the hash of a word as a pattern has it and of the punctuation that opens it. Number 0 stands between texts."""
 
@@ -248,7 +236,7 @@ def count_occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "tex
     A pass over all texts with a filter of fixed size; what it lets through is counted exactly by hash and joined to
     the patterns.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bits(patterns.select(F.col("pattern").alias("h"))))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(patterns.select(F.col("pattern").alias("h"))))
 
     def run(batches):
         bits, gap = shared.value, np.zeros(1, dtype=np.int64)
@@ -258,8 +246,7 @@ def count_occurrences(docs: DataFrame, patterns: DataFrame, text_col: str = "tex
         def count() -> None:
             nonlocal found, counts
             seen = _patterns_at(words, np.concatenate([*pieces, gap, gap]))
-            at = seen & np.uint64(FILTER_BITS - 1)
-            seen, n = np.unique(seen[bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0], return_counts=True)
+            seen, n = np.unique(seen[passes(bits, seen)], return_counts=True)
             found, place = np.unique(np.concatenate([found, seen]), return_inverse=True)
             counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import apart, materialise, row_key
+from quarry.llm.common import apart, filter_of, marked, materialise, row_key
 from quarry.llm.components import connected_components
 
 #: Bits of every byte value, lowest first.
@@ -127,11 +127,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, keyed: DataFrame, whole: DataFrame, row: str) -> DataFrame:
     """The rows of ``docs`` that are first in their component. ``keyed`` is ``docs`` with ``row``, a key of id and text; ``whole``: ``doc_id, row, n`` (rows of that hash), ``component_id``."""
-    many = apart(keyed) + "many"
+    many, hash_, open_ = (apart(keyed) + x for x in ("many", "hash", "open"))
     best = whole.groupBy("component_id", F.col("component_id").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("best"))
     kept = materialise(best.select(F.col("best.row").alias(row), (F.col("best.n") > 1).alias(many)), "kept")
-    joined = keyed.join(kept, row)
-    single = joined.where(~F.col(many)).select(*docs.columns)
+    # Rows that surely stay, as no row that goes or comes again has their hash, aren't shuffled.
+    unsure = whole.select("row", "n").join(kept.select(F.col(row).alias("row")), "row", "left_anti").union(whole.where("n > 1").select("row", "n"))
+    hashed = marked(keyed.withColumn(hash_, F.xxhash64(row)), hash_, filter_of(unsure.select(F.xxhash64("row").alias("h"))), open_)
+    sure = hashed.where(~F.col(open_)).select(*docs.columns)
+    joined = hashed.where(open_).join(kept, row)
+    single = sure.union(joined.where(~F.col(many)).select(*docs.columns))
     if kept.where(F.col(many)).limit(1).count() == 0:
         return single
     return single.union(joined.where(F.col(many)).dropDuplicates([row]).select(*docs.columns))

@@ -50,3 +50,34 @@ def test_odd_rows(spark, odd, none):
     out = near_copies.deduplicate(odd)
     assert out.columns == odd.columns and sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 1, 2, 6, 7]
     assert near_copies.deduplicate(none).count() == 0
+
+
+def test_prefixes_meet_in_any_order():
+    """Whatever the weights, sets of the similarity meet at a place that leaves enough behind."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    met = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64))
+        gone = rng.random(len(a)) < rng.choice([0.02, 0.1, 0.2])
+        b = np.unique(np.concatenate([a[~gone], rng.integers(0, 1 << 63, rng.integers(0, 8), dtype=np.uint64)]))
+        weights = np.zeros(near_copies.COUNTERS, dtype=np.uint32)
+        weights[(a & np.uint64(near_copies.COUNTERS - 1)).astype(np.int64)] = rng.integers(0, 5, len(a))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or common < 0.8 * (len(a) + len(b) - common):
+            continue
+        x, y = (near_copies.prefix(s, weights, 0.8).tolist() for s in (a, b))
+        assert any(min(len(a) - x.index(k), len(b) - y.index(k)) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6 for k in set(x) & set(y))
+        met += 1
+    assert met > 100
+
+
+def test_a_common_passage_is_no_meeting_place(spark):
+    """Texts that share a passage, and that most of them is, meet at their own words or not at all."""
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join([*passage, *(f"u{k}-{n}" for n in range(25))])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("unhex(md5(text)) AS row", "doc_id", "text")
+    weights = near_copies._weights(near_copies._signatures(docs, 5))
+    keys = [k for r in near_copies._prefixes(docs.select("row", "text"), weights, 5, 0.8).collect() for k in r["prefix"]]
+    assert len(keys) == len(set(keys))

@@ -42,3 +42,9 @@ def test_empty_tables(spark):
 def test_query(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()
     assert sorted(map(tuple, op1_url_filter(spark, data).collect())) == sorted((r["page_id"], *plain(r["url"], URL_RULES)) for r in pages)
+
+
+def test_very_long_urls(spark):
+    urls = [(1, "http://" + "a." * 200_000 + "example.com/en/7" + "x" * 300_000), (2, "http://net/de/" + "y" * 500_000 + "?" + "z" * 500_000), (3, "http://" + "n" * 400_000), (4, "x" * 300_000 + "://com/en/")]
+    got = match_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(URL_RULES, RULES)).collect()
+    assert sorted(map(tuple, got)) == [(k, *plain(u, URL_RULES)) for k, u in urls]

@@ -242,3 +242,44 @@ def degrade_dense(arms: DataFrame, embedded: DataFrame) -> DataFrame:
     failed = embedded.where(F.col("embedding").isNull() | ~F.exists("embedding", lambda x: x != 0)).select("query_id").distinct().withColumn("degraded", F.lit(True))
     out = arms.join(failed, "query_id", "left").withColumn("degraded", F.coalesce("degraded", F.lit(False)))
     return out.where(~(F.col("degraded") & (F.col("arm") == "dense")))
+
+
+def retrieve_and_enrich(
+    arms: DataFrame, chunks: DataFrame, weights: dict[str, float], top_k: int, cap: int, *, window: int = 1, embedded: DataFrame | None = None, score: Column | None = None, eps: float = 0.0,
+    authority: DataFrame | None = None, steps: DataFrame | None = None, images: DataFrame | None = None, regime: str = "client_fusion",
+) -> DataFrame:
+    """``query_id, pk, doc_id, position, band, text, siblings, images``: the whole way from arms to enriched hits.
+
+    Arms of queries without an embedding lose their dense hits (``embedded``); the rest is fused, covers go last, a new
+    score may rank anew (``score``), documents are capped, images of nearly equal score move up (``eps``), hits that the
+    ``authority`` no longer has go, and what stays gets its neighbours' text, the ids of its sibling steps by the query's
+    ``intent``, the best documents' images, and a band of confidence. Options that are left out change nothing.
+    ``chunks(pk, chunk_id, doc_id, version_no, chunk_index, text, section_title, chunk_type, permission_level, owner,
+    is_image, intent, parent_chunk_id, step_no)``; the last three only with ``steps``.
+    """
+    from quarry.functions.status import confidence_band
+
+    if embedded is not None:
+        arms = degrade_dense(arms, embedded).drop("degraded")
+    fused = min_max_fusion(arms, weights).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "pk")))
+    hits = demote_covers(fused.join(chunks.withColumnRenamed("text", "chunk_text"), "pk"))
+    if score is not None:
+        hits = rerank(hits, score, 1 << 30)
+    chosen = select_with_cap(hits, top_k, cap)
+    if eps > 0:
+        tied = image_tie_break(chosen.select("query_id", "pk", F.col("position").alias("rank"), F.col("fused").alias("score"), "is_image"), eps)
+        chosen = chosen.drop("position").join(tied.select("query_id", "pk", F.col("rank").alias("position")), ["query_id", "pk"])
+    if authority is not None:
+        chosen = revalidate(chosen.withColumn("owner_dept", F.col("owner")), authority).drop("owner_dept")
+    out = chosen.join(stitch_neighbors(chosen, chunks, window), ["doc_id", "version_no", "chunk_index"])
+    none = F.array().cast("array<string>")
+    if steps is not None:
+        cards = chosen.where("step_no is not null").withColumn("owner_dept", F.col("owner"))
+        found = expand_steps(cards, steps).join(steps.select("chunk_id", F.col("parent_chunk_id").alias("parent")), "chunk_id")
+        listed = found.groupBy("query_id", "parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "chunk_id"))), lambda x: x["chunk_id"]).alias("siblings"))
+        out = out.join(listed.withColumnRenamed("parent", "parent_chunk_id"), ["query_id", "parent_chunk_id"], "left")
+    if images is not None:
+        shown = cosurface_images(chosen.withColumn("rank", F.col("position")), images).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.col("image_id").cast("string"))).alias("images"))
+        out = out.join(shown, ["query_id", "doc_id"], "left")
+    listing = [F.coalesce(F.col(c), none).alias(c) if c in out.columns else none.alias(c) for c in ("siblings", "images")]
+    return out.select("query_id", "pk", "doc_id", "position", confidence_band(F.col("fused"), regime).alias("band"), "text", *listing)

@@ -329,6 +329,32 @@ def retrieved_contexts(spark: SparkSession) -> DataFrame:
     return retrieval.retrieve(arms, chunks, {"dense": 0.6, "bm25": 0.4}, 2, 1).select("query_id", "pk", "position", "text")
 
 
+@expect("enriched_hits", "query_id, pk, position, band, text, siblings, images", [(1, "a2", 1, "high", "t1\nt2", "s1,s2", "i1,i2"), (1, "b1", 3, "low", "u1", "", "j1"), (2, "a1", 1, "low", "t1\nt2", "s1", "i1,i2")])
+def enriched_hits(spark: SparkSession) -> DataFrame:
+    """The second query has no embedding, so its dense hit on B goes; of the first, the authority has lost the image that moved up to the second place."""
+    arms = spark.createDataFrame(
+        [(1, "dense", "a2", 0.9), (1, "dense", "b1", 0.5), (1, "dense", "p1", 0.5), (1, "bm25", "a2", 7.0), (1, "bm25", "b1", 6.4), (1, "bm25", "p1", 6.39), (1, "bm25", "a1", 6.0), (2, "dense", "b1", 0.9), (2, "bm25", "a1", 3.0)], "query_id int, arm string, pk string, score double",
+    )
+    rows = [("a1", "A", 1, "t1", False, 1), ("a2", "A", 2, "t2", False, 2), ("b1", "B", 1, "u1", False, None), ("p1", "P", 1, "w1", True, None)]
+    chunks = spark.createDataFrame([(pk, f"c{pk}", doc, n, t, image, step) for pk, doc, n, t, image, step in rows], "pk string, chunk_id string, doc_id string, chunk_index int, text string, is_image boolean, step_no int")
+    chunks = chunks.withColumns({
+        "version_no": F.lit(1), "permission_level": F.lit("public"), "owner": F.lit("o"), "section_title": F.lit("s"), "chunk_type": F.lit("step_card"), "parent_chunk_id": F.when(F.col("step_no").isNotNull(), "p"), "intent": F.when(F.col("step_no") == 2, "full").otherwise("locate"),
+    }).withColumn("chunk_id", F.when(F.col("step_no").isNotNull(), F.concat(F.lit("s"), F.col("step_no").cast("string"))).otherwise(F.col("chunk_id")))
+    authority = chunks.where("pk <> 'p1'").select("chunk_id", "permission_level", F.col("owner").alias("owner_dept"), "pk", F.lit(1).alias("is_active"))
+    steps = spark.createDataFrame([("s1", "p", 1), ("s2", "p", 2)], "chunk_id string, parent_chunk_id string, step_no int").withColumns({"permission_level": F.lit("public"), "owner_dept": F.lit("o")})
+    images = spark.createDataFrame([("A", "i1"), ("A", "i2"), ("B", "j1")], "doc_id string, image_id string")
+    embedded = spark.createDataFrame([(1, [1.0]), (2, [0.0])], "query_id int, embedding array<double>")
+    out = retrieval.retrieve_and_enrich(arms, chunks, {"dense": 0.6, "bm25": 0.4}, 3, 1, embedded=embedded, eps=0.05, authority=authority, steps=steps, images=images)
+    return out.select("query_id", "pk", "position", "band", "text", F.array_join("siblings", ",").alias("siblings"), F.array_join("images", ",").alias("images"))
+
+
+@expect("named_people", "n, out", [(0, "[NAME] met [NAME]"), (1, "nobody"), (2, None)])
+def named_people(spark: SparkSession) -> DataFrame:
+    """Names by a function that the caller brings."""
+    rows = _texts(spark, ["Ada met Grace", "nobody", None])
+    return rows.select("n", redact.redact_names(F.col("text"), lambda texts: texts.map(lambda t: [w for w in t.split() if w.istitle()])).alias("out"))
+
+
 # Reconciliation, gaps, evaluation.
 
 

@@ -49,6 +49,8 @@ _NOISE_NAMES = frozenset(
 )
 #: Purposes whose text differs from page to page by nature, so that no entropy tells them.
 _VARIED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond reply replies related recommended recommendations".split())
+#: Of these, what states its purpose whatever else a name says.
+_READERS = frozenset("comment comments disqus".split())
 #: Words that say nothing of a purpose.
 _NEUTRAL_NAMES = frozenset("a all area bar block bottom box button buttons container form inner item items left link links list main nav outer page right row section site thread top wrap wrapper".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -72,7 +74,7 @@ def _named(names: str) -> float:
         words = _NAME.findall(name)
         known = [w for w in words if w in _NOISE_NAMES or w in _VARIED_NAMES]
         if known:
-            whole = all(w in known or w in _NEUTRAL_NAMES for w in words)
+            whole = any(w in _READERS for w in known) or all(w in known or w in _NEUTRAL_NAMES for w in words)
             least = min(least, (STATED if any(w in _VARIED_NAMES for w in known) else NAMED) if whole else HINTED)
     return least
 
@@ -280,11 +282,16 @@ def _structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
 
 
 def _cut(batches):
-    """Per page, its blocks but those of its host's low leaves."""
+    """Per page, its blocks but those of its host's low leaves, which are read once for many pages of a host."""
+    known: dict[int, frozenset[int]] = {}
     for b in batches:
         texts = []
-        for page, low in zip(b.column(2), b.column(3), strict=True):
-            gone = frozenset(low.values.to_pylist()) if low.is_valid else frozenset()
+        for page, low, host in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+            gone = known.get(host)
+            if gone is None:
+                if len(known) >= 1000:
+                    known.clear()
+                gone = known[host] = frozenset(low.values.to_pylist()) if low.is_valid else frozenset()
             texts.append("\n\n".join(x.text for x in parse(page.as_py() or "")[0] if (x.chain[-1] if x.chain else 0) not in gone))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -304,7 +311,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     low = low_leaves(source.select("host", "html"))
     by_host = materialise(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low_by_host")
     discard(low)
-    cut = source.join(by_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_cut, "page_id long, url string, text string")
+    cut = source.join(by_host, "host", "left").select("page_id", "url", "html", "low", "host").mapInArrow(_cut, "page_id long, url string, text string")
     return cut.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

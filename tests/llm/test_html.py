@@ -78,7 +78,7 @@ def test_long_pages_take_linear_time():
 def test_names_are_evidence_and_statistics_can_outvote_them(spark):
     page = lambda k: (
         f"<body><div class=qa>Same line</div><article><h1 class='post-header'>Title {k}</h1><p>Story {k}</p><div class='social-history'><p>Past {k * 3}</p></div><div class='share-box'>Share {k * 5}</div><div class=zz>Rated by all</div>"
-        f"<aside>Aside {k}</aside><div class=comments>Reader {k}</div><p>E = <math><mi>m</mi></math> <object>fallback {k}</object><span class=ad>Buy {k}</span></p></article><div class=qb>Teaser {k}</div></body>"
+        f"<aside>Aside {k}</aside><div class=comments>Reader {k}</div><ul id='reader-comments'><li>Another {k}</ul><p>E = <math><mi>m</mi></math> <object>fallback {k}</object><span class=ad>Buy {k}</span></p></article><div class=qb>Teaser {k}</div></body>"
     )
     got = texts(spark, [(k, f"http://one.com/{k}", page(k)) for k in range(400)])
     assert all(got[k] == f"Title {k}\n\nStory {k}\n\nPast {k * 3}\n\nShare {k * 5}\n\nE = m fallback {k}" for k in range(400))

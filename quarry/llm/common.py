@@ -77,13 +77,19 @@ def partitions(spark: SparkSession) -> int:
 def filter_of(hashes: DataFrame) -> np.ndarray:
     """A filter of ``hashes(h)`` in bytes: it lets them all through, and others as it fills. At most ``FILTER_BITS / 64`` rows reach the driver."""
     place = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("at"))
-    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).collect()
+    words = place.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for r in words:
-        out[r["word"]] = r["bits"] & (1 << 64) - 1
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out.view(np.uint8)
 
 
+def slices(batches, rows: int = 512):
+    """Batches in parts of so many rows, for what makes much of a row or holds whole texts: neither side then holds much at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (``uint64``) a filter lets through."""
     at = hashes & np.uint64(FILTER_BITS - 1)
@@ -96,7 +102,7 @@ def marked(df: DataFrame, column: str, bits: np.ndarray, name: str) -> DataFrame
     at = df.columns.index(column)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2048):
             hashes = b.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(passes(shared.value, hashes))], names=[*b.schema.names, name])
 

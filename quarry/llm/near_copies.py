@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart, discard, filter_of, marked, materialise, row_key
+from quarry.llm.common import apart, discard, filter_of, marked, materialise, row_key, slices
 from quarry.llm.components import connected_components
 from quarry.llm.simhash_dedup import keep_first, links, votes
 
@@ -67,7 +67,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         counters, total = np.zeros(COUNTERS, dtype=np.uint32), 0
-        for b in batches:
+        for b in slices(batches, 2048):
             words, sizes, prints = [], [], []
             for x in b.column(2).cast(pa.binary()):
                 said = (x.as_py() or b"").lower().split()
@@ -93,10 +93,9 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 def _weights(prints: DataFrame) -> np.ndarray:
     """How common the shingles of each counter are, of the ``HEAVY`` highest ones, which reach the driver; 0 for others."""
     counted = prints.where("words is null").select(F.explode("heavy").alias("x")).groupBy("x.counter").agg(F.sum("x.n").alias("n"))
-    heavy = counted.orderBy(F.desc("n"), "counter").limit(HEAVY).collect()
+    heavy = counted.orderBy(F.desc("n"), "counter").limit(HEAVY).toArrow()
     out = np.zeros(COUNTERS, dtype=np.uint32)
-    for r in heavy:
-        out[r["counter"]] = min(r["n"], (1 << 32) - 1)
+    out[heavy.column("counter").to_numpy()] = np.minimum(heavy.column("n").to_numpy(), (1 << 32) - 1)
     return out
 
 
@@ -105,7 +104,7 @@ def _prefixes(docs: DataFrame, weights: np.ndarray, width: int, similarity: floa
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [prefix(shingles(x.as_py(), width), shared.value, similarity) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "prefix"])
 
@@ -116,7 +115,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """``docs(node, text)`` to ``node, shingles``."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(x.as_py(), width).view(np.int64) for x in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

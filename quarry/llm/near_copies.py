@@ -4,8 +4,8 @@ Texts of equal words are one class before anything meets. Classes whose SimHash
 candidates by ball hashing. At a similarity of 0.8, fingerprints typically differ in about ten bits, which no ball
 reaches, so an exact search takes the rest: of two sets that similar, with their shingles in one order, each holds a
 common one among its first ``n - ceil(s n) + 1``, at places that leave enough shingles behind. The order puts shingles
-first that are rare by a sketch of fixed size, so texts that share but a common passage don't meet. Every candidate pair
-is judged on its whole sets. Among those that meet at a shingle, members are compared with centres, few at first and
+first that are rare by a sketch of fixed size, so texts that share but a common passage don't meet. Bit maps of the sets
+bound what a pair can have in common; those that pass are judged on their whole sets. Among those that meet at a shingle, members are compared with centres, few at first and
 four times as many in each further round, and only with those outside their component: a large group of near copies is
 linked in about as many comparisons as it has members, and no pair of unlike components is left out.
 """
@@ -24,6 +24,8 @@ from quarry.llm.simhash_dedup import keep_first, links, votes
 #: Words of a shingle, the similarity of near copies, the radius of fingerprints, and the counters of the sketch that
 #: tells common shingles, with how many of the highest of them count (whatever it says, no pair is lost).
 WIDTH, SIMILARITY, RADIUS, COUNTERS, HEAVY = 5, 0.8, 2, 1 << 21, 1 << 17
+#: Bits of a set's map, by its shingles' highest bits.
+_MAP_BITS = 11
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -58,6 +60,13 @@ def prefix(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.nda
     return hashes[first].view(np.int64)
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """The map of a set: a bit that one set has and another lacks stands for at least one shingle that the other lacks."""
+    seen = np.zeros(1 << _MAP_BITS, dtype=bool)
+    seen[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").view("<i8")
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """``docs(row, doc_id, text)`` to ``row, doc_id, words, size, fp``: the hash of a row's words, its number of distinct shingles, its fingerprint. A row without ``words`` has a task's ``heavy`` counters."""
     from xxhash import xxh3_128_digest
@@ -100,15 +109,16 @@ def _weights(prints: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, weights: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """``docs(row, text)`` to ``row, prefix``."""
+    """``docs(row, text)`` to ``row, prefix, map``."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for b in slices(batches):
-            found = [prefix(shingles(x.as_py(), width), shared.value, similarity) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "prefix"])
+            sets = [shingles(x.as_py(), width) for x in b.column(1).cast(pa.binary())]
+            found = pa.array([prefix(s, shared.value, similarity) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found, pa.array([bit_map(s) for s in sets], pa.list_(pa.int64()))], names=["row", "prefix", "map"])
 
-    return docs.mapInArrow(run, "row binary, prefix array<long>")
+    return docs.mapInArrow(run, "row binary, prefix array<long>, map array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -149,10 +159,21 @@ def _by_fingerprint(classes: DataFrame, radius: int, similarity: float) -> DataF
     return same.union(near.join(firsts, "fp").join(other, "fp_b").where(_sized(similarity)).select("a", "b"))
 
 
-def _labels(classes: DataFrame, met: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame | None:
+def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that by ``maps(node, size, map)`` may have enough in common: what one's bits lack in the other's is common to neither."""
+    left, right = (maps.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("map").alias(f"of_{x}")) for x in ("a", "b"))
+    lost = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, n: acc + n)
+    both = pairs.join(left, "a").join(right, "b")
+    most = F.least(F.col("n_a") - lost(F.col("of_a"), F.col("of_b")), F.col("n_b") - lost(F.col("of_b"), F.col("of_a")))
+    return both.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)).select("a", "b")
+
+
+def _labels(classes: DataFrame, met: DataFrame, maps: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame | None:
     """``node, label`` of the components over ``classes(node, size, fp)`` that meet by fingerprint or in ``met(key, node, size, at, place)``."""
     def judged(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
+        met_ = materialise(pairs, "met")
+        pairs = materialise(_possible(met_, maps, similarity), "pairs")
+        discard(met_)
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         out = materialise(_like(pairs, sets, similarity), "links")
         discard(pairs, sets)
@@ -208,15 +229,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _prefixes(source.select("row", "text"), weights, width, similarity)
     # Of rows equal in id and text one stands; each task's copies go before the shuffle.
     stands = classes.select("node", "size", F.col("stand").alias("row"))
-    kept = materialise(found.join(stands, "row").select("node", "size", "prefix"), "prefixes")
-    met = materialise(kept.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("at", "key")), "met")
+    one = found.join(stands, "row").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
+    kept = materialise(one, "prefixes")
+    met = materialise(kept.select("node", "size", F.posexplode("prefix").alias("at", "key")), "met")
     counts = materialise(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     # Most shingles are one text's alone; a filter keeps nearly all of those out of the shuffle.
     met_ = marked(met, "key", filter_of(counts.select(F.col("key").alias("h"))), "open").where("open")
     # A member's place among those that meet is a hash spread over their number, so no task holds them all.
     place = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 52)) / float(1 << 52)) * F.col("n")
     members = materialise(met_.join(counts, "key").select("key", "node", "size", "at", place.alias("place")), "meetings")
-    discard(kept, met, counts)
+    discard(met, counts)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # One row stands for all of equal words; only candidates' texts are read again, and few others shuffled.
@@ -226,7 +248,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         discard(stand)
         return out
 
-    labels = _labels(classes.select("node", "size", "fp"), members, sets_of, similarity, radius)
-    discard(members)
+    labels = _labels(classes.select("node", "size", "fp"), members, kept.select("node", "size", "map"), sets_of, similarity, radius)
+    discard(members, kept)
     whole = seen.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("component_id"))
     return keep_first(docs, keyed, materialise(whole, "whole"), row)

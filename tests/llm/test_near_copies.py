@@ -81,3 +81,18 @@ def test_a_common_passage_is_no_meeting_place(spark):
     weights = near_copies._weights(near_copies._signatures(docs, 5))
     keys = [k for r in near_copies._prefixes(docs.select("row", "text"), weights, 5, 0.8).collect() for k in r["prefix"]]
     assert len(keys) == len(set(keys))
+
+
+def test_maps_never_lose_a_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    pruned = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 3000), dtype=np.uint64) << np.uint64(1))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.5, 0.8, 0.95])], rng.integers(0, 1 << 63, rng.integers(0, 200), dtype=np.uint64) << np.uint64(1)]))
+        x, y = near_copies.bit_map(a), near_copies.bit_map(b)
+        most = min(len(a) - sum(int(v).bit_count() for v in (x & ~y).view(np.uint64)), len(b) - sum(int(v).bit_count() for v in (y & ~x).view(np.uint64)))
+        assert len(np.intersect1d(a, b)) <= most
+        pruned += most < 0.8 / 1.8 * (len(a) + len(b))
+    assert pruned > 50

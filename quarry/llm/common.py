@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bits of a filter, whatever it is of.
 FILTER_BITS = 1 << 24
+#: Rows that go to Python at once while a step is written: whole texts may be long.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,12 @@ def materialise(df: DataFrame, step: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{step}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = int(spark.conf.get(_BATCH))
+    spark.conf.set(_BATCH, min(before, _BATCH_ROWS) if before > 0 else _BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.quarry_path = path
     return out

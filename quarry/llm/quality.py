@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import apart
+from quarry.llm.common import apart, slices
 
 #: Labelled rows that a model is fitted on at most and the bytes of their texts, words that get a vector of their own
 #: (all others share those of their shapes), length of the vectors.
@@ -105,7 +105,7 @@ class Model:
         lookup = self.__dict__.get("_lookup")
         if lookup is None or len(lookup) >= lookup.room:
             lookup = self.__dict__["_lookup"] = _Lookup(self.words)
-            lookup.none, lookup.room = len(self.vectors) - 1, len(self.words) + 300_000
+            lookup.none, lookup.room = len(self.vectors) - 1, len(self.words) + 100_000
         return np.fromiter(map(lookup.__getitem__, words), dtype=np.int32, count=len(words))
 
     def __getstate__(self) -> dict:
@@ -279,16 +279,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    # The text goes along once: as it is, or, where it isn't a string, as one beside the columns.
+    own = text_col if dict(docs.dtypes)[text_col] == "string" and text_col in kept.columns else apart(kept) + "text"
+    source = kept if own in kept.columns else docs.select(*kept.columns, F.col(text_col).cast("string").alias(own))
+    place, width = source.columns.index(own), len(kept.columns)
 
     def run(batches):
         held = shared.value
-        for b in batches:
-            texts = b.column(b.num_columns - 1)
-            scores = np.concatenate([held.scores([t.as_py() or "" for t in texts[at : at + 256]]) for at in range(0, max(1, len(texts)), 256)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "score"])
+        for b in slices(batches, 256):
+            scores = held.scores([t.as_py() or "" for t in b.column(place)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(scores, pa.float64())], names=[*b.schema.names[:width], "score"])
 
     from pyspark.sql import types as T
 
     shape_ = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = kept.withColumn(apart(kept) + "text", F.col(text_col).cast("string")).mapInArrow(run, shape_)
+    scored = source.mapInArrow(run, shape_)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from math import comb
 
 import numpy as np
@@ -59,25 +60,48 @@ def score_summary(df: DataFrame, x: str, by: list[str] | None = None) -> DataFra
     return out.join(cuts, keys, "left") if keys else out.crossJoin(cuts)
 
 
-def bootstrap_ci(df: DataFrame, x: str, rounds: int = 2000, seed: int = 7, alpha: float = 0.05, max_rows: int = 1_000_000) -> DataFrame:
-    """``mean, low, high`` of a mean by resampling; the sample is an evaluation set, at most ``max_rows``, checked."""
-    rows = df.select(F.col(x).cast("double").alias("x")).where("x is not null")
+#: Chances of a Poisson weight of rate 1 being at most 0, 1, 2, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["x"].to_numpy())
-        rng = np.random.default_rng(seed)
-        means = np.sort([v[rng.integers(0, len(v), len(v))].mean() for _ in range(rounds)])
-        low, high = means[int(rounds * alpha / 2)], means[min(rounds - 1, int(rounds * (1 - alpha / 2)))]
-        return pd.DataFrame([(len(v), v.mean(), low, high)], columns=["n", "mean", "low", "high"])
 
-    if rows.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows; aggregate by cluster first")
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(draw, "n long, mean double, low double, high double")
+def _weights(hashes: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """A Poisson weight per row and round, of the row's hash, the round and the seed alone."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.uint64)[:, None] + (np.arange(rounds, dtype=np.uint64)[None, :] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right").astype(np.float64)
+
+
+def bootstrap_ci(df: DataFrame, x: str, key: str, rounds: int = 2000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """``n, mean, low, high`` of a mean by resampling rows where they lie: in each round a row counts a hashed Poisson number of times.
+
+    Weights depend on ``key``, the round and the seed alone, so partitions don't matter, and rows of one key are drawn
+    together. A task hands on two sums per round; nothing else leaves it. Null values don't count; without rows all but
+    ``n`` are null.
+    """
+    rows = df.select(F.col(x).cast("double").alias("x"), F.xxhash64(key).alias("h")).where("x is not null")
+
+    def add(parts):
+        n, total, weight, value = 0, 0.0, np.zeros(rounds), np.zeros(rounds)
+        for pdf in parts:
+            for at in range(0, len(pdf), 2048):
+                v, w = pdf["x"].to_numpy()[at : at + 2048], _weights(pdf["h"].to_numpy()[at : at + 2048].view(np.uint64), rounds, seed)
+                n, total, weight, value = n + len(v), total + v.sum(), weight + w.sum(axis=0), value + v @ w
+        yield pd.DataFrame({"n": [n], "total": [total], "weight": [weight], "value": [value]})
+
+    parts = rows.mapInPandas(add, "n long, total double, weight array<double>, value array<double>")
+    whole = parts.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    by_round = parts.select(F.posexplode(F.arrays_zip("weight", "value")).alias("round", "s")).groupBy("round").agg(F.try_divide(F.sum("s.value"), F.sum("s.weight")).alias("mean"))
+    means = F.array_sort(F.collect_list("mean"))  # one number a round
+    cuts = by_round.where("mean IS NOT NULL").agg(means.alias("m")).select(*[F.try_element_at("m", F.lit(1 + min(rounds - 1, int(rounds * q)))).alias(c) for c, q in (("low", alpha / 2), ("high", 1 - alpha / 2))])
+    return whole.crossJoin(cuts).select(F.coalesce("n", F.lit(0)).alias("n"), "mean", "low", "high")  # one row a side
 
 
 def clustered_bootstrap(df: DataFrame, x: str, cluster: str, rounds: int = 10_000, seed: int = 7) -> DataFrame:
     """The interval over clusters' means."""
-    return bootstrap_ci(df.groupBy(cluster).agg(F.avg(x).alias("x")), "x", rounds, seed)
+    return bootstrap_ci(df.groupBy(cluster).agg(F.avg(x).alias("x")), "x", cluster, rounds, seed)
 
 
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:

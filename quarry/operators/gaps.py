@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_incomplete_question, is_junk_question, question_hash
+from quarry.operators.sequence import running_totals
+from quarry.operators.vectors import centres, near_pairs
+from quarry.sources.steps import written
 
 
 def open_gaps(log: DataFrame, closed: DataFrame, now: Column) -> DataFrame:
@@ -27,53 +28,90 @@ def open_gaps(log: DataFrame, closed: DataFrame, now: Column) -> DataFrame:
     return grouped.join(closed, "hash", "left_anti")
 
 
-def leader_clusters(members: DataFrame, threshold: float = 0.90, block: str = "block") -> DataFrame:
-    """``hash, representative`` by greedy leader clustering of ``members(block, hash, vector, weight)``.
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ids of ``nodes(id, place)`` that a walk along ``place`` would pick, skipping every node with an edge to one picked before: ``edges(a, b)``, each once, the earlier node first.
 
-    Within a block, by falling weight and then hash, a member joins the best representative whose cosine reaches the
-    threshold, else it becomes one. The order makes it sequential, hence one Arrow group per block; blocks (one
-    department's open questions) are what bounds a group.
+    In a round all nodes without an undecided earlier neighbour are picked at once and their later neighbours leave, so
+    rounds follow the longest chain of neighbours that decides anything, not the number of nodes.
     """
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "hash"], ascending=[False, True])
-        vectors = np.stack(pdf["vector"].to_numpy()).astype(float)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors /= np.where(norms > 0, norms, 1.0)
-        # Room for the representatives doubles as they come, so none is copied more than a few times.
-        leaders, names, out = np.zeros((16, vectors.shape[1])), [], []
-        for h, v in zip(pdf["hash"], vectors, strict=True):
-            scores = leaders[: len(names)] @ v
-            best = int(np.argmax(scores)) if names else -1
-            if best >= 0 and scores[best] >= threshold:
-                out.append((h, names[best]))
-            else:
-                if len(names) == len(leaders):
-                    leaders = np.concatenate([leaders, np.zeros_like(leaders)])
-                leaders[len(names)] = v
-                names.append(h)
-                out.append((h, h))
-        return pd.DataFrame(out, columns=["hash", "representative"])
-
-    return members.groupBy(block).applyInPandas(cluster, "hash string, representative string")
-
-
-def text_leader_clusters(members: DataFrame, threshold: float = 0.5, block: str = "block") -> DataFrame:
-    """``hash, representative``: a text joins the first cluster whose leader shares at least half of their two-grams (Jaccard)."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, set]] = []
-        out = []
-        for h, t in pdf.sort_values(["weight", "hash"], ascending=[False, True])[["hash", "text"]].itertuples(index=False):
-            t = "".join((t or "").split())
-            grams = {t[k : k + 2] for k in range(max(1, len(t) - 1))}
-            found = next((name for name, g in leaders if len(g & grams) / (len(g | grams) or 1) >= threshold), None)
-            if found is None:
-                leaders.append((h, grams))
-            out.append((h, found or h))
-        return pd.DataFrame(out, columns=["hash", "representative"])
-
-    return members.groupBy(block).applyInPandas(cluster, "hash string, representative string")
+    taken, open_ = [], written(edges.select("a", "b"), "open")
+    left = written(nodes.select("id"), "undecided")
+    while True:
+        waiting = open_.select(F.col("b").alias("id")).distinct()
+        picked = written(left.join(waiting, "id", "left_anti"), "picked")
+        taken.append(picked)
+        gone = written(open_.join(picked.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
+        left = written(left.join(picked.unionByName(gone), "id", "left_anti"), "undecided")
+        if not left.limit(1).count():
+            break
+        still = open_.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
+        open_ = written(still.join(picked.select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"), "open")
+    out = taken[0]
+    for t in taken[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """Members with their place by falling weight and then hash, written."""
+    return written(running_totals(members, [F.desc("weight"), F.asc("hash")]).drop("before"), "members")
+
+
+def leader_clusters(members: DataFrame, threshold: float = 0.90, cells: int = 64, tile: int = 2000) -> DataFrame:
+    """``hash, representative`` by greedy leader clustering of ``members(hash, vector, weight)``.
+
+    By falling weight and then hash, a member joins the best representative before it whose cosine reaches the threshold
+    (of equally good ones the first), else it becomes one. Representatives are the first independent set of the graph of
+    near vectors, so nothing is done one after another, whatever the groups' sizes. Equal vectors are one node; zero and
+    null vectors are near nothing and represent themselves.
+    """
+    placed = _placed(members.withColumn("vector", F.col("vector").cast("array<double>")))
+    nodes = written(placed.groupBy("vector").agg(F.min("place").alias("id")), "vectors")
+    rows = placed.join(nodes.withColumnRenamed("id", "node"), placed["vector"].eqNullSafe(nodes["vector"])).select("hash", "place", "node")
+    rows = written(rows, "rows")
+    plain = F.exists(F.coalesce("vector", F.array().cast("array<double>")), lambda x: x != 0)
+    solid = written(nodes.where(plain), "solid")
+    pivots = centres(solid, cells)
+    edges = near_pairs(solid, solid, threshold, pivots, tile).where("a < b")
+    leaders = written(first_independent(solid.select("id", F.col("id").alias("place")), edges), "leaders")
+    near = near_pairs(solid, solid.join(leaders, "id", "left_semi"), threshold, pivots, tile).select(F.col("a").alias("node"), F.col("b").alias("leader"), "cosine")
+    best = F.max_by("leader", F.struct(F.round("cosine", 12).alias("c"), -F.col("leader")))
+    found = rows.join(near, "node").where(F.col("leader") <= F.col("place")).groupBy("hash").agg(best.alias("leader"))
+    names = rows.where("place = node").select(F.col("place").alias("leader"), F.col("hash").alias("representative"))
+    return rows.join(found, "hash", "left").join(names, "leader", "left").select("hash", F.coalesce("representative", "hash").alias("representative"))
+
+
+def two_grams(text: Column) -> Column:
+    """The distinct two-grams of a text without its white space; one of fewer than two characters is its own."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", "")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - 1)), lambda k: F.substring(t, k, F.lit(2))))
+
+
+def text_leader_clusters(members: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``hash, representative`` of ``members(hash, text, weight)``: a text joins the first representative before it that shares at least half of their two-grams (Jaccard), else it becomes one.
+
+    Texts of equal two-grams are one node. Nodes meet on their rarest grams: of sets of n grams that similar, one of the
+    n - ceil(t n) + 1 rarest is shared, and their sizes differ by no more than the threshold.
+    """
+    placed = _placed(members)
+    grams = placed.select("hash", "place", F.sort_array(two_grams(F.col("text"))).alias("grams"))
+    nodes = written(grams.groupBy("grams").agg(F.min("place").alias("id")).withColumn("n", F.size("grams")), "sets")
+    rows = written(grams.join(nodes, "grams").select("hash", "place", F.col("id").alias("node")), "rows")
+    each = nodes.select("id", "n", F.explode("grams").alias("gram"))
+    df = each.groupBy("gram").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "gram")))
+    prefix = each.join(df, "gram").groupBy("id", "n").agg(order.alias("g")).select("id", "n", F.explode(F.slice("g", 1, F.col("n") - F.ceil(threshold * F.col("n")).cast("int") + 1)).alias("p")).select("id", "n", "p.gram")
+    prefix = written(prefix, "prefixes")
+    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "gram") for x in "ab")
+    met = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+    sets = [nodes.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab"]
+    both = F.size(F.array_intersect("ga", "gb"))
+    edges = written(met.join(sets[0], "a").join(sets[1], "b").where(both / (F.size("ga") + F.size("gb") - both) >= threshold).select("a", "b"), "edges")
+    leaders = written(first_independent(nodes.select("id", F.col("id").alias("place")), edges), "leaders")
+    near = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("node"), F.col("a").alias("leader"))
+    near = near.unionByName(leaders.select(F.col("id").alias("node"), F.col("id").alias("leader"))).groupBy("node").agg(F.min("leader").alias("leader"))
+    names = rows.where("place = node").select(F.col("place").alias("leader"), F.col("hash").alias("representative"))
+    return rows.join(near, "node").join(names, "leader").select("hash", "representative")
 
 
 def merge_groups(gaps: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.steps import written
+
 
 def parity(store: DataFrame, index: DataFrame) -> DataFrame:
     """``pk, kind`` over ``store(pk, doc_id, is_active, index_status)`` and ``index(pk, doc_id)``.
@@ -150,3 +152,59 @@ def parity_in_buckets(store: DataFrame, index: DataFrame, buckets: int) -> DataF
     """``bucket`` and counts by kind, of ``parity`` over buckets of the key: their sums are those of the whole."""
     kinds = parity(store, index).withColumn("bucket", F.pmod("pk", F.lit(buckets)))
     return kinds.groupBy("bucket").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("missing", "dup", "inactive", "orphan")])
+
+
+#: Ranges that one digest of the level above sums up.
+FAN = 64
+
+
+def range_digests(df: DataFrame, key: str, width: int, columns: list[str]) -> DataFrame:
+    """``leaf, n, sum, xor`` per range of ``width`` keys: digests of whole rows that don't depend on their order, repeated rows included."""
+    h = F.xxhash64(key, *columns)
+    return df.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / width).alias("leaf")).agg(F.count("*").alias("n"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), key, *columns)).alias("xor"))
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, fan: int = FAN) -> tuple[DataFrame, dict[str, int]]:
+    """The leaves of two tables of digests that differ, found from the top of a tree of ``fan`` ranges a node, and how many nodes were compared."""
+
+    def above(d: DataFrame) -> DataFrame:
+        return d.groupBy(F.floor(F.col("leaf") / fan).alias("leaf")).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor"))
+
+    levels = [(written(a, "digests"), written(b, "digests"))]
+    while max(x.count() for x in levels[-1]) > fan:
+        levels.append(tuple(written(above(x), "digests") for x in levels[-1]))
+    open_, compared = None, 0
+    for x, y in reversed(levels):
+        if open_ is not None:
+            under = open_.select(F.col("leaf").alias("up"))
+            x, y = (d.withColumn("up", F.floor(F.col("leaf") / fan)).join(under, "up", "left_semi").drop("up") for d in (x, y))
+        both = written(x.select("leaf", F.struct("n", "sum", "xor").alias("x")).join(y.select("leaf", F.struct("n", "sum", "xor").alias("y")), "leaf", "full_outer"), "compared")
+        compared += both.count()
+        open_ = written(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("leaf"), "differ")
+    return open_, {"compared": compared, "leaves": max(levels[0][0].count(), levels[0][1].count())}
+
+
+def reconcile_by_ranges(store: DataFrame, index: DataFrame, key: str, columns: list[str], width: int, unread: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``key, kind`` of keys whose rows differ (missing from the index, extra in it, or changed), and one row of totals.
+
+    Both sides are read once for digests of key ranges; of their rows only those in ranges that differ are read again
+    and joined. ``unread(leaf)`` names ranges that a scan couldn't read: nothing is said of their keys, and the verdict
+    is ``incomplete``. Rows are compared as bags, so repeated rows count; rows without a key aren't compared.
+    Totals: ``leaves, joined, compared, differences, verdict``.
+    """
+    leaf = F.floor(F.col(key) / width).alias("leaf")
+    sides = [df.where(F.col(key).isNotNull()) for df in (store, index)]
+    digests = [range_digests(df, key, width, columns) for df in sides]
+    if unread is not None:
+        digests = [d.join(unread, "leaf", "left_anti") for d in digests]
+    open_, seen = differing_ranges(*digests)
+    of = [df.select("*", leaf).join(open_, "leaf", "left_semi").groupBy(key, *columns).agg(F.count("*").alias("n")) for df in sides]
+    bags = [d.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.pmod(F.xxhash64("n", *columns), F.lit((1 << 31) - 1))).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "n", *columns)).alias("x")) for d in of]
+    a, b = (d.select(key, F.struct("n", "s", "x").alias(name)) for d, name in zip(bags, ("a", "b"), strict=True))
+    kind = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "changed")
+    found = written(a.join(b, key, "full_outer").select(key, kind.alias("kind")).where("kind IS NOT NULL"), "differences")
+    lost = unread.limit(1).count() if unread is not None else 0
+    joined, many = open_.count(), found.count()
+    verdict = "incomplete" if lost else "equal" if not many else "different"
+    totals = found.sparkSession.range(1).select(F.lit(seen["leaves"]).alias("leaves"), F.lit(joined).alias("joined"), F.lit(seen["compared"]).alias("compared"), F.lit(many).alias("differences"), F.lit(verdict).alias("verdict"))
+    return found, totals

@@ -355,7 +355,14 @@ def open_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query("leader_clusters")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    return gaps.leader_clusters(e.select((F.col("label")).alias("block"), F.col("vec_id").cast("string").alias("hash"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5).alias("weight")), 0.5)
+    return gaps.leader_clusters(e.select(F.col("vec_id").cast("string").alias("hash"), F.col("embedding").alias("vector"), (F.col("vec_id") % 5).alias("weight")), 0.5)
+
+
+@query("text_leader_clusters")
+def text_leader_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of users, by their first words' two-grams."""
+    turns = read(spark, d, "conversations").where("role = 'user'")
+    return gaps.text_leader_clusters(turns.select(F.format_string("%012d-%06d", "conv_id", "turn").alias("hash"), "text", (F.col("conv_id") % 3).alias("weight")))
 
 
 _SCORES = "sc AS (SELECT l.doc_id, quality AS label, round(n_chars / 100) / 10 AS score FROM labels l JOIN documents USING (doc_id))"
@@ -400,9 +407,25 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.score_summary(qlog(spark, d), "top_score", ["answer_status"])
 
 
-@query("bootstrap_ci")
+_NEAR = "abs(low - (mean - 1.96 * se)) <= 0.2 * se AND abs(high - (mean + 1.96 * se)) <= 0.2 * se"
+
+
+@query("bootstrap_ci", f"WITH {LOG} SELECT count(top_score) AS n, round(avg(top_score), 6) AS mean, true AS near FROM qlog")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.clustered_bootstrap(qlog(spark, d), "top_score", "user_id", 2000)
+    """The mean score's interval over rows; ``near``: both ends lie within a fifth of a standard error of the normal interval's."""
+    log = qlog(spark, d)
+    se = log.agg((F.stddev_pop("top_score") / F.sqrt(F.count("top_score"))).alias("se"))
+    out = evaluation.bootstrap_ci(log, "top_score", "message_id", 2000).crossJoin(se)  # one row a side
+    return out.select("n", F.round("mean", 6).alias("mean"), F.expr(_NEAR).alias("near"))
+
+
+@query("clustered_bootstrap", "WITH c AS (SELECT avg(l_extendedprice) AS x FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS n, round(avg(x), 2) AS mean, true AS near FROM c")
+def clustered_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The interval over orders' mean prices."""
+    lines = read(spark, d, "lineitem")
+    se = lines.groupBy("l_orderkey").agg(F.avg("l_extendedprice").alias("x")).agg((F.stddev_pop("x") / F.sqrt(F.count("x"))).alias("se"))
+    out = evaluation.clustered_bootstrap(lines, "l_extendedprice", "l_orderkey", 2000).crossJoin(se)
+    return out.select("n", F.round("mean", 2).alias("mean"), F.expr(_NEAR).alias("near"))
 
 
 @query("judge_agreement", f"WITH {LOG}, p AS (SELECT k % 6 AS j, (k * 7) % 6 AS h FROM qlog), c AS (SELECT count(*) AS n, round(avg(abs(j - h)), 6) AS mae, round(avg(CASE WHEN abs(j - h) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS within_one, count(*) FILTER (j >= 4 AND h >= 4) AS tp, count(*) FILTER (j >= 4 AND h < 4) AS fp, count(*) FILTER (j < 4 AND h >= 4) AS fn FROM p) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c")
@@ -463,13 +486,14 @@ def exact_duplicates_by_sha(spark: SparkSession, d: str) -> DataFrame:
     return later.select("doc_id", "incumbent", F.when(wide, "skip").otherwise("warn").alias("action"))
 
 
-@query("bulk_batches", """WITH RECURSIVE b AS (SELECT CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) % 4 AS INT) AS lane, CAST(doc_id AS VARCHAR) AS id, CAST(strlen(CAST(json_object('doc_id', doc_id, 'text', text) AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY id) AS n FROM b), f AS (SELECT lane, n, bytes, 0 AS batch_no, bytes AS used FROM r WHERE n = 1
-UNION ALL SELECT r.lane, r.n, r.bytes, CASE WHEN used + r.bytes > 200000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN used + r.bytes > 200000 THEN r.bytes ELSE used + r.bytes END FROM f JOIN r ON r.lane = f.lane AND r.n = f.n + 1) SELECT lane, batch_no, count(*) AS n_rows, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM f GROUP BY 1, 2""")
+@query("bulk_batches", """WITH RECURSIVE b AS (SELECT CAST(doc_id AS VARCHAR) AS id, CAST(strlen(CAST(json_object('doc_id', doc_id, 'text', text) AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b), f AS (SELECT n, bytes, 0 AS batch_no, bytes AS used FROM r WHERE n = 1
+UNION ALL SELECT r.n, r.bytes, CASE WHEN used + r.bytes > 20000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN used + r.bytes > 20000 THEN r.bytes ELSE used + r.bytes END FROM f JOIN r ON r.n = f.n + 1)
+SELECT CAST(batch_no AS BIGINT) AS batch_no, count(*) AS n_rows, CAST(sum(bytes) AS BIGINT) AS n_bytes FROM f GROUP BY 1""")
 def bulk_batches(spark: SparkSession, d: str) -> DataFrame:
     from quarry.sources.sinks import bulk_batches as batches
 
-    return batches(docs(spark, d).select("doc_id", "text"), "doc_id", 200_000, 4).select("lane", "batch_no", "n_rows", "n_bytes")
+    return batches(docs(spark, d).select("doc_id", "text"), "doc_id", 20_000).select("batch_no", "n_rows", "n_bytes")
 
 
 @query("stratified_sample", "SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) AS n FROM documents) WHERE n <= 20")

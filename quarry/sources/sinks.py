@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import mask_staff_id
+from quarry.operators.sequence import greedy_batches
 
 
-#: Bytes of bodies that a lane aims at where their number isn't stated.
-LANE_BYTES = 64 << 20
+def bulk_batches(chunks: DataFrame, id_col: str, max_bytes: int = 1_500_000) -> DataFrame:
+    """``batch_no, n_rows, n_bytes, body``: NDJSON batches filled greedily by UTF-8 bytes, in the order of the ids as text.
 
-
-def bulk_batches(chunks: DataFrame, id_col: str, max_bytes: int = 1_500_000, lanes: int | None = None) -> DataFrame:
-    """``lane, batch_no, n_rows, n_bytes, body``: NDJSON batches filled greedily by UTF-8 bytes.
-
-    Rows are dealt into lanes by a hash of their id; within one, a batch is closed before the row that would exceed
-    the limit, and a row over the limit is a batch of its own. Greedy filling is sequential, hence one Arrow group per
-    lane; as many lanes as the bodies' bytes need bound a group.
+    A batch is closed before the row that would exceed the limit, and a row over the limit is a batch of its own. A
+    body holds one batch, so its size is bounded by the limit or by its one row.
     """
     body = F.to_json(F.struct(*chunks.columns))
-    if lanes is None:
-        lanes = max(1, -(-(chunks.agg(F.sum(F.octet_length(body)).cast("long").alias("n")).first()["n"] or 0) // LANE_BYTES))
-    lane = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % lanes
-    rows = chunks.select(lane.cast("int").alias("lane"), F.col(id_col).cast("string").alias("__id"), body.alias("body"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for line in pdf.sort_values("__id")["body"]:
-            n = len(line.encode()) + 1
-            if not out or out[-1][1] + n > max_bytes and out[-1][1] > 0:
-                out.append([0, 0, []])
-            out[-1][0] += 1
-            out[-1][1] += n
-            out[-1][2].append(line)
-        return pd.DataFrame([(pdf["lane"].iloc[0], k, r, b, "\n".join(x) + "\n") for k, (r, b, x) in enumerate(out)], columns=["lane", "batch_no", "n_rows", "n_bytes", "body"])
-
-    return rows.groupBy("lane").applyInPandas(fill, "lane int, batch_no int, n_rows int, n_bytes long, body string")
+    rows = chunks.select(F.col(id_col).cast("string").alias("__id"), body.alias("body"))
+    dealt = greedy_batches(rows, ["__id", "body"], F.octet_length("body") + 1, max_bytes)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), "\n")
+    return dealt.groupBy("batch_no").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), F.concat(lines, F.lit("\n")).alias("body"))
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:

@@ -44,19 +44,6 @@ def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     return len([p for p in done.recentProgress if p["numInputRows"] > 0])
 
 
-def drain_steps(claim: Callable[[], int], budget: float, clock: Callable[[], float], pending: Callable[[], int] | None = None) -> str:
-    """Claims batch by batch until none is left; stops when a batch leaves as much pending as before it, or when time is up. Returns why."""
-    end, before = clock() + budget, None
-    while clock() < end:
-        left = pending() if pending else None
-        if before is not None and left is not None and left >= before:
-            return "no_progress"
-        if claim() == 0:
-            return "empty" if not left else "no_progress"
-        before = left
-    return "time"
-
-
 def latest_sessions(turns: DataFrame, now: str, idle: str = "30 MINUTES", most: int = 1000) -> DataFrame:
     """``session_id, owner, last_at``: of sessions not idle for longer, the ``most`` used last; the first turn's user owns one, and only the owner's turns keep it alive."""
     owner = turns.groupBy("session_id").agg(F.min_by("user_id", F.struct("ts", "user_id")).alias("owner"))

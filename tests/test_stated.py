@@ -1,4 +1,4 @@
-"""Queries over small stated inputs whose answers were worked out by hand: they stand as values beside the query."""
+"""Operators on small stated inputs whose answers were worked out by hand: they stand as values beside the input."""
 
 from __future__ import annotations
 
@@ -6,31 +6,24 @@ import io
 import zipfile
 from collections.abc import Callable
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import answers, arrow, redact, status, text
 from quarry.operators import audits, chunking, evaluation, gaps, reconcile, retrieval
-from quarry.plans import dag
-from quarry.plans.registry import query
 from quarry.sources import files, office
 from quarry.streaming import handoff, limits, rollups
 
 
-def _literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+STATED: list = []
 
 
 def expect(name: str, columns: str, rows: list[tuple]) -> Callable:
-    """Registers a query of the session alone with its rows as SQL values."""
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    """A case: what the function gives must be these rows."""
 
     def add(f: Callable[[SparkSession], DataFrame]) -> Callable[[SparkSession], DataFrame]:
-        query(name, f"SELECT * FROM (VALUES {values}) AS t({columns})")(lambda spark, d: f(spark))
+        STATED.append(pytest.param(f, columns.split(", "), rows, id=name))
         return f
 
     return add
@@ -383,14 +376,14 @@ def final_verdicts(spark: SparkSession) -> DataFrame:
 
 @expect("leaders", "hash, representative", [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e")])
 def leaders(spark: SparkSession) -> DataFrame:
-    rows = [(1, "a", [1.0, 0.0], 5), (1, "b", [0.99, 0.05], 1), (1, "c", [0.0, 1.0], 4), (1, "d", [0.1, 0.99], 1), (2, "e", [1.0, 0.0], 1)]
-    return gaps.leader_clusters(spark.createDataFrame(rows, "block int, hash string, vector array<double>, weight int"))
+    rows = [("a", [1.0, 0.0], 5), ("b", [0.99, 0.05], 1), ("c", [0.0, 1.0], 4), ("d", [0.1, 0.99], 1), ("e", [0.0, 0.0], 1)]
+    return gaps.leader_clusters(spark.createDataFrame(rows, "hash string, vector array<double>, weight int"))
 
 
 @expect("text_leaders", "hash, representative", [("a", "a"), ("b", "a"), ("c", "c")])
 def text_leaders(spark: SparkSession) -> DataFrame:
-    rows = [(1, "a", "如何重置密码", 5), (1, "b", "如何重置 密码？", 2), (1, "c", "年假几天", 1)]
-    return gaps.text_leader_clusters(spark.createDataFrame(rows, "block int, hash string, text string, weight int"))
+    rows = [("a", "如何重置密码", 5), ("b", "如何重置 密码？", 2), ("c", "年假几天", 1)]
+    return gaps.text_leader_clusters(spark.createDataFrame(rows, "hash string, text string, weight int"))
 
 
 @expect("merged_gaps", "raw, asks, days, kind, members", [("qa", 8, 1, "refusal", 2), ("qc", 2, 4, "no_result", 1)])
@@ -461,30 +454,16 @@ def owed_comments(spark: SparkSession) -> DataFrame:
     return handoff.handoffs(spark.createDataFrame(rows, "actor string, ts double, seq int, kind string, answer string"))
 
 
-@expect("drain_ends", "n, why", [(0, "empty"), (1, "no_progress"), (2, "time")])
-def drain_ends(spark: SparkSession) -> DataFrame:
-    def end(work: list[int], stuck: bool, budget: float) -> str:
-        now = iter(range(1000))
-        left = [sum(work)]
+def _plain(v):
+    if isinstance(v, float):
+        return int(v) if v == int(v) else round(v, 9)
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    return v
 
-        def claim() -> int:
-            n = work.pop() if work else 0
-            left[0] -= 0 if stuck else n
-            return n
 
-        return rollups.drain_steps(claim, budget, lambda: float(next(now)), lambda: left[0])
-
-    return spark.createDataFrame([(0, end([1, 2], False, 100)), (1, end([1, 2], True, 100)), (2, end([1] * 50, False, 10))], "n int, why string")
-
-
-@expect("step_states", "step, state", [("a", "done"), ("b", "failed"), ("c", "skipped"), ("d", "done"), ("e", "skipped"), ("write", "done"), ("index", "done"), ("verify", "done"), ("retire", "skipped")])
-def step_states(spark: SparkSession) -> DataFrame:
-    """A failure skips what depends on it, an empty value what needs it; what isn't verified is not retired."""
-
-    def fail(context: dict) -> None:
-        raise RuntimeError("broken")
-
-    steps = [dag.Step("e", lambda c: 1, ["d"], needs=["d"]), dag.Step("c", lambda c: 1, ["b"]), dag.Step("b", fail, ["a"]), dag.Step("a", lambda c: [1]), dag.Step("d", lambda c: [])]
-    _, one = dag.run(steps)
-    _, two = dag.run(dag.activation(lambda c: 1, lambda c: 1, lambda c: False, lambda c: 1))
-    return spark.createDataFrame([*one.items(), *two.items()], "step string, state string")
+@pytest.mark.parametrize(("case", "columns", "rows"), STATED)
+def test_stated(spark, case, columns, rows):
+    got = case(spark)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(repr([_plain(v) for v in r]) for r in got.select(*columns).collect()) == sorted(repr([_plain(v) for v in r]) for r in rows)

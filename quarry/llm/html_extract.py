@@ -7,7 +7,7 @@ share from all leaves below it. What a host shows on few pages leans on the tree
 most of a host's important text is its main branch, and what lies outside it loses importance by that branch's share.
 Names are further evidence: a class or id that tells a purpose can be outvoted by the statistics, while an element or
 role that states one, and comments and adverts, which differ from page to page by nature, weigh more. Branches of low
-importance are removed from each page.
+importance are removed from each page, unless something important lies in them.
 """
 
 from __future__ import annotations
@@ -328,9 +328,9 @@ def _importance(seen: DataFrame, above: DataFrame, *by: str) -> tuple[DataFrame,
     content = seen.select(*by, F.explode("held").alias("x")).select(*by, "x.node", "x.feature", "x.chars")
     shown = _spread(layout, keys, "layout").select(*keys, F.col("n").alias("pages"), F.when(F.col("n") > 1, (F.ln("n") - F.col("s") / F.col("n")) / F.ln("n")).otherwise(1.0).alias("layout"))
     held = materialise(_spread(content, keys, "feature", F.sum("chars").alias("chars")), "held")
-    leaves = held.join(shown, keys).select(*keys, "n", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("n") / F.ln("pages")).otherwise(1.0).alias("leaf"))
-    through = leaves.withColumnRenamed("node", "leaf_node").join(above.withColumnRenamed("leaf", "leaf_node"), "leaf_node").select(*by, F.col("up").alias("node"), "n", "leaf", (F.col("up") != F.col("leaf_node")).cast("int").alias("inner"))
-    below = through.groupBy(*keys).agg((F.sum(F.col("n") * F.col("leaf")) / F.sum("n")).alias("content"), F.max("inner").alias("inner"))
+    leaves = held.join(shown, keys).select(*keys, "chars", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("n") / F.ln("pages")).otherwise(1.0).alias("leaf"))
+    through = leaves.withColumnRenamed("node", "leaf_node").join(above.withColumnRenamed("leaf", "leaf_node"), "leaf_node").select(*by, F.col("up").alias("node"), "chars", "leaf", (F.col("up") != F.col("leaf_node")).cast("int").alias("inner"))
+    below = through.groupBy(*keys).agg((F.sum(F.col("chars") * F.col("leaf")) / F.sum("chars")).alias("content"), F.max("inner").alias("inner"))
     mixed = (1 - CONTENT_SHARE) * F.col("layout") + CONTENT_SHARE * F.col("content")
     return shown.join(below, keys).select(*keys, "pages", F.when(F.col("inner") == 1, mixed).otherwise(F.col("content")).alias("importance")), held
 
@@ -358,8 +358,20 @@ def _away(mains: DataFrame, above: DataFrame, leaves: DataFrame, name: str) -> D
     return leaves.join(inside, ["host", "node"], "left_anti").join(mains.select("host", F.col("share").alias(name)), "host").select("host", "node", name)
 
 
+def _wrappers(mains: DataFrame, above: DataFrame, names: DataFrame) -> DataFrame:
+    """``host, up``: the nodes on the way to a host's main branch (``mains``: ``host, up, share``), itself included."""
+    depth = names.select(F.col("node").alias("up"), "depth")
+    ends = mains.select("host", "up").join(depth.withColumnRenamed("depth", "low"), "up").join(above, "up").select("host", "low", "leaf")
+    return ends.join(above, "leaf").join(depth, "up").where("depth <= low").select("host", "up").distinct()
+
+
 def low_leaves(source: DataFrame) -> DataFrame:
-    """``host, node`` from ``source(host, html)``: leaves in a branch of low importance, or low by lying outside the main branch."""
+    """``host, node`` from ``source(host, html)``: leaves that go.
+
+    A leaf goes if its own importance is low, if it lies in a branch that is low with the purpose that it is named for,
+    or if it is low for lying outside the main branch. A branch that is low by statistics alone takes nothing along that
+    is important itself, and a name takes nothing from the way to the main branch unless it states a purpose.
+    """
     read = materialise(source.mapInArrow(_observe, _SEEN), "observed")
     above = materialise(read.select(F.explode("above").alias("x")).select("x.leaf", "x.up").distinct(), "above")
     # Copies of a page are one page: else what they hold would look like a template.
@@ -371,10 +383,16 @@ def low_leaves(source: DataFrame) -> DataFrame:
     all_ = materialise(all_.select("node", ((F.col("pages") * F.col("importance") + WEIGHT * UNKNOWN) / (F.col("pages") + WEIGHT)).alias("all")), "all_nodes")
     value = (F.col("pages") * F.col("importance") + WEIGHT * F.col("all")) / (F.col("pages") + WEIGHT)
     judged = materialise(own.join(all_, "node").join(names, "node").select("host", "node", "pages", value.alias("value"), (value + F.col("evidence")).alias("score"), "evidence"), "judged")
-    low = judged.where(F.col("score") < THRESHOLD).select("host", F.col("node").alias("up"))
+    low = judged.where(F.col("score") < THRESHOLD).select("host", F.col("node").alias("up"), "evidence")
     leaves = own_held.select("host", "node", "chars").join(judged, ["host", "node"]).select("host", "node", "chars", "pages", "value", "score")
-    gone = leaves.select("host", F.col("node").alias("leaf")).join(above, "leaf").join(low, ["host", "up"], "left_semi").select("host", F.col("leaf").alias("node")).distinct()
-    gone = materialise(gone, "low_branches")
+    # A branch goes only with all that is below it: a leaf by its own score, an inner node's leaves by a purpose that it is named for.
+    under = leaves.select("host", F.col("node").alias("leaf")).join(above, "leaf").join(low, ["host", "up"])
+    under = materialise(under.where((F.col("up") == F.col("leaf")) | (F.col("evidence") < 0)).select("host", "up", F.col("leaf").alias("node"), "evidence"), "under")
+    stated = under.where((F.col("up") == F.col("node")) | (F.col("evidence") <= STATED)).select("host", "node").distinct()
+    open_ = leaves.join(stated, ["host", "node"], "left_anti").select("host", "node", (F.col("chars") * F.col("value")).alias("mass"))
+    wrappers = _wrappers(_main(open_, above, names, "host"), above, names)
+    called = under.where((F.col("up") != F.col("node")) & (F.col("evidence") > STATED)).join(wrappers, ["host", "up"], "left_anti").select("host", "node")
+    gone = materialise(stated.union(called).distinct(), "low_branches")
     rest = materialise(leaves.join(gone, ["host", "node"], "left_anti"), "rest")
     places = rest.select("host", "node")
     by_host = _away(_main(rest.select("host", "node", (F.col("chars") * F.col("value")).alias("mass")), above, names, "host"), above, places, "away")
@@ -385,5 +403,5 @@ def low_leaves(source: DataFrame) -> DataFrame:
     away = (F.col("pages") * F.coalesce("away", F.lit(0.0)) + WEIGHT * F.coalesce("away_all", F.lit(0.0))) / (F.col("pages") + WEIGHT)
     far = rest.join(by_host, ["host", "node"], "left").join(by_all, ["host", "node"], "left").where(F.col("score") - OUTSIDE * away < THRESHOLD).select("host", "node")
     out = materialise(gone.union(far), "low_leaves")
-    discard(read, above, seen, names, own_held, all_held, all_, judged, gone, rest)
+    discard(read, above, seen, names, own_held, all_held, all_, judged, under, gone, rest)
     return out

@@ -128,14 +128,13 @@ def plain_tree(rows):
             for n, text in held:
                 counts[n][text] += 1
         leaf = {n: (sum(c.values()), 1.0 if shown[n] < 2 else 1 - sum(k * log(k) for k in c.values()) / sum(c.values()) / log(shown[n])) for n, c in counts.items()}
-        out = {}
+        out, chars = {}, {n: sum(len(t) * k for t, k in c.items()) for n, c in counts.items()}
         for n in shown:
             under = [(m, x) for m, x in leaf.items() if n in above[m]]
             if under:
-                content = sum(x[0] * x[1] for _, x in under) / sum(x[0] for _, x in under)
+                content = sum(chars[m] * x[1] for m, x in under) / sum(chars[m] for m, _ in under)
                 spread = 1.0 if shown[n] < 2 else (log(shown[n]) - sum(k * log(k) for k in layouts[n].values()) / shown[n]) / log(shown[n])
                 out[n] = (shown[n], content if all(m == n for m, _ in under) else (1 - h.CONTENT_SHARE) * spread + h.CONTENT_SHARE * content)
-        chars = {n: sum(len(t) * k for t, k in c.items()) for n, c in counts.items()}
         return out, chars
 
     def main(mass):
@@ -153,8 +152,12 @@ def plain_tree(rows):
         own, chars = importance([x for key, x in pages.items() if key[0] == host])
         value = {n: (k * x + h.WEIGHT * all_[n]) / (k + h.WEIGHT) for n, (k, x) in own.items()}
         low = {n for n, x in value.items() if x + names[n][0] < h.THRESHOLD}
-        gone |= {(host, n) for n in chars if above[n] & low}
-        rest[host] = {n: x * value[n] for n, x in chars.items() if not above[n] & low}
+        stated = {n for n in chars if n in low or any(names[u][0] <= h.STATED for u in above[n] & low)}
+        first = main({n: x * value[n] for n, x in chars.items() if n not in stated})
+        way = {u for n in chars if first and first[1] in above[n] for u in above[n] if names[u][2] <= first[0]}
+        off = stated | {n for n in chars if any(h.STATED < names[u][0] < 0 for u in (above[n] & low) - way - {n})}
+        gone |= {(host, n) for n in off}
+        rest[host] = {n: x * value[n] for n, x in chars.items() if n not in off}
         scores[host] = (own, value)
     best = main({n: all_chars[n] * all_[n] for n in {n for x in rest.values() for n in x}})
     for host, mass in rest.items():
@@ -187,6 +190,27 @@ def test_low_leaves_are_those_of_a_plain_tree(spark):
     assert got == plain_tree(rows) and len(got) > 20
 
 
+def test_an_article_stays_whatever_its_menu_is(spark):
+    """Hosts of one layout each: nothing of an article goes, nothing else stays. What was put in is what is asked for."""
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    said = lambda n: " ".join(rng.choice("alpha beta gamma delta river stone cloud market engine window paper".split()) for _ in range(n)) + f" {rng.randrange(10**6)}"
+    rows, want = [], {}
+    layouts = itertools.product((0, 3, 6, 10, 20, 50), (1, 4, 12, 30), ("<article>{}</article>", "<main>{}</main>", "<section>{}</section>", "<div class='page-header-layout'><div class='text'>{}</div></div>", "{}"), (True, False))
+    for host, (items, paragraphs, frame, named) in enumerate(layouts):
+        menu, foot = "".join(f"<li>{said(2)}</li>" for _ in range(items)), said(6)
+        for page in range(15):
+            blocks = [said(4)] + [said(rng.randrange(8, 40)) for _ in range(paragraphs)]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+            top, end = (f'<nav class="nav"><ul>{menu}</ul></nav>', f'<div class="footer">{foot}</div>') if named else (f"<div><ul>{menu}</ul></div>", f"<div><span>{foot}</span></div>")
+            want[len(rows)] = "\n\n".join(blocks)
+            rows.append((len(rows), f"http://h{host}.example/{page}", f'<html><body><div class="page">{top}{frame.format(body)}{end}</div></body></html>'))
+    got = texts(spark, rows)
+    assert [rows[n][2][:300] for n in want if got[n] != want[n]] == []
+
+
 def test_clashing_columns(spark, none):
     page = "<body><article><p>Text</p></article></body>"
     from pyspark.sql import functions as F

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 #: Bits of a filter, whatever it is of.
 FILTER_BITS = 1 << 24
-#: Rows that go to Python at once while a step is written: whole texts may be long.
-_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: What goes to Python at once while a step is written: so many rows, and so many bytes (one longer row goes alone).
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,15 @@ def materialise(df: DataFrame, step: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{step}-{uuid.uuid4().hex}"
-    before = int(spark.conf.get(_BATCH))
-    spark.conf.set(_BATCH, min(before, _BATCH_ROWS) if before > 0 else _BATCH_ROWS)
+    before = {k: spark.conf.get(k) for k in _BATCH}
+    for k, most in _BATCH.items():
+        own = spark.conf.get(k)
+        spark.conf.set(k, str(min(int(own), most) if own.isdigit() and int(own) > 0 else most))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.quarry_path = path
     return out

@@ -246,7 +246,7 @@ def held_out(id_: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, vocabulary: int = VOCABULARY, seed: int = 5) -> Model:
-    """Fits a model on at most ``sample_rows`` labelled rows that aren't held out, in the order of a hash of their id, as far as their whole texts together have ``sample_bytes``.
+    """Fits a model on at most ``sample_rows`` labelled rows that aren't held out, in the order of a hash of their id, whose whole texts together have at most ``sample_bytes``: one that no longer fits is passed over.
 
     Null labels and ids are left out; of several labels for an id the highest counts, of several texts the greatest.
     Null texts count as empty. What reaches the driver is bounded by the two sizes. Without labelled rows the score is
@@ -259,12 +259,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = texts.join(F.broadcast(ids), F.col("id") == F.col("__id"))
     sizes = joined.groupBy("__id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes")).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").collect()
     fits, left = [], sample_bytes
-    for r in sizes:
-        left -= r["bytes"]
-        if left >= 0:
+    for r in sizes:  # a text too long for what is left is passed over
+        if r["bytes"] <= left:
+            left -= r["bytes"]
             fits.append((r["__id"],))
-        else:
-            break
     if len(fits) < len(sizes):
         joined = joined.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "__id long")), "__id", "left_semi")
     rows = joined.groupBy("__id").agg(F.max("__label").alias("label"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
@@ -275,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (double, 0 to 1) and ``predicted`` (int), which replace columns of those names.
 
-    Null and empty texts are scored as texts without words. Every row stays, repeated ones too.
+    Null and empty texts are scored as texts without words. Every row stays, repeated ones too; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])

@@ -66,3 +66,11 @@ def test_shapes_read_whole_words_and_samples_are_bounded_by_bytes(spark):
     whole, part = quality.learn(docs, labels), quality.learn(docs, labels, sample_bytes=20_000)
     assert whole.constant is None and part.constant is None
     assert quality.learn(docs, labels, sample_bytes=10).constant == 0.5
+
+
+def test_a_text_too_long_for_the_sample_is_passed_over(spark):
+    docs = [(k, ("good words here " if k % 2 else "x9 ## zz ") * 5) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    for long_ in range(0, 60, 7):  # one of them comes first
+        rows = [(k, t * 1000 if k == long_ else t) for k, t in docs]
+        assert quality.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample_bytes=5000).constant is None

@@ -78,7 +78,7 @@ def bootstrap_ci(df: DataFrame, x: str, key: str, rounds: int = 2000, seed: int
     """``n, mean, low, high`` of a mean by resampling rows where they lie: in each round a row counts a hashed Poisson number of times.
 
     Weights depend on ``key``, the round and the seed alone, so partitions don't matter, and rows of one key are drawn
-    together. A task hands on two sums per round; nothing else leaves it. Null values don't count; without rows all but
+    together. A task hands on two sums per round; nothing else leaves it. Null values don't count, nor do rounds that draw nothing; without rows all but
     ``n`` are null.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.xxhash64(key).alias("h")).where("x is not null")
@@ -95,7 +95,7 @@ def bootstrap_ci(df: DataFrame, x: str, key: str, rounds: int = 2000, seed: int
     whole = parts.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
     by_round = parts.select(F.posexplode(F.arrays_zip("weight", "value")).alias("round", "s")).groupBy("round").agg(F.try_divide(F.sum("s.value"), F.sum("s.weight")).alias("mean"))
     means = F.array_sort(F.collect_list("mean"))  # one number a round
-    cuts = by_round.where("mean IS NOT NULL").agg(means.alias("m")).select(*[F.try_element_at("m", F.lit(1 + min(rounds - 1, int(rounds * q)))).alias(c) for c, q in (("low", alpha / 2), ("high", 1 - alpha / 2))])
+    cuts = by_round.where("mean IS NOT NULL").agg(means.alias("m")).select(*[F.get("m", F.least(F.size("m") - 1, F.floor(F.size("m") * q).cast("int"))).alias(c) for c, q in (("low", alpha / 2), ("high", 1 - alpha / 2))])
     return whole.crossJoin(cuts).select(F.coalesce("n", F.lit(0)).alias("n"), "mean", "low", "high")  # one row a side
 
 

@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is read twice, with sentences that end at line ends and with sentences that run over them. Its sentences are
-normalised and mapped to identifiers of known licence sentences; both readings are merged by place, and the sequence of
-identifiers is then matched against licence rules in their order. A rule that matches takes its sentences out of the
+normalised, brought to the form of known ones where they differ in a holder, a subject or the way a licence is mentioned,
+and mapped to identifiers of known licence sentences; an SPDX expression gives one for each licence that it names. Both
+readings are merged by place, and the sequence of identifiers is then matched against licence rules in their order. A rule that matches takes its sentences out of the
 sequence, so what a longer rule has used can't also satisfy a shorter one.
 """
 
@@ -57,11 +58,43 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-line",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-line",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-line",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl2-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl3-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version": "lgpl2-grant",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "version 3 19 november 2007": "agpl3-version",
+    "version 2 1 february 1999": "lgpl21-version",
+    "mozilla public license version 2 0": "mpl2-title",
+    "eclipse public license v 2 0": "epl2-title",
+    "eclipse public license v 1 0": "epl1-title",
+    "boost software license version 1 0 august 17th 2003": "bsl-title",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liable",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit0-grant",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "do what the fuck you want to public license": "wtfpl-title",
+    "cc0 1 0 universal": "cc0-title",
+    "artistic license 2 0": "artistic2-title",
+    "the artistic license 2 0": "artistic2-title",
+    "sil open font license version 1 1": "ofl-title",
+    "common development and distribution license cddl version 1 0": "cddl-title",
+    "python software foundation license version 2": "psf-title",
+    "postgresql license": "postgresql-title",
+    "european union public license v 1 2": "eupl-title",
 }
 
 # Licences in the order in which their sequences are tried; whole texts come before single notices.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice", "mit-asis", "mit-liable"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache-grant", "apache-copy", "apache-asis", "apache-see"]),
@@ -70,6 +103,15 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache-line", "apache-comply"]),
     ("GPL-3.0-or-later", ["gpl3-grant", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-grant", "gpl-warranty", "gpl-see"]),
+    ("GPL-2.0-only", ["gpl2-only-grant", "gpl-warranty", "gpl-see"]),
+    ("GPL-3.0-only", ["gpl3-only-grant", "gpl-warranty", "gpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl21-grant", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-2.0-or-later", ["lgpl2-grant", "gpl-warranty", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-grant", "gpl-warranty", "agpl-see"]),
+    ("AGPL-3.0", ["agpl-title", "agpl3-version"]),
+    ("LGPL-3.0", ["lgpl-title", "gpl3-version"]),
+    ("LGPL-2.1", ["lgpl-title", "lgpl21-version"]),
     ("GPL-3.0", ["gpl-title", "gpl3-version"]),
     ("GPL-2.0", ["gpl-title", "gpl2-version"]),
     ("MPL-2.0", ["mpl2-line", "mpl2-copy"]),
@@ -78,6 +120,28 @@ RULES: list[tuple[str, list[str]]] = [
     ("LGPL-2.1-or-later", ["lgpl21-grant"]),
     ("AGPL-3.0-or-later", ["agpl3-grant"]),
     ("MPL-2.0", ["mpl2-line"]),
+    ("GPL-2.0-only", ["gpl2-only-grant"]),
+    ("GPL-3.0-only", ["gpl3-only-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3-grant"]),
+    ("LGPL-2.0-or-later", ["lgpl2-grant"]),
+    ("BSL-1.0", ["bsl-title", "bsl-grant"]),
+    ("BSL-1.0", ["bsl-title"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("Zlib", ["zlib-liable", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("WTFPL", ["wtfpl-title"]),
+    ("MIT-0", ["mit0-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("EPL-1.0", ["epl1-title"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("Artistic-2.0", ["artistic2-title"]),
+    ("OFL-1.1", ["ofl-title"]),
+    ("CDDL-1.0", ["cddl-title"]),
+    ("PSF-2.0", ["psf-title"]),
+    ("PostgreSQL", ["postgresql-title"]),
+    ("EUPL-1.2", ["eupl-title"]),
     ("ISC", ["isc-grant"]),
     ("Unlicense", ["unlicense-line"]),
     ("MIT", ["mit-grant"]),
@@ -91,11 +155,77 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-4.0", ["cc-by-line"]),
 ]
 
-# Tags name a licence by its identifier; a rule follows from each.
-_TAGGED = [*dict.fromkeys([*(name for name, _ in RULES), *(f"{x}-{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0") for y in ("only", "or-later"))])]
-KNOWN = SENTENCES | {f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}": f"spdx-{name}" for name in _TAGGED}
-ALL_RULES = [*RULES, *((name, [f"spdx-{name}"]) for name in _TAGGED)]
+# How licences are called where they are mentioned.
+_CALLED: dict[str, list[str]] = {
+    "MIT": ["mit", "expat"],
+    "Apache-2.0": ["apache version 2 0", "apache license version 2 0", "apache license v2 0", "apache 2 0", "apache license 2 0", "asl 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"],
+    "BSD-3-Clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl v2", "gnu gpl version 2", "gpl v2", "gplv2", "gpl version 2"],
+    "GPL-3.0": ["gnu general public license v3", "gnu gpl v3", "gnu gpl version 3", "gpl v3", "gplv3", "gpl version 3"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "gnu lgpl v2 1", "lgpl v2 1", "lgplv2 1", "lgpl version 2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "gnu lgpl v3", "lgpl v3", "lgplv3", "lgpl version 3"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "gnu agpl v3", "agpl v3", "agplv3"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0", "mpl v2 0"],
+    "EPL-2.0": ["eclipse public license 2 0", "eclipse public license v 2 0", "eclipse public license version 2 0", "epl 2 0"],
+    "EPL-1.0": ["eclipse public license 1 0", "eclipse public license v 1 0", "eclipse public license version 1 0", "epl 1 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0", "boost"],
+    "ISC": ["isc"],
+    "Zlib": ["zlib"],
+    "Unlicense": ["unlicense"],
+    "WTFPL": ["wtfpl"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "creative commons cc0 1 0 universal", "cc0 1 0 universal"],
+    "CC-BY-4.0": ["creative commons attribution 4 0 international"],
+    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 international"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic 2 0"],
+    "OFL-1.1": ["sil open font license version 1 1", "sil open font license 1 1"],
+    "CDDL-1.0": ["common development and distribution license version 1 0", "cddl 1 0"],
+    "PostgreSQL": ["postgresql"],
+    "EUPL-1.2": ["eupl 1 2", "european union public license 1 2"],
+    "NCSA": ["university of illinois ncsa open source"],
+}
 
+#: Forms of a normalised sentence: where the first pattern is found and the second isn't, what the third finds is replaced.
+_NOT = r"(^| )(not|never|no|nor|isn|aren|instead|unless|without|rather)( |$)"
+_FORMS = [
+    # A holder's name, and the older order of the words.
+    (r"^neither the names? of .+ may be used to endorse", "^$", r"^neither the names? of .+ may be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"^the names? of .+ may not be used to endorse", "^$", r"^the names? of .+ may not be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    (r"^neither the name of the copyright holder .+ specific prior written permission", "^$", r"(prior written permission) .*$", r"\1"),
+    # What the program calls itself.
+    (r" is free software you can redistribute it and or modify it", "^$", r"^.* is free software", "this program is free software"),
+    (r" is distributed in the hope that it will be useful", "^$", r"^.* is distributed in the hope", "this program is distributed in the hope"),
+    # How a licence is mentioned.
+    (r"(^| )(released|licensed|distributed|available|published|provided|redistributed) under ", _NOT, r"^(.* )?(released|licensed|distributed|available|published|provided|redistributed) under ((the|an?) )?(terms (and conditions )?of )?((the|an?) )?", "licensed under the "),
+    (r"^licensed under the ", _NOT, r" (see|which|a copy|as described|as found|for more|for details|for further|the full text|in the license file|in the accompanying|please) .*$", ""),
+    (r"^licensed under the .* license$", _NOT, r" license$", ""),
+]
+
+
+def form(sentence: str) -> str:
+    """A normalised sentence in the form that the table of known ones has; ``_formed`` does the same to a column."""
+    import re
+
+    for has, hasnt, pattern, to in _FORMS:
+        if re.search(has, sentence) and not re.search(hasnt, sentence):
+            sentence = re.sub(pattern, to, sentence)
+    return sentence
+
+
+def _words(name: str) -> str:
+    """An identifier as normalised; what belongs to its name is told from an "or" between names."""
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split()).replace(" or later", " orlater")
+
+
+#: What an SPDX tag begins with. Tags name a licence by its identifier; a rule follows from each.
+SPDX = "spdx license identifier "
+_TAGGED = [*dict.fromkeys([*(name for name, _ in RULES), *_CALLED, *(f"{x}-{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("only", "or-later"))])]
+KNOWN = {
+    **{form(f"licensed under the {called}{end}"): f"says-{name}" for name, all_ in _CALLED.items() for called in all_ for end in ("", " license")},
+    **{form(sentence): id_ for sentence, id_ in SENTENCES.items()}, **{f"{SPDX}{_words(name)}": f"spdx-{name}" for name in _TAGGED},
+}
+ALL_RULES = [*RULES, *((name, [f"says-{name}"]) for name in _CALLED), *((name, [f"spdx-{name}"]) for name in _TAGGED)]
 
 
 def _telling() -> list[str]:
@@ -109,7 +239,8 @@ def _telling() -> list[str]:
     return out
 
 
-TELLING = _telling()
+#: Any of these, too: mentions are brought to one form, whatever they say for "licensed".
+TELLING = [*_telling(), "licence", "released", "available", "published", "provided"]
 
 #: Ends of sentences, and ends of lines that are none.
 _END, _LINE = "\x01", "\x02"
@@ -118,6 +249,8 @@ _MARK = r"(?:#+|//+|\*+|;+|--+)"
 #: Replacements, in their order, of a text in lower case: patterns without looking around, so that any engine reads them alike.
 _STEPS = [
     (r"(^|[^\p{L}\p{N}])v\.([ \t\r\n])", r"\1v\2"),  # "v. 2.0" is no end
+    (r"licence", "license"),
+    (r"(^|[^\p{L}\p{N}])(inc|ltd|corp|co|univ|dept)\.([ \t\r\n,])", r"\1\2\3"),
     (_MARK + r"[ \t\r\f]*\n", r"\n"),  # a comment's empty lines are empty
     (r"\n[ \t\r\f]*\n[ \t\r\f]*" + _MARK + r"?[ \t]*(<?https?://)", r" \1"),  # an address after an empty line belongs to what names it
     (r"\n[ \t\r\f]*" + _MARK + r"?[ \t]*\(?[0-9]{1,2}[.)][ \t]", _END),  # numbers of a list
@@ -144,15 +277,37 @@ def normalised(text: Column) -> Column:
     return F.when(any_, out).otherwise("")
 
 
-def _found(sentences: Column) -> Column:
-    """The known ones of the sentences as ``(start, end, id)``; places count characters of words, so both readings share them."""
+def _step(has: str, hasnt: str, pattern: str, to: str):
+    return lambda x: F.when(x.rlike(has) & ~x.rlike(hasnt), F.regexp_replace(x, pattern, to.replace("\\", "$"))).otherwise(x)
+
+
+def _formed(sentence: Column) -> Column:
+    """The sentence in the form of the known ones. Each step names the one before once, so the expression stays short."""
+    out = F.array(sentence)
+    for one in _FORMS:
+        out = F.transform(out, _step(*one))
+    return F.element_at(out, 1)
+
+
+def _ids(sentence: Column, names: Column, tags: bool) -> Column:
+    """The identifiers of a sentence: of an SPDX expression, which is one line, those of all licences that it names, without exceptions to them; else at most one."""
+    s = F.trim(sentence)
+    if not tags:
+        return F.when(F.startswith(s, F.lit(SPDX)), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(F.try_element_at(names, _formed(s)))))
+    named = F.split(F.regexp_replace(F.replace(F.substring(s, len(SPDX) + 1, 1 << 30), F.lit(" or later"), F.lit(" orlater")), " with [^\x01]*?( and | or |$)", "$1"), " (?:and|or) ")
+    each = F.array_compact(F.transform(named, lambda x: F.try_element_at(names, F.concat(F.lit(SPDX), F.trim(x)))))
+    return F.when(F.startswith(s, F.lit(SPDX)), each).otherwise(F.array_compact(F.array(F.try_element_at(names, _formed(s)))))
+
+
+def _found(sentences: Column, tags: bool) -> Column:
+    """The known ones of the sentences as ``(start, end, n, id)``; places count characters of words, so both readings share them."""
     names = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    empty = F.array().cast("array<struct<start: bigint, end: bigint, id: string>>")
+    empty = F.array().cast("array<struct<start: bigint, end: bigint, n: int, id: string>>")
 
     def step(acc: Column, sentence: Column) -> Column:
         end = acc["at"] + F.length(F.replace(sentence, F.lit(" "), F.lit("")))
-        known = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.element_at(names, F.trim(sentence)).alias("id")))
-        return F.struct(end.alias("at"), F.when(F.trim(sentence).isin(list(KNOWN)), F.concat(acc["out"], known)).otherwise(acc["out"]).alias("out"))
+        known = F.transform(_ids(sentence, names, tags), lambda id_, n: F.struct(acc["at"].alias("start"), end.alias("end"), n.alias("n"), id_.alias("id")))
+        return F.struct(end.alias("at"), F.when(F.trim(sentence) != "", F.concat(acc["out"], known)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(sentences, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
@@ -180,7 +335,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     read = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("plain"))
     over = F.regexp_replace("plain", f"[ {_LINE}]+", " ")
-    read = read.select("doc_id", _found(F.split("plain", f"[{_END}{_LINE}]")).alias("by_line"), _found(F.split(over, _END)).alias("over"))
+    read = read.select("doc_id", _found(F.split("plain", f"[{_END}{_LINE}]"), True).alias("by_line"), _found(F.split(over, _END), False).alias("over"))
     apart = F.filter("by_line", lambda x: ~F.exists("over", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
     chosen = read.select("doc_id", F.transform(F.array_sort(F.concat("over", apart)), lambda x: x["id"]).alias("ids"))
     joined = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
@@ -197,9 +352,15 @@ def oracle() -> str:
         source = "'" + pattern.replace("'", "''").replace(_END, "\\x01").replace(_LINE, "\\x02") + "'"
         plain = f"regexp_replace({plain}, {source}, {target}, 'g')"
     parts = "SELECT rid, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT rid, {split} AS p FROM a)"
-    reading = "SELECT x.rid, x.at - x.n AS start, x.at AS stop, k.id FROM (SELECT rid, trim(s) AS s, length(replace(s, ' ', '')) AS n, sum(length(replace(s, ' ', ''))) OVER (PARTITION BY rid ORDER BY i) AS at FROM ({parts})) x JOIN k USING (s)"
+    formed = "s"
+    for has, hasnt, pattern, to in _FORMS:
+        formed = f"(CASE WHEN regexp_matches({formed}, '{has}') AND NOT regexp_matches({formed}, '{hasnt}') THEN regexp_replace({formed}, '{pattern}', '{to}') ELSE {formed} END)" if formed == "s" else f"(SELECT CASE WHEN regexp_matches(f, '{has}') AND NOT regexp_matches(f, '{hasnt}') THEN regexp_replace(f, '{pattern}', '{to}') ELSE f END FROM (SELECT {formed} AS f))"
+    placed = "SELECT rid, trim(s) AS s, length(replace(s, ' ', '')) AS n, sum(length(replace(s, ' ', ''))) OVER (PARTITION BY rid ORDER BY i) AS place FROM ({parts})"
+    tags = f"list_transform(regexp_split_to_array(regexp_replace(replace(substr(s, {len(SPDX) + 1}), ' or later', ' orlater'), ' with .*?( and | or |$)', '\\1', 'g'), ' (?:and|or) '), lambda t: '{SPDX}' || trim(t))"
+    each = f"SELECT rid, place, n, unnest(CASE WHEN starts_with(s, '{SPDX}') THEN {tags} ELSE [{formed}] END) AS s, generate_subscripts(CASE WHEN starts_with(s, '{SPDX}') THEN {tags} ELSE [s] END, 1) AS m FROM ({placed}) WHERE s <> ''"
+    reading = "SELECT x.rid, x.place - x.n AS start, x.place AS stop, x.m, k.id FROM (" + each + ") x JOIN k USING (s)"
     lines = reading.format(parts=parts.format(split="string_split_regex(plain, '[\\x01\\x02]')"))
-    over = reading.format(parts=parts.format(split="string_split(regexp_replace(plain, '[ \\x02]+', ' ', 'g'), chr(1))"))
+    over = reading.format(parts=parts.format(split="string_split(regexp_replace(plain, '[ \\x02]+', ' ', 'g'), chr(1))")) + f" WHERE NOT starts_with(k.s, '{SPDX}')"
     steps, last = [], "c"
     for n, (name, rule) in enumerate(ALL_RULES):
         q = _sequence(rule)
@@ -209,7 +370,7 @@ def oracle() -> str:
         f"WITH k(s, id) AS (VALUES {known}), a AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {plain} AS plain FROM documents), "
         f"l AS MATERIALIZED ({lines}), o AS MATERIALIZED ({over}), "
         "u AS (SELECT * FROM o UNION ALL SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rid = l.rid AND o.start <= l.start AND l.stop <= o.stop)), "
-        "b AS (SELECT rid, list(id ORDER BY start, stop, id) AS ids FROM u GROUP BY rid), "
+        "b AS (SELECT rid, list(id ORDER BY start, stop, m, id) AS ids FROM u GROUP BY rid), "
         "c AS MATERIALIZED (SELECT doc_id, coalesce(ids, CAST([] AS VARCHAR[])) AS ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM a LEFT JOIN b USING (rid)), "
         + ", ".join(steps)
         + f" SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(found, ','), '') AS licenses, CAST(len(ids) AS BIGINT) AS n_sentences FROM {last}"

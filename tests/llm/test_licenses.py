@@ -153,8 +153,67 @@ def test_both_readings_count(spark, text, want):
     assert found(spark, text) == want
 
 
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
+#: Texts by hand with what they should be read as.
+SAID = [
+    (BSD + "3. Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n", "BSD-3-Clause"),
+    (BSD + "3. Neither the name of the University nor the\n   names of its contributors may be used to endorse or promote products\n   derived from this software without specific prior written permission.\n", "BSD-3-Clause"),
+    (BSD + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n", "BSD-3-Clause"),
+    (BSD + "3. All advertising materials mentioning features or use of this software must display the following acknowledgement.\n4. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n", "BSD-4-Clause"),
+    (BSD, "BSD-2-Clause"), (BOOST, "BSL-1.0"), (ZLIB, "Zlib"), (BSD3.replace("copyright holder", "Regents"), "BSD-3-Clause"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0"), ("// SPDX-License-Identifier: BSD-3-Clause AND MIT\nint x;", "MIT,BSD-3-Clause"), ("# SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT", "MIT,GPL-2.0-only"), ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"), ("SPDX-License-Identifier: NoSuch-1.0", ""),
+    ("Released under the MIT License, see LICENSE.", "MIT"), ("distributed under the terms of the MIT license", "MIT"), ("This project is licensed under the terms of the MIT License.", "MIT"), ("The code is available under the MIT licence; see the file LICENCE for details.", "MIT"), ("Published under an MIT License", "MIT"),
+    ("This software is not licensed under the MIT License.", ""), ("It was never released under the GPLv3.", ""), ("Unless it is licensed under the MIT license.", ""),
+    ("This library is distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("Released under the 2-clause BSD license.", "BSD-2-Clause"), ("licensed under the new BSD license", "BSD-3-Clause"),
+    ("Licensed under Apache 2.0", "Apache-2.0"), ("This package is distributed under the Apache License 2.0", "Apache-2.0"), ("Provided under the terms and conditions of the Apache License, Version 2.0", "Apache-2.0"),
+    ("Distributed under the GNU GPL v3", "GPL-3.0"), ("The program is released under GPLv2.", "GPL-2.0"), ("Licensed under the LGPL v2.1", "LGPL-2.1"), ("available under the GNU Affero General Public License version 3", "AGPL-3.0"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"), ("Published under the ISC license", "ISC"), ("Licensed under the zlib license", "Zlib"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("CC0 1.0 Universal", "CC0-1.0"), ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "WTFPL"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0-only"),
+    ("Frob is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", "GPL-2.0-only"),
+    (GPL.replace("This program is free", "Foo Bar is free").replace("This program is dist", "Foo Bar is dist"), "GPL-3.0-or-later"), (GPL.replace("General", "Lesser General"), "LGPL-3.0-or-later"), (GPL.replace("General", "Affero General"), "AGPL-3.0-or-later"), (LGPL.replace("library", "program"), "LGPL-2.1-or-later"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "LGPL-3.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n", "AGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n", "GPL-2.0"), ("Mozilla Public License Version 2.0\n", "MPL-2.0"),
+    ("Eclipse Public License - v 2.0", "EPL-2.0"), ("The Artistic License 2.0", "Artistic-2.0"), ("SIL OPEN FONT LICENSE Version 1.1", "OFL-1.1"), ("The licence of a driver is a card.", ""), ("Neither the name nor the place was known", ""), ("He published under the name of Fox.", ""), ("Our terms: available under the counter.", ""),
+]
+
+
+def test_texts_by_hand(spark):
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(SAID)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs).collect()}
+    assert [(t[:120], got[n], want) for n, (t, want) in enumerate(SAID) if sorted(got[n].split(",")) != sorted(want.split(","))] == []
+    assert len({name for name, _ in licenses.ALL_RULES}) >= 30 and len(SAID) >= 55
+
+
+def test_forms_in_python_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    said = ["".join(c if c.isalnum() else " " for c in t.lower().replace("licence", "license")) for t, _ in SAID]
+    said = [" ".join(t.split()) for t in said]
+    rows = spark.createDataFrame(list(enumerate(said)), "n int, s string").select("n", licenses._formed(F.col("s")).alias("f")).collect()
+    assert {r["n"]: r["f"] for r in rows} == {n: licenses.form(s) for n, s in enumerate(said)}
+
+
 def test_sql_on_notices(spark, tmp_path):
-    rows = [(k, t) for k, (t, _) in enumerate(WHOLE.values())] + [(90, BSD3 + APACHE + MPL), (91, None), (92, ""), (93, "#\n# MIT License\n#\n\n\n1) Released under the MIT license\n")] * 2
+    rows = [(k, t) for k, (t, _) in enumerate(WHOLE.values())] + [(90, BSD3 + APACHE + MPL), (91, None), (92, ""), (93, "#\n# MIT License\n#\n\n\n1) Released under the MIT license\n")] * 2 + [(200 + n, t) for n, (t, _) in enumerate(SAID)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")

@@ -22,7 +22,7 @@ from quarry.llm.common import discard, materialise, slices
 from quarry.llm.naming import named
 
 #: Members beyond which a prefix is heavy, and turns of a shard below the heavy ones.
-LIMIT, BAND = 1000, 256
+LIMIT, BAND = 100, 256
 #: Turns that are named at once.
 STEP = 16
 #: Rows after which a task closes a forest of shards.

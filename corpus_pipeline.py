@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: SimHash balls on five-word shingles, verified at a Jaccard similarity of 0.8, and min-hashes for pairs beyond the balls.
+    """One document of each group of near-duplicates: SimHash balls on five-word shingles first, an exact search over rare shingles beyond them, both verified at a Jaccard similarity of 0.8.
 
     Null, empty and blank texts are one group. The smallest id stays, of equal rows one; null ids stay only where a
     group has no others. An empty table gives no rows.
@@ -68,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents`` one after another, each but the last written and read again."""
+    """The stages applied to ``documents`` one after another, each but the last written and read again.
+
+    Odd input is handled as the stages say: null and empty texts are one group of near copies, of which one document
+    stays until the mix, which takes no text without words; an empty table gives no rows.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

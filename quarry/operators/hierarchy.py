@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.steps import written
+
 
 def ancestors(tree: DataFrame, max_hops: int = 15) -> DataFrame:
     """``node, ancestor, hops, ok`` over ``tree(id, parent)``: each node with itself and all above it but the root.
 
     The root is the node without a parent. A chain that loops, misses a parent or is longer than ``max_hops`` is not
-    ``ok``, and then none of its rows are. One join per hop, until no chain goes on.
+    ``ok``, and then the node has but its own row. Chains are put together from chains of half their length, so rounds
+    grow with the logarithm of the height; each is written, as the next reads it twice.
     """
-    nodes = tree.select(F.col("id").alias("up"), F.col("parent").alias("above"))
-    chain = tree.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.col("parent").alias("next"), F.lit(0).alias("hops"), F.array("id").alias("seen"), F.lit(True).alias("ok"))
-    done, front = chain, chain
-    for _ in range(max_hops + 1):
-        front = front.where("next is not null and ok").join(nodes, F.col("next") == F.col("up"), "left")
-        loops, lost = F.array_contains("seen", F.col("next")), F.col("up").isNull()
-        front = front.select("node", F.col("next").alias("ancestor"), F.when(~loops & ~lost, F.col("above")).alias("next"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("next")).alias("seen"), (~loops & ~lost & (F.col("hops") < max_hops)).alias("ok"))
-        done = done.union(front)
-        if front.where("next is not null and ok").limit(1).count() == 0:
-            break
-    bad = done.where("not ok").select("node").distinct().withColumn("__bad", F.lit(True))
+    chains = written(tree.select(F.col("id").alias("node"), F.array("id").alias("ids"), F.col("parent").alias("next"), F.lit(False).alias("lost")), "chains")
+    length = 1
+    while length <= max_hops + 1 and chains.where("next IS NOT NULL").limit(1).count():
+        upper = chains.select(F.col("node").alias("next"), F.col("ids").alias("more"), F.col("next").alias("far"), F.col("lost").alias("gone"))
+        both = chains.join(upper, "next", "left")
+        missing = F.col("next").isNotNull() & F.col("more").isNull()
+        longer = F.when(F.col("more").isNull(), F.col("ids")).otherwise(F.concat("ids", "more"))
+        chains, length = written(both.select("node", longer.alias("ids"), F.col("far").alias("next"), (F.col("lost") | missing | F.coalesce("gone", F.lit(False))).alias("lost")), "chains"), length * 2
+    ok = ~F.col("lost") & F.col("next").isNull() & (F.size("ids") <= max_hops + 1)
     roots = tree.where("parent is null").select(F.col("id").alias("ancestor"))
-    kept = done.select("node", "ancestor", "hops").join(roots, "ancestor", "left_anti").join(bad, "node", "left")
-    return kept.select("node", "ancestor", "hops", F.col("__bad").isNull().alias("ok"))
+    each = chains.withColumn("ok", ok).select("node", F.posexplode(F.when(F.col("ok"), F.col("ids")).otherwise(F.array("node"))).alias("hops", "ancestor"), "ok")
+    return each.join(roots, "ancestor", "left_anti").select("node", "ancestor", "hops", "ok")
 
 
 def resolve_chains(members: DataFrame, closure: DataFrame, max_direct: int = 8) -> DataFrame:

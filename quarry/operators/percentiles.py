@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank_even(x: Column, q: float) -> Column:
-    """The value at place ``q * (n - 1)`` of the sorted sample, halves to the even place."""
-    s = F.sort_array(F.collect_list(x))
-    return F.try_element_at(s, (F.bround(F.lit(q) * (F.size(s) - 1), 0) + 1).cast("int"))
-
-
-def nearest_rank_ceil(x: Column, q: float) -> Column:
-    """The value at place ``ceil(q * n) - 1``."""
-    s = F.sort_array(F.collect_list(x))
-    return F.try_element_at(s, F.greatest(F.ceil(F.round(F.lit(q) * F.size(s), 9)), F.lit(1)).cast("int"))
-
-
 def upper_median(x: Column) -> Column:
     s = F.sort_array(F.collect_list(x))
     return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))

@@ -15,8 +15,9 @@ from quarry.streaming import limits, rollups
 
 def test_percentiles_differ(spark):
     df = spark.createDataFrame([(1, float(x)) for x in (1, 2, 3, 4)], "k long, x double")
-    x = F.col("x")
-    got = df.groupBy("k").agg(percentiles.nearest_rank_even(x, 0.5).alias("a"), percentiles.nearest_rank_ceil(x, 0.5).alias("b"), percentiles.upper_median(x).alias("c"), percentiles.nearest_rank_even(x, 0.95).alias("d")).first()
+    picks = {"a": percentiles.place_even(0.5), "b": percentiles.place_ceil(0.5), "c": percentiles.place_upper_median(), "d": percentiles.place_even(0.95)}
+    got = percentiles.ranked_values(df, ["k"], "x", picks).select("k", "a", "b", "c", "d").first()
+    assert df.agg(percentiles.upper_median(F.col("x"))).first()[0] == 3.0
     assert tuple(got)[1:] == (3.0, 2.0, 3.0, 4.0)
     assert percentiles.percent_rank_value(df, ["k"], "x", 0.5, "p").first()["p"] == 2.0 and percentiles.percent_rank_value(df, ["k"], "x", 0.95, "p").first()["p"] == 3.0
 

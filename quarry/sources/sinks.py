@@ -17,7 +17,7 @@ def bulk_batches(chunks: DataFrame, id_col: str, max_bytes: int = 1_500_000) ->
     """
     body = F.to_json(F.struct(*chunks.columns))
     rows = chunks.select(F.col(id_col).cast("string").alias("__id"), body.alias("body"))
-    dealt = greedy_batches(rows, ["__id", "body"], F.octet_length("body") + 1, max_bytes)
+    dealt = greedy_batches(rows, ["__id", F.sha2("body", 256)], F.octet_length("body") + 1, max_bytes)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "body"))), lambda x: x["body"]), "\n")
     return dealt.groupBy("batch_no").agg(F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"), F.concat(lines, F.lit("\n")).alias("body"))
 

@@ -25,7 +25,7 @@ from quarry.llm.simhash_dedup import keep_first, links, votes
 #: tells common shingles, with how many of the highest of them count (whatever it says, no pair is lost).
 WIDTH, SIMILARITY, RADIUS, COUNTERS, HEAVY = 5, 0.8, 2, 1 << 21, 1 << 17
 #: Bits of a set's map, by its shingles' highest bits.
-_MAP_BITS = 10
+_MAP_BITS = 11
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:

@@ -94,10 +94,11 @@ def filter_of(hashes: DataFrame) -> np.ndarray:
 
 
 def slices(batches, rows: int = 512):
-    """Batches in parts of so many rows, for what makes much of a row or holds whole texts: neither side then holds much at once."""
+    """Batches in parts of so many rows, for what makes much of a row or holds whole texts: neither side then holds much at once. What a worker no longer needs goes back before it waits for its next task."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -4,8 +4,8 @@ Texts of equal words are one class before anything meets. Classes whose SimHash
 candidates by ball hashing. At a similarity of 0.8, fingerprints typically differ in about ten bits, which no ball
 reaches, so an exact search takes the rest: of two sets that similar, with their shingles in one order, each holds a
 common one among its first ``n - ceil(s n) + 1``, at places that leave enough shingles behind. The order puts shingles
-first that are rare by a sketch of fixed size, so texts that share but a common passage don't meet. Bit maps of the sets
-bound what a pair can have in common; those that pass are judged on their whole sets. Among those that meet at a shingle, members are compared with centres, few at first and
+first that are rare by a sketch of fixed size, so texts that share but a common passage don't meet. Bit maps of the sets,
+two to four bits a shingle, bound what a pair can have in common; those that pass are judged on their whole sets. Among those that meet at a shingle, members are compared with centres, few at first and
 four times as many in each further round, and only with those outside their component: a large group of near copies is
 linked in about as many comparisons as it has members, and no pair of unlike components is left out.
 """
@@ -24,8 +24,6 @@ from quarry.llm.simhash_dedup import keep_first, links, votes
 #: Words of a shingle, the similarity of near copies, the radius of fingerprints, and the counters of the sketch that
 #: tells common shingles, with how many of the highest of them count (whatever it says, no pair is lost).
 WIDTH, SIMILARITY, RADIUS, COUNTERS, HEAVY = 5, 0.8, 2, 1 << 21, 1 << 17
-#: Bits of a set's map, by its shingles' highest bits.
-_MAP_BITS = 11
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -61,12 +59,20 @@ def prefix(hashes: np.ndarray, weights: np.ndarray, similarity: float) -> np.nda
 
 
 def bit_map(hashes: np.ndarray) -> np.ndarray:
-    """The map of a set: a bit that one set has and another lacks stands for at least one shingle that the other lacks."""
-    seen = np.zeros(1 << _MAP_BITS, dtype=bool)
-    seen[(hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
+    """The map of a set by its shingles' lowest bits, of two to four bits a shingle (64 at least, a power of two), in words."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    seen = np.zeros(bits, dtype=bool)
+    seen[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(seen, bitorder="little").view("<i8")
 
 
+def lacking(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles of one set another lacks at least, by their maps of any two lengths: each bit without its like in ``y`` stands for one or more."""
+    if len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count((x.reshape(-1, len(y)) & ~y).view(np.uint64)).sum())
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """``docs(row, doc_id, text)`` to ``row, doc_id, words, size, fp``: the hash of a row's words, its number of distinct shingles, its fingerprint. A row without ``words`` has a task's ``heavy`` counters."""
     from xxhash import xxh3_128_digest
@@ -161,19 +167,33 @@ def _by_fingerprint(classes: DataFrame, radius: int, similarity: float) -> DataF
 
 def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that by ``maps(node, size, map)`` may have enough in common: what one's bits lack in the other's is common to neither."""
-    left, right = (maps.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("map").alias(f"of_{x}")) for x in ("a", "b"))
-    lost = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, n: acc + n)
-    both = pairs.join(left, "a").join(right, "b")
-    most = F.least(F.col("n_a") - lost(F.col("of_a"), F.col("of_b")), F.col("n_b") - lost(F.col("of_b"), F.col("of_a")))
-    return both.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)).select("a", "b")
+    met = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "met_nodes")
+    few = materialise(maps.join(met, "node", "left_semi"), "maps")
+    left, right = (few.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("map").alias(f"of_{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
+    def run(batches):
+        for b in slices(batches):
+            sizes, maps_ = [b.column(k).to_pylist() for k in (2, 3)], [b.column(k) for k in (4, 5)]
+            kept = []
+            for k, (n, m) in enumerate(zip(*sizes, strict=True)):
+                x, y = (c[k].values.to_numpy() for c in maps_)
+                kept.append(min(n - lacking(x, y), m - lacking(y, x)) >= similarity / (1 + similarity) * (n + m) - 1e-6)
+            yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    out = materialise(both.mapInArrow(run, "a long, b long"), "pairs")
+    discard(met, few)
+    return out
 
 
 def _labels(classes: DataFrame, met: DataFrame, maps: DataFrame, sets_of, similarity: float, radius: int) -> DataFrame | None:
     """``node, label`` of the components over ``classes(node, size, fp)`` that meet by fingerprint or in ``met(key, node, size, at, place)``."""
     def judged(pairs: DataFrame) -> DataFrame:
         met_ = materialise(pairs, "met")
-        pairs = materialise(_possible(met_, maps, similarity), "pairs")
+        pairs = _possible(met_, maps, similarity)
         discard(met_)
+        if not pairs.limit(1).count():
+            return pairs  # no link, so no text need be read again
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         out = materialise(_like(pairs, sets, similarity), "links")
         discard(pairs, sets)

@@ -97,3 +97,22 @@ def test_maps_never_lose_a_pair():
         assert len(np.intersect1d(a, b)) <= most
         pruned += most < 0.8 / 1.8 * (len(a) + len(b))
     assert pruned > 50
+
+
+def test_few_comparisons_take_one_round(spark, monkeypatch):
+    """Unlike texts that meet are compared in one round if that is little work, in many otherwise; links are the same."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join([*passage, *(f"u{k}-{n}" for n in range(24))])) for k in range(20)]
+    # Chains of near copies among them, in which only neighbours are alike.
+    rows += [(1000 + 100 * c + k, " ".join([*passage, *(f"c{c}-{n}" for n in range(8 * k, 8 * k + 24))])) for c in range(2) for k in range(6)]
+    rng.shuffle(rows)
+    docs, want, steps = spark.createDataFrame(rows, "doc_id long, text string"), firsts(rows), []
+    assert 20 < len(want) < len(rows)
+    write = near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df, step: steps.append(step) or write(df, step))
+    assert sorted(r["doc_id"] for r in near_copies.deduplicate(docs).collect()) == want
+    assert steps.count("labelled") == 1 and steps.count("met") <= 3
+    steps.clear()
+    assert sorted(r["doc_id"] for r in near_copies.deduplicate(docs, few=0).collect()) == want
+    assert steps.count("labelled") > 2

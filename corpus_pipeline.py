@@ -1,4 +1,7 @@
-"""A corpus pipeline over ``documents``: each stage reads what the one before kept, as Parquet."""
+"""A corpus pipeline over ``documents``: each stage reads what the one before kept, as Parquet.
+
+Stages that send texts through Python return a written step, so that only small batches go there whoever reads the result.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs, table(spark, sf_dir, "labels"))
     own = apart(docs)
     named = docs.withColumnsRenamed({c: own + c for c in ("score", "predicted") if c in docs.columns})
-    return score(named, model).where("predicted = 1").select(*[F.col(own + c if c in ("score", "predicted") else c).alias(c) for c in docs.columns])
+    good = score(named, model).where("predicted = 1").select(*[F.col(own + c if c in ("score", "predicted") else c).alias(c) for c in docs.columns])
+    return materialise(good, "good")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and stay, as do repeated rows without one; null and empty items occur nowhere; an
     empty table gives no rows.
     """
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return materialise(decontaminate(docs, table(spark, sf_dir, "benchmark")), "clean")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept = stage(spark, docs, sf_dir)
+        docs = kept if hasattr(kept, "quarry_path") else materialise(kept, name)
         if before is not None:
             discard(before)
         before = docs

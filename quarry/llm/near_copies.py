@@ -102,8 +102,9 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
         mean = total / COUNTERS
         # What stands out a little in many tasks stands out much in their sum.
         heavy = np.flatnonzero(counters >= max(2, np.ceil(mean + 2 * mean**0.5 + 1)))
-        found = [{"counter": c, "n": n} for c, n in zip(heavy.tolist(), counters[heavy].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([found], pairs)], names=names)
+        found = pa.StructArray.from_arrays([pa.array(heavy, pa.int64()), pa.array(counters[heavy], pa.int64())], fields=list(pairs.value_type))
+        held = pa.ListArray.from_arrays(np.array([0, len(found)], dtype=np.int32), found)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), held], names=names)
 
     return docs.mapInArrow(run, "row binary, doc_id long, words binary, size long, fp long, heavy array<struct<counter: long, n: long>>")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import types
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,13 @@ def test_a_cluster_must_name_the_shared_folder():
     session = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(session)
+
+
+def test_filters_keep_rows_out_of_python(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("h"), F.lit("x").alias("text"))
+    bits = common.filter_of(rows.limit(500))
+    out = common.marked(rows, "h", bits, "in")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r["h"], r["in"]) for r in out.collect()]
+    want = common.passes(bits, np.array([h for h, _ in got], dtype=np.int64).view(np.uint64)).tolist()
+    assert len(got) == 2000 and [x for _, x in got] == want

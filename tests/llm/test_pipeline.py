@@ -61,3 +61,11 @@ def test_odd_rows_and_clashing_names(spark, data, odd, none):
             assert set(docs.columns) <= set(out.columns) and out.count() <= 2 * docs.count(), name
             if name != "sharding":
                 assert out.columns == docs.columns
+
+
+def test_no_stage_leaves_python_to_its_reader(spark, data):
+    """Whoever reads a stage's result sends no texts through Python in batches of the session's size."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(30)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        plan = stage(spark, docs, data)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "Python" not in plan, name

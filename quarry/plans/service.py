@@ -262,9 +262,12 @@ i AS (SELECT pk, doc_id FROM s WHERE pk % 11 > 0 UNION ALL SELECT pk, doc_id FRO
 
 
 def _stores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk"), F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("is_active"), F.when(F.col("l_linestatus") == "F", "INDEXED").otherwise("NOT_INDEXED").alias("index_status"))
+    """Of lines of one key the store has the first in the table's order, whatever the partitions."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    s = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk"), F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("is_active"), F.when(F.col("l_linestatus") == "F", "INDEXED").otherwise("NOT_INDEXED").alias("index_status"), place)
     i = s.where("pk % 11 > 0").select("pk", "doc_id").union(s.where("pk % 97 = 0").select("pk", "doc_id")).union(s.where("pk % 89 = 0").select(-F.col("pk"), -F.col("doc_id")))
-    return s.dropDuplicates(["pk"]), i
+    first = s.groupBy("pk").agg(F.min(F.struct("place", "doc_id", "is_active", "index_status")).alias("first"))
+    return first.select("pk", "first.doc_id", "first.is_active", "first.index_status"), i
 
 
 @query("parity_buckets", f"""WITH {_STORE}, c AS (SELECT pk, count(*) AS n FROM i GROUP BY 1), u AS (SELECT DISTINCT ON (pk) * FROM s), j AS (SELECT coalesce(u.pk, c.pk) AS pk, CASE WHEN c.pk IS NULL AND is_active = 1 AND index_status = 'INDEXED' THEN 'missing' WHEN c.pk IS NULL THEN NULL WHEN n > 1 THEN 'dup' WHEN u.pk IS NULL THEN 'orphan' WHEN is_active <> 1 THEN 'inactive' END AS kind FROM u FULL JOIN c ON u.pk = c.pk)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_incomplete_question, is_junk_question, question_hash
+from quarry.operators.overlaps import TILE, first_like, like_pairs
 from quarry.operators.sequence import running_totals
 from quarry.operators.vectors import centres, near_pairs
 from quarry.sources.steps import written
@@ -87,29 +88,36 @@ def two_grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(t) - 1)), lambda k: F.substring(t, k, F.lit(2))))
 
 
-def text_leader_clusters(members: DataFrame, threshold: float = 0.5) -> DataFrame:
+def text_leader_clusters(members: DataFrame, threshold: float = 0.5, first: int = 16_384, tile: int = TILE) -> DataFrame:
     """``hash, representative`` of ``members(hash, text, weight)``: a text joins the first representative before it that shares at least half of their two-grams (Jaccard), else it becomes one.
 
-    Texts of equal two-grams are one node. Nodes meet on their rarest grams: of sets of n grams that similar, one of the
-    n - ceil(t n) + 1 rarest is shared, and their sizes differ by no more than the threshold.
+    Texts of equal two-grams are one node. Nodes come in blocks by their place, the ``first`` and then each as long as all
+    before it: those near a representative so far join it, the others are compared with one another, and of them a
+    first independent set are representatives too. So each is compared with representatives and with what is left of its block, in tiles; of
+    texts that are all unlike one another these are all pairs.
     """
     placed = _placed(members)
-    grams = placed.select("hash", "place", F.sort_array(two_grams(F.col("text"))).alias("grams"))
-    nodes = written(grams.groupBy("grams").agg(F.min("place").alias("id")).withColumn("n", F.size("grams")), "sets")
-    rows = written(grams.join(nodes, "grams").select("hash", "place", F.col("id").alias("node")), "rows")
-    each = nodes.select("id", "n", F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", "gram")))
-    prefix = each.join(df, "gram").groupBy("id", "n").agg(order.alias("g")).select("id", "n", F.explode(F.slice("g", 1, F.col("n") - F.ceil(threshold * F.col("n")).cast("int") + 1)).alias("p")).select("id", "n", "p.gram")
-    prefix = written(prefix, "prefixes")
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "gram") for x in "ab")
-    met = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
-    sets = [nodes.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("ga", "gb"))
-    edges = written(met.join(sets[0], "a").join(sets[1], "b").where(both / (F.size("ga") + F.size("gb") - both) >= threshold).select("a", "b"), "edges")
-    leaders = written(first_independent(nodes.select("id", F.col("id").alias("place")), edges), "leaders")
-    near = edges.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("node"), F.col("a").alias("leader"))
-    near = near.unionByName(leaders.select(F.col("id").alias("node"), F.col("id").alias("leader"))).groupBy("node").agg(F.min("leader").alias("leader"))
+    # A gram as a number: its length and its characters.
+    code = lambda g: F.shiftleft(F.char_length(g).cast("long"), 42) + F.shiftleft(F.ascii(F.substring(g, 1, 1)).cast("long"), 21) + F.ascii(F.substring(g, 2, 1))
+    grams = placed.select("hash", "place", F.sort_array(F.transform(two_grams(F.col("text")), code)).alias("grams"))
+    nodes = written(grams.groupBy("grams").agg(F.min("place").alias("id")).select("id", F.col("grams").alias("elements")), "sets")
+    rows = written(grams.join(nodes.withColumnRenamed("elements", "grams"), "grams").select("hash", "place", F.col("id").alias("node")), "rows")
+    total, low, near, leaders = placed.count(), 0, None, None
+    while low < total or near is None:
+        high = low + max(first, low)
+        rest = nodes.where((F.col("id") >= low) & (F.col("id") < high))
+        if leaders is not None:
+            joined = written(first_like(rest, leaders, threshold, tile), "joined")
+            near = near.unionByName(joined)
+            rest = written(rest.join(joined.select(F.col("node").alias("id")), "id", "left_anti"), "rest")
+        edges = written(like_pairs(rest, threshold, tile), "edges")
+        new = written(first_independent(rest.select("id", F.col("id").alias("place")), edges), "leaders")
+        own = new.select(F.col("id").alias("node"), F.col("id").alias("leader"))
+        found = own.unionByName(edges.join(new.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("node"), F.col("a").alias("leader"))).groupBy("node").agg(F.min("leader").alias("leader"))
+        near = found if near is None else near.unionByName(found)
+        sets = written(rest.join(new, "id", "left_semi"), "leader_sets")
+        leaders = sets if leaders is None else leaders.unionByName(sets)
+        low = high
     names = rows.where("place = node").select(F.col("place").alias("leader"), F.col("hash").alias("representative"))
     return rows.join(near, "node").join(names, "leader").select("hash", "representative")
 

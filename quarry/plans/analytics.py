@@ -152,7 +152,7 @@ def weekly_sketches(spark: SparkSession, d: str) -> DataFrame:
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     pivots = vectors.centres(e, 32)
-    near, exact = vectors.search_lists(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), vectors.build_lists(e, pivots), pivots, 10, probes=26)
+    near, exact = vectors.search_lists_in_blocks(e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), vectors.build_lists(e, pivots), pivots, 10, probes=26)
     return e, near, exact
 
 
@@ -170,16 +170,11 @@ def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     """Whether 26 of 32 lists give at least nine tenths of what exact search over all vectors gives; the tables' vectors are random directions, of which no fewer lists hold that share."""
     e, near, _ = _index(spark, d)
     asked = e.where("id % 100 = 0")
-    exact = retrieval.dense_top_k(asked.select(F.col("id").alias("query_id"), _unit(F.col("vector")).alias("embedding")), e.select(F.col("id").alias("vec_id"), _unit(F.col("vector")).alias("embedding")), 10)
+    exact = retrieval.dense_top_k_in_blocks(asked.select(F.col("id").alias("query_id"), vectors.unit(F.col("vector")).alias("embedding")), e.select(F.col("id").alias("vec_id"), vectors.unit(F.col("vector")).alias("embedding")), 10)
     met = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     return met.agg(F.count_distinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("recalled"))
 
 
-def _unit(v):
-    norm = F.sqrt(retrieval.dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / norm)
-
-
 @query("word_windows", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w FROM documents) SELECT doc_id, CAST(s AS INT) AS start, CAST(least(200, len(w) - s) AS INT) AS n_words FROM w, LATERAL (SELECT unnest(range(0, len(w), 200)) AS s)".replace("x -> x", "lambda x: x"))
 def word_windows(spark: SparkSession, d: str) -> DataFrame:
     """All documents in windows of 200 words, by a table function called from SQL."""

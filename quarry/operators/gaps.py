@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import is_incomplete_question, is_junk_question, question_hash
 from quarry.operators.overlaps import TILE, first_like, like_pairs
 from quarry.operators.sequence import running_totals
-from quarry.operators.vectors import centres, near_pairs
+from quarry.operators.vectors import centres, narrow, near_pairs, pairs_in_tiles
 from quarry.sources.steps import written
 
 
@@ -58,13 +58,15 @@ def _placed(members: DataFrame) -> DataFrame:
     return written(running_totals(members, [F.desc("weight"), F.asc("hash")]).drop("before"), "members")
 
 
-def leader_clusters(members: DataFrame, threshold: float = 0.90, cells: int = 64, tile: int = 2000) -> DataFrame:
+def leader_clusters(members: DataFrame, threshold: float = 0.90, cells: int = 64, tile: int = 2000, first: int = 16_384) -> DataFrame:
     """``hash, representative`` by greedy leader clustering of ``members(hash, vector, weight)``.
 
     By falling weight and then hash, a member joins the best representative before it whose cosine reaches the threshold
-    (of equally good ones the first), else it becomes one. Representatives are the first independent set of the graph of
-    near vectors, so nothing is done one after another, whatever the groups' sizes. Equal vectors are one node; zero and
-    null vectors are near nothing and represent themselves.
+    (of equally good ones the first), else it becomes one. Equal vectors are one node; zero and null vectors are near
+    nothing and represent themselves. Nodes come in blocks by their place, the ``first`` and then each as long as all before it: those near a
+    representative so far are none, and of what is left the first independent set of its graph are representatives. So
+    nodes are compared with representatives and with what is left of their block, in cells about pivots where the
+    threshold's angle lets most cells be passed over, else in tiles.
     """
     placed = _placed(members.withColumn("vector", F.col("vector").cast("array<double>")))
     nodes = written(placed.groupBy("vector").agg(F.min("place").alias("id")), "vectors")
@@ -72,12 +74,43 @@ def leader_clusters(members: DataFrame, threshold: float = 0.90, cells: int = 64
     rows = written(rows, "rows")
     plain = F.exists(F.coalesce("vector", F.array().cast("array<double>")), lambda x: x != 0)
     solid = written(nodes.where(plain), "solid")
-    pivots = centres(solid, cells)
-    edges = near_pairs(solid, solid, threshold, pivots, tile).where("a < b")
-    leaders = written(first_independent(solid.select("id", F.col("id").alias("place")), edges), "leaders")
-    near = near_pairs(solid, solid.join(leaders, "id", "left_semi"), threshold, pivots, tile).select(F.col("a").alias("node"), F.col("b").alias("leader"), "cosine")
+    pivots = centres(solid, cells) if narrow(threshold) else None
+
+    def pairs(left: DataFrame, right: DataFrame | None) -> DataFrame:
+        if pivots is None:
+            return pairs_in_tiles(left, right, threshold, tile)
+        return near_pairs(left, left, threshold, pivots, tile).where("a < b") if right is None else near_pairs(left, right, threshold, pivots, tile)
+
+    total, low, leaders, near = placed.count(), 0, None, []
+    as_near = ["node", "leader", "cosine"]
+    while low < total or leaders is None:
+        high = low + max(first, low)
+        block = rest = solid.where((F.col("id") >= low) & (F.col("id") < high))
+        joined = None
+        if leaders is not None:
+            joined = written(pairs(block, leaders).toDF(*as_near), "joined")
+            near.append(joined)
+            rest = written(block.join(joined.select(F.col("node").alias("id")), "id", "left_anti"), "rest")
+        edges = written(pairs(rest, None), "edges")
+        new = written(first_independent(rest.select("id", F.col("id").alias("place")), edges), "leaders")
+        near.append(edges.join(new.select(F.col("id").alias("a")), "a", "left_semi").select("b", "a", "cosine").toDF(*as_near))
+        near.append(new.select(F.col("id").alias("node"), F.col("id").alias("leader"), F.lit(1.0).alias("cosine")))
+        sets = written(rest.join(new, "id", "left_semi"), "leader_vectors")
+        if joined is not None:
+            # Those near an earlier representative may have a better one in their own block.
+            others = written(block.join(joined.select(F.col("node").alias("id")), "id", "left_semi"), "others")
+            near.append(written(pairs(others, sets).toDF(*as_near).where("leader < node"), "nearer"))
+        leaders = sets if leaders is None else leaders.unionByName(sets)
+        low = high
+    # A vector's later copies may join representatives after its first.
+    again = written(solid.join(rows.where("place > node").select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "repeated")
+    if again.limit(1).count():
+        near.append(written(pairs(again, leaders).toDF(*as_near).where("leader > node"), "later"))
+    found = near[0]
+    for some in near[1:]:
+        found = found.unionByName(some)
     best = F.max_by("leader", F.struct(F.round("cosine", 12).alias("c"), -F.col("leader")))
-    found = rows.join(near, "node").where(F.col("leader") <= F.col("place")).groupBy("hash").agg(best.alias("leader"))
+    found = rows.join(found, "node").where(F.col("leader") <= F.col("place")).groupBy("hash").agg(best.alias("leader"))
     names = rows.where("place = node").select(F.col("place").alias("leader"), F.col("hash").alias("representative"))
     return rows.join(found, "hash", "left").join(names, "leader", "left").select("hash", F.coalesce("representative", "hash").alias("representative"))
 
